@@ -8,14 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact import exact_dedup
+from .packing import pack_documents, read_tokenizer
+from .pieces import piece_digests, read_model
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    return piece_digests(read_table(spark, sf_dir, "documents"), read_model(model_path or vocabulary("piece_bpe_32k.model")))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path or vocabulary("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
