@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import chat_digests, format_chats, text_part
 from .common import read_table
 from .exact import exact_dedup
 from .packing import pack_documents, read_tokenizer
 from .pieces import piece_digests, read_model
+from .urls import drawn_list, filter_urls
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,21 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"), F.lit(hard).alias("text"))
+    return chat_digests(format_chats(said.unionByName(more).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages carry no fetch time and no list: the time is drawn from page_id, the list from hosts and URLs (MD5)."""
+    begin = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    second = F.col("page_id") * 7919 % (730 * 86400)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.unix_seconds(begin) + second).alias("fetched_at"))
+    return filter_urls(pages, drawn_list(pages)).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     return piece_digests(read_table(spark, sf_dir, "documents"), read_model(model_path or vocabulary("piece_bpe_32k.model")))
 
@@ -33,6 +51,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str |
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op6_url_filters": op6_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
@@ -51,4 +71,50 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op3_chat_formatting": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), e AS (
+            SELECT *, regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g') AS escaped FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, escaped)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, escaped) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(9 + length(role) + 1 + length(escaped) + 8) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
+    "op6_url_filters": r"""
+        WITH pages_at AS (
+            SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds(page_id * 7919 % (730 * 86400)) AS t,
+                   regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?::\d*)?(?:[/?#]|$)', 1) AS host,
+                   regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*(/[^?#]*)?', 1), '/+$', '') AS path
+            FROM pages
+        ), keys AS (
+            SELECT 'domain' AS kind, host AS rule FROM pages_at WHERE host <> ''
+            UNION SELECT 'domain', array_to_string(string_split(host, '.')[-2:], '.') FROM pages_at WHERE host <> ''
+            UNION SELECT 'url', host || path FROM pages_at WHERE host <> ''
+        ), drawn AS (
+            SELECT kind, rule, CASE WHEN CAST('0x' || substr(md5(rule), 1, 1) AS INT) < 10 THEN 'block' ELSE 'allow' END AS action,
+                   CAST('0x' || substr(md5(rule), 3, 3) AS INT) % 600 AS a,
+                   CAST('0x' || substr(md5(rule), 6, 2) AS INT) AS stays,
+                   CAST('0x' || substr(md5(rule), 8, 2) AS INT) + 1 AS gap
+            FROM keys WHERE CAST('0x' || substr(md5(rule), 2, 1) AS INT) < 12
+        ), spans AS (
+            SELECT kind, rule, action, TIMESTAMP '2024-01-01' + to_days(a) AS f, TIMESTAMP '2024-01-01' + to_days(a + stays) AS u FROM drawn WHERE stays > 0
+            UNION ALL
+            SELECT kind, rule, action, TIMESTAMP '2024-01-01' + to_days(CASE WHEN stays > 0 THEN a + stays + gap ELSE a END), NULL FROM drawn
+        ), hits AS (
+            SELECT p.page_id, p.url, p.t, p.host, s.kind, s.rule, s.action,
+                   row_number() OVER (PARTITION BY p.page_id ORDER BY s.kind = 'url' DESC, length(s.rule) DESC, s.action = 'allow' DESC, s.rule DESC) AS no
+            FROM pages_at p LEFT JOIN spans s
+              ON p.host <> '' AND p.t >= s.f AND (s.u IS NULL OR p.t < s.u)
+             AND ((s.kind = 'url' AND s.rule = p.host || p.path) OR (s.kind = 'domain' AND (p.host = s.rule OR ends_with(p.host, '.' || s.rule))))
+        )
+        SELECT page_id, url, strftime(t, '%Y-%m-%d %H:%M:%S') AS fetched_at, nullif(host, '') AS host,
+               coalesce(action, 'allow') AS verdict, rule, kind AS rule_kind
+        FROM hits WHERE no = 1
+    """,
 }
