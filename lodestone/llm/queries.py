@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, format_chats, text_part
 from .common import read_table
 from .exact import exact_dedup
+from .language import identify
 from .packing import pack_documents, read_tokenizer
 from .pieces import piece_digests, read_model
+from .quality import score_quality
 from .urls import drawn_list, filter_urls
 
 
@@ -26,6 +28,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -33,6 +39,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(said.unionByName(more).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages carry no fetch time and no list: the time is drawn from page_id, the list from hosts and URLs (MD5)."""
     begin = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -51,7 +61,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str |
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_chat_formatting": op3_chat_formatting,
+    "op5_language_id": op5_language_id,
     "op6_url_filters": op6_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
