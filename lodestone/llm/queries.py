@@ -14,6 +14,7 @@ from .language import identify
 from .packing import pack_documents, read_tokenizer
 from .pieces import piece_digests, read_model
 from .quality import score_quality
+from .toxicity import tag_toxicity
 from .urls import drawn_list, filter_urls
 
 
@@ -59,6 +60,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str |
     return pack_documents(read_table(spark, sf_dir, "documents"), read_tokenizer(tokenizer_path or vocabulary("byte_bpe_50k.json")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = tag_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
