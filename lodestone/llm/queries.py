@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, format_chats, text_part
 from .common import read_table
 from .exact import exact_dedup
+from .fingerprint import fingerprint_documents
 from .language import identify
 from .packing import pack_documents, read_tokenizer
 from .pieces import piece_digests, read_model
@@ -40,6 +41,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chats(said.unionByName(more).select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_fingerprints": op4_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_url_filters": op6_url_filters,
     "op8_sentencepiece": op8_sentencepiece,
