@@ -15,6 +15,7 @@ from .language import identify
 from .packing import pack_documents, read_tokenizer
 from .pieces import piece_digests, read_model
 from .quality import score_quality
+from .shingles import jaccard_components
 from .toxicity import tag_toxicity
 from .urls import drawn_list, filter_urls
 
@@ -57,6 +58,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, drawn_list(pages)).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     return piece_digests(read_table(spark, sf_dir, "documents"), read_model(model_path or vocabulary("piece_bpe_32k.model")))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_url_filters": op6_url_filters,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
