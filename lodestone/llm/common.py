@@ -86,3 +86,10 @@ def batches(texts: list, most_chars: int = 4_000_000) -> Iterator[tuple[int, int
 def held_out(doc_id, folds: int, fold: int):
     """True for the documents of the held-out fold: crc32 of the id as text. A null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds) == fold
+
+
+def carried(docs: DataFrame, carry: bool) -> tuple[list, str, list[str]]:
+    """Columns that an Arrow operator passes through under names of its own: to select, as schema text, and the first names."""
+    names = docs.columns if carry else []
+    chosen = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(names)]
+    return chosen, "".join(f", _carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), names

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out
+from .common import batches, carried, held_out
 
 #: Symbols of the kernel's alphabet: 0 everything that is no letter, 1-26 a-z, the others for further letters by code point.
 SYMBOLS = 128
@@ -141,8 +141,8 @@ def training_sample(docs: DataFrame, folds: int, fold: int, per_language: int, m
     return [(t, x) for x in sorted(taken) for _, t in sorted(taken[x])[:per_language]]
 
 
-def identify(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int = 400, n_landmarks: int = 240, most_chars: int = 20_000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row, from whole texts.
+def identify(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int = 400, n_landmarks: int = 240, most_chars: int = 20_000, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, from whole texts; with ``carry`` also its columns as ``_carried0``, ...
 
     The model is fitted on a bounded sample of rows with a language outside the held-out fold: at most ``per_language`` texts
     of each language, none longer than ``most_chars``. Texts that are null or have no letter are ``und`` with score 0, as are
@@ -150,17 +150,19 @@ def identify(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int =
     """
     sample = training_sample(docs, folds, fold, per_language, most_chars)
     model = fit([t for t, _ in sample], [x for _, x in sample], n_landmarks)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    more, kinds, names = carried(docs, carry)
+    own_names = ["doc_id", "held_out", "lang_pred", "score", *(f"_carried{i}" for i in range(len(names)))]
 
     def run(parts: Iterator[pa.RecordBatch]):
         for part in parts:
             texts = part.column(2).to_pylist()
             for a, b in batches(texts):
                 own = [t if has_letter(t) else None for t in texts[a:b]]
-                names, scores = model.predict([t or "" for t in own])
-                names = [n if t else "und" for n, t in zip(names, own)]
+                found, scores = model.predict([t or "" for t in own])
+                found = [n if t else "und" for n, t in zip(found, own)]
                 scores = [float(s) if t else 0.0 for s, t in zip(scores, own)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(names), pa.array(scores)], schema=schema)
+                ids, held, _, *rest = (c.slice(a, b - a) for c in part.columns)
+                yield pa.RecordBatch.from_arrays([ids, held, pa.array(found, pa.string()), pa.array(scores, pa.float64()), *rest], names=own_names)
 
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return mine.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string").alias("text"), *more)
+    return mine.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + kinds)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, held_out
+from .common import batches, carried, held_out
 
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that may be cues.
@@ -270,9 +270,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int, fold: int, m
     return [(r["text"], r["toxic"], r["weight"]) for r in found.orderBy("doc_id", "text").toLocalIterator()]
 
 
-def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_toxic: int = 1200, most_clean: int = 2400, most_chars: int = 20_000, threshold: float = 0.3) -> DataFrame:
+def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_toxic: int = 1200, most_clean: int = 2400, most_chars: int = 20_000, threshold: float = 0.3, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start, end, marginal) of every row, from whole texts.
 
+    With ``carry`` the rows' columns come along as ``_carried0``, ....
+
     The chain is fitted on a bounded sample of labelled rows outside the held-out fold: at most ``most_toxic`` and
     ``most_clean``, none longer than ``most_chars``. Null and empty texts have no tokens and get the score of a text without
     cues, as every text does where the labels do not tell two classes apart. Offsets count code points, the end excluded.
@@ -281,8 +283,9 @@ def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
     sample = training_sample(docs, labels, folds, fold, {1: most_toxic, 0: most_clean}, most_chars)
     model = fit([r[0] for r in sample], [r[1] for r in sample], [r[2] for r in sample])
     model.cache.clear()
+    more, kinds, names = carried(docs, carry)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", span)])
+    own_names = ["doc_id", "held_out", "score", "predicted", "spans", *(f"_carried{i}" for i in range(len(names)))]
 
     def run(parts: Iterator[pa.RecordBatch]):
         for part in parts:
@@ -291,7 +294,8 @@ def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
                 found = [model.score(t or "") for t in texts[a:b]]
                 scores = [s for s, _ in found]
                 spans = [[{"start": s, "end": e, "marginal": m} for s, e, m in x] for _, x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(scores), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(spans, span)], schema=schema)
+                ids, held, _, *rest = (c.slice(a, b - a) for c in part.columns)
+                yield pa.RecordBatch.from_arrays([ids, held, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(spans, span), *rest], names=own_names)
 
-    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return mine.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("text").cast("string").alias("text"), *more)
+    return mine.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>" + kinds)
