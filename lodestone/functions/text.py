@@ -138,7 +138,7 @@ def code_block(response: Column) -> Column:
     imports_ = F.filter(lines(code), lambda x: F.trim(x).startswith("import ") | F.trim(x).startswith("from "))
     for line in ("import pandas as pd", "import numpy as np"):
         code = F.when(F.exists(imports_, lambda x: x.contains(line)), code).otherwise(F.concat(F.lit(line + "\n"), code))
-    return F.trim(code)
+    return F.regexp_replace(code, r"^\s+|\s+$", "")
 
 
 def strategy_shape(code: Column) -> Column:
