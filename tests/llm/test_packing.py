@@ -1,4 +1,5 @@
 import itertools
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestone.llm.packing import WordTable, dominating, pack_documents, plan_sequences, read_tokenizer
+from lodestone.llm.packing import BytePairs, byte_ranks, dominating, pack_documents, plan_sequences, read_tokenizer
 
 from .fixtures import TEXTS, frame
 
@@ -29,10 +30,20 @@ def lib():
 def test_ids_equal_library(text):
     lib = Tokenizer.from_file(PATH)
     lib.encode_special_tokens = True
-    got = np.frombuffer(next(WordTable(read_tokenizer(PATH)).encode([text])), "<u4").tolist()
+    got = np.frombuffer(next(BytePairs(read_tokenizer(PATH)).encode([text])), "<u4").tolist()
     assert got == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_other_files_go_through_the_library():
+    spec = json.loads(read_tokenizer(PATH))
+    assert byte_ranks(read_tokenizer(PATH)) is not None
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    changed = json.dumps(spec)
+    assert byte_ranks(changed) is None
+    lib = Tokenizer.from_str(changed)
+    assert np.frombuffer(next(BytePairs(changed).encode(["odd case"])), "<u4").tolist() == lib.encode("odd case", add_special_tokens=False).ids
+
+
 def fewest(items, cap):
     """The smallest number of bins, by exhaustive search."""
     best = [len(items)]
