@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,6 +71,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
+def resident(name: str, key, make):
+    """A worker's own object, made once per process and key and kept between tasks; another key replaces it.
+
+    Functions reach the executors by value, with module globals of their own, so the store hangs on the interpreter.
+    """
+    store = sys.__dict__.setdefault("_lodestone_kept", {})
+    if name not in store or store[name][0] != key:
+        store[name] = (key, make())
+    return store[name][1]
+
+
 def batches(texts: list, most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of at most ``most_chars`` characters each (a longer text stands alone): bounds a worker's memory."""
     start = size = 0

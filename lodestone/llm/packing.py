@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches
+from .common import Scratch, batches, resident
 
 #: A run of equal sequences: how many, and the (length, number of pieces) in each.
 Run = tuple[int, list[tuple[int, int]]]
@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(parts):
-        table = BytePairs(tokenizer_json)
+        table = resident("byte pairs", hash(tokenizer_json), lambda: BytePairs(tokenizer_json))
         for part in parts:
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for a, b in batches(texts):
