@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -35,6 +36,40 @@ def generate(prompt: Column, model: TextModel) -> Column:
     return answer(prompt)
 
 
+class Embedder(Protocol):
+    def embed(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class Hashed:
+    """Unit vectors from hashed words: the offline stand-in of an embedding service."""
+
+    def __init__(self, dimension: int):
+        self.dimension = dimension
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [0.0] * self.dimension
+            for w in t.lower().split():
+                v[zlib.crc32(w.encode()) % self.dimension] += 1.0
+            norm = sum(x * x for x in v) ** 0.5 or 1.0
+            out.append([x / norm for x in v])
+        return out
+
+
+def embed(text: Column, model: Embedder, dimension: int) -> Column:
+    """Vectors of the texts in Arrow batches; where the model fails, zeros."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(model.embed(texts.fillna("").tolist()))
+        except OSError:
+            return pd.Series([[0.0] * dimension] * len(texts))
+
+    return vectors(text)
+
+
 def valid_syntax(code: Column) -> Column:
     """Whether the text parses as Python; it is not run."""
 

@@ -18,6 +18,12 @@ KEYWORDS = (
     "backtest strategy portfolio execution slippage order fill pnl equity_curve trade_log "
     "pyts tsfresh tslearn prophet arima garch"
 ).split()
+# The shorter list of the light filter; its words are patterns as they stand.
+LIGHT = (
+    "gaf gramian gasf gadf mtf talib ta-lib backtrader zipline vectorbt sharpe sortino drawdown volatility signal indicator macd rsi "
+    "bollinger ema sma backtest strategy portfolio position_size yfinance ccxt ohlcv candlestick gymnasium gym stable_baselines reward agent "
+    "pyts tsfresh prophet"
+).split()
 # The patterns of high value.
 HIGH_VALUE = [
     r"gramian[_\s]?angular", r"GramianAngularField", r"GASF|GADF|MTF", r"pyts\.image",
@@ -70,6 +76,12 @@ def verdict(text: Column, keywords: list[str], high_value: list[str], least_line
     )
 
 
+def light_pass(text: Column, keywords: list[str] = LIGHT, least_lines: int = 10, most_lines: int = 1000, least: int = 2) -> Column:
+    """The light filter: a range of line counts and enough keywords."""
+    n = F.size(lines(text))
+    return (n >= least_lines) & (n <= most_lines) & (hits(text, [rf"(?i)\b{k}\b" for k in keywords]) >= least)
+
+
 def priority(text: Column, keywords: list[str], high_value: list[str]) -> Column:
     """0 to 1: keywords (up to five), patterns of high value, and marks of structure."""
     has = lambda *xs: reduce(lambda a, b: a | b, [text.contains(x) for x in xs]).cast("double")

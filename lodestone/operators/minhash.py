@@ -31,7 +31,9 @@ def normalised(text: str) -> str:
 
 
 def grams(text: str, n: int) -> set[str]:
-    """Distinct character n-grams of the normalised text; a shorter text is its own."""
+    """Distinct character n-grams of the normalised text, a shorter text being its own; with ``n`` 0, its distinct words."""
+    if not n:
+        return set(text.lower().split()) or {""}
     t = normalised(text)
     return {t[i : i + n] for i in range(len(t) - n + 1)} if len(t) >= n else {t}
 
@@ -137,15 +139,25 @@ def first_wins(pairs: DataFrame, tables: Tables) -> DataFrame:
     return state
 
 
-def dedup(docs: DataFrame, num_perm: int = 128, threshold: float = 0.7, ngram: int = 5, seed: int = 42, family: str = "sha256") -> DataFrame:
-    """doc_id, kept of every document, by ascending doc_id: one goes if it is similar to an earlier one that stays."""
+def dedup(docs: DataFrame, num_perm: int = 128, threshold: float = 0.7, ngram: int = 5, seed: int = 42, family: str = "sha256", verify: bool = True) -> DataFrame:
+    """doc_id, kept of every document, by ascending doc_id: one goes if it is similar to an earlier one that stays.
+
+    ``ngram`` 0 compares words; without ``verify`` a common band is enough. Null texts count as empty.
+    """
     tables = Tables(docs.sparkSession, "minhash")
     sigs = tables.write(signatures(docs, num_perm, ngram, seed, family), "sigs")
     firsts = tables.write(distinct_signatures(sigs), "firsts")
-    decided = first_wins(similar_pairs(firsts, num_perm, threshold), tables)
+    pairs = similar_pairs if verify else candidates
+    decided = first_wins(pairs(firsts, num_perm, threshold), tables)
     stays = firsts.join(decided, "doc_id", "left").where("coalesce(kept, true)").select("doc_id", F.lit(True).alias("kept"))
     return sigs.select("doc_id").join(stays, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+def unique_documents(docs: DataFrame, most: int = 0, **settings) -> DataFrame:
+    """The documents that stay, by doc_id; with ``most`` above 0, the first so many."""
+    kept = docs.join(dedup(docs, **settings).where("kept").select("doc_id"), "doc_id", "left_semi").orderBy("doc_id")
+    return kept.limit(most) if most else kept
+
+
 def dedup_stats(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count("*").alias("total"), F.count_if(~F.col("kept")).alias("duplicates"), F.count_if("kept").alias("unique")).select("total", "duplicates", "unique", F.coalesce(F.try_divide("duplicates", "total"), F.lit(0.0)).alias("rate"))

@@ -238,3 +238,18 @@ def funding_payload(spark, sf):
     body = F.concat(F.lit('{"code": "0", "data": ['), F.when(F.col("event_id") % 5 == 0, F.lit('{"close": "x"}')).otherwise(good), F.lit("]}"))
     raw = read(spark, sf, "events").select(F.col("event_id").alias("payload"), body.alias("body"))
     return derivatives.funding_rows(raw, "payload", "body").select("payload", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("rate", 6).alias("rate"))
+
+
+@register("""
+    SELECT event_id AS payload, CASE WHEN event_id % 4 = 1 THEN 50.0 ELSE round(value / 10, 6) END AS long_pct, 50.0 AS short_pct, CASE WHEN event_id % 4 = 2 THEN 1.0 ELSE 1.5 END AS ratio
+    FROM events WHERE event_id % 4 <> 0
+""")
+def positioning_payload(spark, sf):
+    """Vendor JSON with missing figures (defaults) and bad rows (left out), here written from the events."""
+    i = F.col("event_id")
+    share = F.when(i % 4 == 1, F.lit("")).otherwise(F.concat(F.lit('"longRatio": "'), F.round(F.col("value") / 10, 6).cast("string"), F.lit('", ')))
+    ratio = F.when(i % 4 == 2, F.lit("")).otherwise(F.lit('"longShortRatio": "1.5", '))
+    bad = F.when(i % 4 == 0, F.lit('"shortRatio": "x", ')).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"code": "0", "data": [{'), share, ratio, bad, F.lit('"time": 1700000000000}]}'))
+    raw = read(spark, sf, "events").select(i.alias("payload"), body.alias("body"))
+    return derivatives.ratio_rows(raw, "payload", "body").select("payload", F.round("long_pct", 6).alias("long_pct"), "short_pct", "ratio")

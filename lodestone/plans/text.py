@@ -88,6 +88,40 @@ def content_analysis(spark, sf):
     return _code(spark, sf).select("doc_id", c.contains("class ").alias("has_class"), c.contains("def ").alias("has_function"), F.size(tx.lines(c)).cast("long").alias("line_count"), tx.docstring(c).alias("has_docstring"))
 
 
+@register(f"SELECT doc_id, len(string_split(text, chr(10))) BETWEEN 10 AND 1000 AND {_KW} >= 2 AS passes FROM documents")
+def corpus_light_filter(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", tx.light_pass(F.col("text"), WORDS).alias("passes"))
+
+
+#: Replies of a model with and without fences; ~ stands for a line break.
+REPLIES = ["Here:~```python~import pandas as pd~def s(d): return 'long'~```~done", 'def s(d): return "flat"', "x = 1```y", "from a import numpy~return"]
+_REPLY_SQL = "CASE event_id % 4 " + " ".join(f"WHEN {i} THEN replace('{r.replace(chr(39), chr(39) * 2)}', '~', chr(10))" for i, r in enumerate(REPLIES)) + " END"
+
+
+@register(f"""
+    WITH r AS (SELECT event_id, {_REPLY_SQL} AS reply FROM events), b AS (SELECT event_id, CASE WHEN contains(reply, '```python') THEN split_part(reply, '```python', 2) ELSE reply END AS behind FROM r),
+    c AS (SELECT event_id, split_part(behind, '```', 1) AS code FROM b),
+    p AS (SELECT event_id, CASE WHEN contains(code, 'import pandas as pd') THEN code ELSE 'import pandas as pd' || chr(10) || code END AS code FROM c),
+    n AS (SELECT event_id, trim('import numpy as np' || chr(10) || code, ' ' || chr(10)) AS code FROM p)
+    SELECT event_id, code, contains(code, 'def ') AND contains(code, 'return') AND (contains(code, '''long''') OR contains(code, chr(34) || 'flat' || chr(34))) AS is_strategy FROM n
+""")
+def code_cleanup(spark, sf):
+    reply = F.element_at(F.array(*(F.lit(r.replace("~", "\n")) for r in REPLIES)), (F.col("event_id") % 4 + 1).cast("int"))
+    code = tx.code_block(F.col("reply"))
+    return read(spark, sf, "events").select("event_id", reply.alias("reply")).select("event_id", code.alias("code"), tx.strategy_shape(code).alias("is_strategy"))
+
+
+@register("""
+    SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN '### Instruction:' || chr(10) || source || chr(10) || chr(10) || '### Response:' || chr(10) || text
+           WHEN 1 THEN '### Question:' || chr(10) || source || chr(10) || chr(10) || '### Answer:' || chr(10) || text WHEN 2 THEN text ELSE '{"other":"' || source || '"}' END) AS md5 FROM documents
+""")
+def finance_samples(spark, sf):
+    k = F.col("doc_id") % 4
+    only = lambda n, c: F.when(k == n, F.col(c))
+    made = tx.sample_text(only(0, "source"), only(0, "text"), only(1, "source"), only(1, "text"), only(2, "text"), F.struct(F.col("source").alias("other")))
+    return read(spark, sf, "documents").select("doc_id", F.md5(made).alias("md5"))
+
+
 _NORM = r"trim(regexp_replace(lower(text), '[\s\x1c-\x1f]+', ' ', 'g'))"
 
 
@@ -122,6 +156,12 @@ def dedup_stats(spark, sf):
     return minhash.dedup_stats(minhash.dedup(read(spark, sf, "documents"), family="mix"))
 
 
+@register(None)
+def dedup_words(spark, sf):
+    """The light variant: words instead of n-grams, and any common band drops."""
+    return minhash.dedup(read(spark, sf, "documents"), ngram=0, family="mix", verify=False)
+
+
 @register(None)
 def corpus_pipeline(spark, sf):
     """Filter, first-wins dedup, priority, training format."""
@@ -344,6 +384,25 @@ def memory_context_budget(spark, sf):
     return memory.budgeted(_memories(spark, sf), "session_id", order, "content", 4000).select("session_id", "id", F.col("rank").cast("long"), "running")
 
 
+@register("""
+    WITH t AS (SELECT text, conv_id * 3600 + turn * 60 AS t, conv_id * 1000 + turn AS id FROM conversations WHERE role = 'user' AND text ILIKE '%the%' ORDER BY 2 DESC, 3 DESC LIMIT 5)
+    SELECT md5(string_agg(text, chr(10) ORDER BY t DESC, id DESC)) AS context_md5 FROM t
+""")
+def memory_context(spark, sf):
+    found = memory.search(_memories(spark, sf), "the", "user", limit=5)
+    return memory.context(found).select(F.md5("context").alias("context_md5"))
+
+
+@register("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE o_orderpriority END AS symbol, 'flat' AS decision,
+           CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE (o_orderkey % 100) / 100.0 END AS DOUBLE) AS confidence, 0 AS refinements, '' AS trend FROM orders
+""")
+def trading_records(spark, sf):
+    o = F.col("o_orderkey")
+    rows = read(spark, sf, "orders").select(o.cast("string").alias("timestamp"), F.when(o % 5 != 0, F.col("o_orderpriority")).alias("symbol"), F.when(o % 3 != 0, (o % 100).cast("double") / 100).alias("confidence"))
+    return memory.trading_records(rows).select(F.col("timestamp").cast("long").alias("o_orderkey"), "symbol", "decision", "confidence", "refinements", "trend")
+
+
 _TOPK = """
     WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT query_id, vec_id, round({score}, 9) AS score FROM q, embeddings)

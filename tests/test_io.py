@@ -66,6 +66,20 @@ def test_models(spark):
     assert got == {1: 0, 2: 3, 3: 2}
 
 
+def test_embedding_and_tokens(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+
+    class Broken:
+        def embed(self, texts):
+            raise OSError("no route")
+
+    v = [r.v for r in df.orderBy("doc_id").select(models.embed(F.col("text"), models.Hashed(8), 8).alias("v")).collect()]
+    assert sum(x * x for x in v[0]) == pytest.approx(1) and v[1] == [0.0] * 8
+    assert df.select(models.embed(F.col("text"), Broken(), 3).alias("v")).first().v == [0.0] * 3
+    got = {r.doc_id: r for r in models.tokenised(df, lambda t: [len(w) for w in t.split()], 3, 0).collect()}
+    assert got[1].input_ids == [1, 1, 0] and got[1].attention_mask == [1, 1, 0] and got[2].attention_mask == [0, 0, 0]
+
+
 def test_stream_dedup_equals_batches(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for k in range(3):
