@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,25 +59,46 @@ def budgeted(found: DataFrame, by: str, order: list[Column], text: str, budget:
     return ranked.withColumn("running", running).where(F.col("running") <= budget)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, p: s + p)
+def chunked(vectors: DataFrame, key: str, value: str, rows: int) -> DataFrame:
+    """ids, matrix: at most ``rows`` vectors a row, the matrix as little-endian doubles. Vectors of a chunk have one dimension."""
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("matrix", pa.binary())])
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            for a in range(0, part.num_rows, rows):
+                own = part.slice(a, rows)
+                flat = own.column(1).cast(pa.list_(pa.float64())).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([own.column(0).to_pylist()], schema.field(0).type), pa.array([flat.astype("<f8").tobytes()])], schema=schema)
+
+    return vectors.select(F.col(key).cast("long"), value).where(F.col(value).isNotNull()).mapInArrow(run, "ids array<long>, matrix binary")
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False, rows: int = 4096) -> DataFrame:
     """query_id, vec_id, score, rank: the best ``k`` of all vectors for each query (query_id, query); ties by vec_id.
 
-    The stated queries are few and broadcast; every vector meets them once where it lies, tasks keep their own best, and only
-    those are ranked together.
+    Blocks of queries meet blocks of vectors, one matrix product each, and only a block's best go on; neither side has to fit
+    anywhere as a whole.
     """
-    norm = lambda v: F.sqrt(dot(v, v))
-    q, v = F.col("query"), F.col("embedding")
-    score = F.coalesce(F.try_divide(dot(q, v), norm(q) * norm(v)), F.lit(0.0)) if cosine else dot(q, v)
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(score, 9).alias("score"))
-    part = scored.withColumn("_part", F.spark_partition_id())
-    best = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))
-    near = part.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(best))).where(F.col("_r") <= k)
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            for qi, qm, vi, vm in zip(*(part.column(i).to_pylist() for i in range(4))):
+                q, v = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(vm, "<f8").reshape(len(vi), -1)
+                scores = np.round(unit(q) @ unit(v).T if cosine else q @ v.T, 9)
+                ids = np.array(vi)
+                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                many = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, many)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], schema=schema)
+
+    left = chunked(queries, "query_id", "query", rows // 4).select(F.col("ids").alias("qi"), F.col("matrix").alias("qm"))
+    met = left.crossJoin(chunked(vectors, "vec_id", "embedding", rows)).mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return near.select("query_id", "vec_id", "score", rank.alias("rank")).where(F.col("rank") <= k)
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:

@@ -165,3 +165,15 @@ def test_knowledge(spark):
     changes = spark.createDataFrame([("c", "k", "w", "{}", "add", 5, 1), ("c", "gone", None, None, "delete", 6, 2), ("c", "u", "x", "{}", "update", 7, 3), ("c", "new", "n", "{}", "update", 8, 4)], "category string, key string, value string, metadata string, op string, at long, seq long")
     got = {r.key: (r.value, r.created_at, r.updated_at) for r in memory.upsert(stored, changes).collect()}
     assert got == {"k": ("w", 5, 5), "u": ("x", 1, 7), "new": ("n", 8, 8)}
+
+
+def test_dedup_of_the_survey(spark):
+    """The number of documents that stay at this size, which components (867) would miss."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert minhash.dedup(docs).where("kept").count() == 868
+
+
+def test_word_dedup(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "d c b a"), (3, "x y"), (4, None), (5, "")], "doc_id long, text string")
+    assert [r.doc_id for r in minhash.unique_documents(docs, ngram=0, family="mix", verify=False).collect()] == [1, 3, 4]
+    assert [r.doc_id for r in minhash.unique_documents(docs, most=2, ngram=0, family="mix").collect()] == [1, 3]
