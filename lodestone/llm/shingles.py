@@ -4,11 +4,14 @@ A document's tokens are its distinct word shingles, as 64-bit hashes. Tokens tha
 classes; every other token is rare. In the order (rare before frequent, then by hash) each document takes a prefix just
 long enough that a partner within the threshold must share one of its signatures: single tokens of the rare part, and pairs
 of tokens of the same class of the frequent part. A prefix covers one lost token with each rare token, and all but the first
-token of each class it holds; it is extended until it covers one token more than a partner may lack.
-
-Documents with equal sets are one node. Nodes with a common signature form a cluster round their smallest node; a cluster is
-cut into blocks, and all pairs of nodes of two blocks are verified exactly in one task, unless links already connect them.
-Only links are emitted, never pairs, and a task emits fewer links than it has nodes; labels then spread along the links.
+token of each class it holds; it is extended until it covers one token more than a partner may lack, and two tokens more
+where rare tokens suffice: partners then share three signatures, which a common sentence alone seldom brings about.
+
+Documents with equal sets are one node. Nodes with a common signature form a cluster round their smallest node, divided by
+size so that only sizes within the threshold meet. Signatures are compared first, and texts are fetched for those nodes
+alone that share as many as they must. Clusters are cut into blocks; all pairs of nodes of two blocks are verified exactly
+in one task, unless links already connect them. Only links are emitted, never pairs, and a task emits fewer links than it
+has nodes; labels then spread along the links.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, join_groups
+from .common import Scratch, batches, join_groups, resident
 from .fingerprint import Powers, mix
 
 _U = np.uint64
@@ -29,8 +32,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Frequent tokens number at most this many, whatever the corpus.
-MOST_FREQUENT = 100_000
+#: Frequent tokens number at most this many (8 bytes each), whatever the corpus.
+MOST_FREQUENT = 500_000
+#: Signatures that partners share at least where rare tokens suffice.
+SHARED = 3
+#: Signatures of up to this many nodes pair them directly.
+PAIRED = 32
 #: A token of fewer documents is rare in any case.
 LEAST_FREQUENT = 32
 
@@ -77,11 +84,14 @@ def classes_for(n: int, percent: int) -> set[int]:
     return {of(s) for s in ((percent * n + 99) // 100, n, 100 * n // percent)}
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a sorted token set; ``frequent`` is sorted. None where no different set can be within the threshold."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The signatures of a sorted token set, and how many of them a partner shares; ``frequent`` is sorted.
+
+    None and 0 where no different set can be within the threshold. Two documents share at least the smaller of their numbers.
+    """
     n = len(tokens)
     if not n or 100 * n < percent * (n + 1):
-        return tokens[:0]
+        return tokens[:0], 0
     need = spare(n, percent) + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -90,7 +100,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
         often = np.zeros(n, bool)
     rare, common = tokens[~often], tokens[often]
     if len(rare) >= need:
-        return rare[:need]
+        shared = min(SHARED, len(rare) - need + 1)
+        return rare[: need + shared - 1], shared
     out = [rare]
     kind = mix(common, 7)
     for many in classes_for(n, percent):
@@ -108,7 +119,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             if not same.any():
                 break
             out.append(mix(mix(held[:-gap][same], 11 + many) + held[gap:][same], 13))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), 1
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -120,39 +131,44 @@ def frequent_tokens(docs: DataFrame, words: int, percent: int, scratch: Scratch)
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def run(parts: Iterator[pa.RecordBatch]):
-        powers = Powers()
+        powers = resident("powers", 0, Powers)
         for part in parts:
             texts = part.column(1).to_pylist()
             for a, b in batches(texts, 1_500_000):
                 low = [s[: spare(len(s), percent) + 1] for s in shingle_sets(texts[a:b], words, powers) if 100 * len(s) >= percent * (len(s) + 1) and len(s)]
                 if low:
                     tokens, n = np.unique(np.concatenate(low), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(tokens.view(np.int64), 0), mask=np.append(np.zeros(len(n), bool), True)), pa.array(np.append(n, n.sum()).astype(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
     counts = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    kept = scratch.write(counts.where(F.col("token").isNull() | (F.col("n") > LEAST_FREQUENT)), "counts")
-    total = kept.where("token is null").agg(F.max("n")).first()[0] or 0
-    least = max(LEAST_FREQUENT, total // MOST_FREQUENT)
-    rows = kept.where(F.col("token").isNotNull() & (F.col("n") > least)).select("token").toPandas()  # at most MOST_FREQUENT
+    often = scratch.write(counts.where(F.col("n") > LEAST_FREQUENT), "counts")
+    # the least count above which no more than MOST_FREQUENT tokens lie; the distinct counts are few
+    least, total = LEAST_FREQUENT, 0
+    for r in often.groupBy("n").count().orderBy(F.col("n").desc()).toLocalIterator():
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            least = r["n"]
+            break
+    rows = often.where(F.col("n") > least).select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(_U)) if len(rows) else np.zeros(0, _U)
 
 
 def sketch(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set, null if empty), sigs of every row."""
+    """doc_id, n_shingles, set_key (128 bits of the whole set, null if empty), sigs, shared of every row."""
     often = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sigs", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sigs", pa.list_(pa.int64())), ("shared", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]):
-        powers = Powers()
+        powers = resident("powers", 0, Powers)
         for part in parts:
             texts = part.column(1).to_pylist()
             for a, b in batches(texts, 1_500_000):
                 sets = shingle_sets(texts[a:b], words, powers)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sigs = [signatures(s, often.value, percent).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, schema.field(3).type)], schema=schema)
+                sigs = [signatures(s, often.value, percent) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x, _ in sigs], schema.field(3).type), pa.array([k for _, k in sigs], pa.int32())], schema=schema)
 
-    return scratch.write(_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sigs array<long>"), "sketch")
+    return scratch.write(_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sigs array<long>, shared int"), "sketch")
 
 
 class Links:
@@ -173,11 +189,11 @@ class Links:
             self.found.append((a, b))
 
 
-def link_sets(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets``; pairs of which both are on side 1 or both on side 2 are left out.
+def link_sets(sets: list[np.ndarray], sides: list[int], near) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``sets``; two sets on side 1, or two on side 2, are not compared if both sides occur.
 
-    Side 0 meets every side, and so do the others if they are all alike. The sets' tokens are indexed once; a set's overlaps
-    with all others come from one count over the index.
+    Side 0 meets every side. The tokens are indexed once, and one count over the index gives a set's overlaps with all others;
+    ``near(a, others, common)`` then tells which link.
     """
     n = len(sets)
     links = Links(n)
@@ -192,7 +208,7 @@ def link_sets(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tu
     crossed = len(set(sides) - {0}) > 1
     roots = np.arange(n)
     for a in range(n - 1):
-        ok = (roots != roots[a]) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a]))
+        ok = roots != roots[a]
         ok[: a + 1] = False
         if crossed and side[a]:
             ok &= side != side[a]
@@ -202,7 +218,8 @@ def link_sets(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tu
         low, many = start[mine], start[mine + 1] - start[mine]
         at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         common = np.bincount(posting[at], minlength=n)
-        hit = np.flatnonzero(ok & (100 * common >= percent * (size + size[a] - common)))
+        others = np.flatnonzero(ok & (common > 0))
+        hit = others[near(a, others, common[others])]
         if len(hit):
             for b in hit.tolist():
                 links.join(a, b)
@@ -210,75 +227,152 @@ def link_sets(sets: list[np.ndarray], sides: list[int], percent: int) -> list[tu
     return links.found
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, scratch: Scratch, block: int = 500) -> DataFrame:
-    """Links (a, b) that connect what the join connects, of nodes (node, sigs)."""
-    signed = nodes.where("size(sigs) > 0").select("node", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("sig", "centre")
-    stars = scratch.write(signed.join(scratch.write(shared, "shared"), "sig").select("centre", "node").distinct(), "stars")
-    sizes = stars.groupBy("centre").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    large = sizes.where("blocks > 1")
-    small = stars.join(sizes.where("blocks = 1"), "centre").select("centre", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node")
-    # a node of block b meets the blocks i <= b <= j; the centre goes along to all
-    at = stars.join(large, "centre").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    meets = at.where("node != centre").withColumn("o", F.explode(others)).select("centre", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 1).otherwise(2).alias("side"), "node")
-    along = large.withColumn("i", F.explode(others)).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1))).select("centre", "i", "j", F.lit(0).alias("side"), F.col("centre").alias("node"))
-    tasks = small.unionByName(meets).unionByName(along)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def block_tasks(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """keys, i, j, side, node: clusters (keys, node) dealt so that all pairs of a cluster meet in some task of at most two blocks.
+
+    A cluster of up to ``block`` nodes is one task; in a larger one, a node of block b meets the blocks i <= b <= j. Clusters
+    of one node are left out.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    dealt = members.join(sizes, keys).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("blocks") == 1, 0).when(F.col("b") < F.col("o"), 1).when(F.col("b") > F.col("o"), 2).otherwise(0)
+    return meets.select(*keys, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "node")
 
-    def run(parts: Iterator[pa.RecordBatch]):
-        powers = Powers()
-        key, ids, sides, sets, held = None, [], [], [], []
 
-        def settle():
-            if held:
-                sets.extend(shingle_sets(held, words, powers))
-                held.clear()
+def per_task(tasks: DataFrame, keys: list[str], columns: list[str], solve, schema: str) -> DataFrame:
+    """Runs ``solve`` on the rows of each task (keys): lists of the columns in, pairs of nodes out, in two long columns.
+
+    Tasks of a partition follow each other, so a worker holds one at a time.
+    """
+    n = len(keys)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        key, held = None, [[] for _ in columns]
 
         def finish():
-            settle()
-            found = link_sets(sets, sides, percent) if len(sets) > 1 else []
+            found = solve(*held) if len(held[0]) > 1 else []
             if found:
-                return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], schema=schema)
+                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=names)
 
-        chars = 0
         for part in parts:
-            for centre, i, j, side, node, text in zip(*(part.column(x).to_pylist() for x in range(6))):
-                if (centre, i, j) != key:
+            for row in zip(*(part.column(i).to_pylist() for i in range(n + len(columns)))):
+                if row[:n] != key:
                     if key is not None and (out := finish()) is not None:
                         yield out
-                    key, ids, sides, sets, chars = (centre, i, j), [], [], [], 0
-                ids.append(node)
-                sides.append(side)
-                held.append(text)
-                chars += len(text)
-                if chars > 1_500_000:
-                    settle()
-                    chars = 0
+                    key, held = row[:n], [[] for _ in columns]
+                for at, value in zip(held, row[n:]):
+                    at.append(value)
         if key is not None and (out := finish()) is not None:
             yield out
 
-    texts = _texts(docs).withColumnRenamed("doc_id", "node")
-    dealt = tasks.join(texts, "node").select("centre", "i", "j", "side", "node", "text").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "side", "node")
-    return scratch.write(dealt.mapInArrow(run, "a long, b long").where("a != b").distinct(), "links")
+    dealt = tasks.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns[:2])
+    return dealt.mapInArrow(run, schema)
+
+
+def paired_candidates(hits: DataFrame, percent: int) -> DataFrame:
+    """a, b: nodes that share as many signatures of small buckets as they must, of rows (sig, node, n, shared).
+
+    A bucket has at most ``PAIRED`` rows, so a row meets a bounded number of others.
+    """
+    lists = hits.groupBy("sig").agg(F.collect_list(F.struct("node", "n", "shared")).alias("m"))
+    fits = f"y.node > x.node and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    pairs = f"flatten(transform(m, x -> transform(filter(m, y -> {fits}), y -> struct(x.node as a, y.node as b, least(x.shared, y.shared) as need))))"
+    met = lists.select(F.explode(F.expr(pairs)).alias("p")).select("p.*")
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+
+
+def clustered_candidates(hits: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, block: int) -> DataFrame:
+    """a, b: links of a spanning forest of the nodes that share as many signatures as they must, of rows (sig, node, n, centre).
 
+    For large buckets: their nodes form clusters round the smallest one, divided by size, in which whole signatures are compared.
+    """
+    # sizes of partners are at most one step apart
+    step = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    stars = scratch.write(hits.select("centre", "node", "n").distinct().withColumn("step", step), "stars")
+    keys = ["centre", "band"]
+    banded = stars.withColumn("band", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    # a band holds the steps band - 1 and band; one of a single step is needed only if no mixed band has that step's nodes
+    mixed = F.col("lo") != F.col("hi")
+    bands = banded.groupBy(*keys).agg(F.count("*").alias("n"), F.min("step").alias("lo"), F.max("step").alias("hi")).where("n > 1")
+    order = Window.partitionBy("centre").orderBy("band")
+    after = (F.lead("band").over(order) == F.col("band") + 1) & F.lead(mixed).over(order)
+    useful = bands.withColumn("after", F.coalesce(after, F.lit(False))).where(mixed | ((F.col("band") == F.col("lo")) & ~F.col("after"))).select(*keys)
+    members = banded.join(useful, keys).select("centre", "band", "node")
+    tasks = block_tasks(members, keys, block).join(nodes.select("node", "n", "sigs", "shared"), "node")
+
+    def solve(ids, sides, sizes, sigs, shared):
+        size, least = np.array(sizes), np.array(shared)
+
+        def near(a, others, count):
+            fits = 100 * np.minimum(size[others], size[a]) >= percent * np.maximum(size[others], size[a])
+            return fits & (count >= np.minimum(least[others], least[a]))
+
+        return [(ids[a], ids[b]) for a, b in link_sets([np.array(x) for x in sigs], sides, near)]
+
+    return per_task(tasks, [*keys, "i", "j"], ["node", "side", "n", "sigs", "shared"], solve, "a long, b long")
+
+
+def candidate_groups(nodes: DataFrame, percent: int, scratch: Scratch, block: int = 2000) -> DataFrame:
+    """root, node: groups such that nodes which share as many signatures as they must are in the same one.
+
+    Two nodes that share a signature of a large bucket are compared by all their signatures there; the signatures that any
+    other two share are all of small buckets.
+    """
+    signed = nodes.where("shared > 0").select("node", "n", "shared", F.explode("sigs").alias("sig"))
+    common = scratch.write(signed.groupBy("sig").agg(F.min("node").alias("centre"), F.count("*").alias("many")).where("many > 1"), "common")
+    small, large = common.where(F.col("many") <= PAIRED).select("sig"), common.where(F.col("many") > PAIRED).select("sig", "centre")
+    near = scratch.write(paired_candidates(signed.join(small, "sig"), percent), "paired")
+    # large buckets hold more than PAIRED rows each; their signatures are met by a join that spreads hot ones
+    far = scratch.write(clustered_candidates(signed.join(large, "sig"), nodes, percent, scratch, block).distinct(), "clustered")
+    scratch.drop("common")
+    found = components(near.unionByName(far), scratch, "candidate")
+    return found.select(F.col("component").alias("root"), "node")
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, component (the smallest node reachable) of the nodes of links (a, b), by spreading and jumping labels."""
-    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    label = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "label0")
-    turn = 0
+
+def verified_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, scratch: Scratch, block: int = 500) -> DataFrame:
+    """Links (a, b) that connect what the join connects, of nodes (node, n, sigs, shared)."""
+    groups = candidate_groups(nodes, percent, scratch)
+    # neither side is of bounded size, so the join shuffles at any size
+    tasks = block_tasks(groups, ["root"], block).hint("merge").join(_texts(docs).withColumnRenamed("doc_id", "node"), "node")
+
+    def solve(ids, sides, texts):
+        powers, sets = resident("powers", 0, Powers), []
+        for a, b in batches(texts, 1_500_000):
+            sets += shingle_sets(texts[a:b], words, powers)
+        size = np.array([len(s) for s in sets])
+        near = lambda a, others, count: 100 * count >= percent * (size[others] + size[a] - count)
+        return [(ids[a], ids[b]) for a, b in link_sets(sets, sides, near) if ids[a] != ids[b]]
+
+    return scratch.write(per_task(tasks, ["root", "i", "j"], ["node", "side", "text"], solve, "a long, b long").distinct(), "links")
+
+
+def components(links: DataFrame, scratch: Scratch, name: str = "component") -> DataFrame:
+    """node, component (the smallest node reachable) of the nodes of links (a, b).
+
+    In each round every node moves up to its smallest neighbour if that is smaller, and the links between what they moved to
+    go on: at least half of the nodes vanish a round, so all rounds together handle little more than the first. The steps up
+    are then chained from the last round back.
+    """
+    tidy = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = scratch.write(tidy(links.select("a", "b")), f"{name}-edges0")
+    steps: list[DataFrame] = []
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        lower = label.join(near, "node").select("node", F.least("label", "l").alias("mid"), "label")
-        jump = label.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        turn += 1
-        now = scratch.write(lower.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), (F.least("mid", F.coalesce("far", "mid")) != F.col("label")).alias("moved")), f"label{turn}")
-        label = now.select("node", "label")
-        if not now.where("moved").limit(1).count():
-            return label.withColumnRenamed("label", "component")
-        if turn > 1:
-            scratch.drop(f"label{turn - 2}")
+        turn = len(steps)
+        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        step = scratch.write(near.select("node", F.least("node", "m").alias("up")), f"{name}-step{turn}")
+        steps.append(step)
+        up = lambda c: step.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")).hint("merge")  # noqa: B023, E731
+        edges = scratch.write(tidy(edges.join(up("a"), "a").join(up("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))), f"{name}-edges{turn + 1}")
+        scratch.drop(f"{name}-edges{turn}")
+        if edges.isEmpty():
+            break
+    found = steps.pop().select("node", F.col("up").alias("component"))
+    for step in reversed(steps):
+        above = found.select(F.col("node").alias("up"), F.col("component").alias("far"))
+        found = step.join(above, "up", "left").select("node", F.coalesce("far", "up").alias("component"))
+    return found
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -291,10 +385,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     scratch = Scratch(docs.sparkSession, "shingles")
     every = sketch(docs, words, percent, frequent_tokens(docs, words, percent, scratch), scratch)
     named = every.where("set_key is not null and doc_id is not null")
-    nodes = scratch.write(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sigs").alias("sigs")), "nodes")
+    nodes = scratch.write(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sigs", "shared")).alias("s")).select("set_key", "node", "copies", "s.*"), "nodes")
     found = components(verified_links(docs, nodes, words, percent, scratch), scratch)
-    groups = nodes.drop("sigs").join(found, "node", "left").select("set_key", "copies", F.coalesce("component", "node").alias("component_id"))
-    groups = scratch.write(groups, "groups")
+    groups = nodes.select("set_key", "node", "copies").join(found, "node", "left").select("set_key", "copies", F.coalesce("component", "node").alias("component_id"))
+    groups = scratch.write(groups, "named")
     linked = join_groups(named.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "copies", named.count())
     alone = every.where("set_key is null or doc_id is null")
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -64,6 +64,7 @@ def test_edges(spark, k, percent):
 @pytest.mark.parametrize(("least", "block"), [(32, 500), (2, 7)])
 def test_hot_families_equal_brute_force(spark, monkeypatch, least, block):
     monkeypatch.setattr(sh, "LEAST_FREQUENT", least)
+    monkeypatch.setattr(sh, "PAIRED", least)
     links, groups = sh.verified_links, sh.candidate_groups
     monkeypatch.setattr(sh, "verified_links", lambda *a: links(*a, block=block))
     monkeypatch.setattr(sh, "candidate_groups", lambda *a: groups(*a, block=block))
@@ -98,3 +99,22 @@ def test_sets_equal_words():
     texts = ["One two THREE four", "é É ß", "a b", "a", "", "x\ty\nz w", "a b c a b c a b c"]
     for k in (1, 3, 5):
         assert [len(s) for s in sh.shingle_sets(texts, k, Powers())] == [len(brute_set(t, k)) for t in texts]
+
+
+def test_components_equal_union_find(spark):
+    from lodestone.llm.common import Scratch
+
+    random.seed(9)
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(random.randrange(100, 300), random.randrange(100, 300)) for _ in range(120)] + [(1000, x) for x in range(400, 460)]
+    up = {x: x for p in pairs for x in p}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in sh.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "t")).collect()}
+    assert got == {x: root(x) for x in {x for a, b in pairs if a != b for x in (a, b)}}
