@@ -82,6 +82,16 @@ def resident(name: str, key, make):
     return store[name][1]
 
 
+def bounded_batches(df: DataFrame, rows: int = 500) -> None:
+    """Texts go to Python workers in batches of at most ``rows``: buffers on both sides stay small however long a session lives.
+
+    A smaller setting of the session is left as it is.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+
+
 def batches(texts: list, most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of at most ``most_chars`` characters each (a longer text stands alone): bounds a worker's memory."""
     start = size = 0

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, join_groups
+from .common import Scratch, bounded_batches, join_groups
 
 #: The characters that do not count: space and 0x09 to 0x0D.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -137,6 +137,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 4096, doc_id: str = "doc_id"
     with the same doc_id and text are separate documents of one group, of which one is kept. Other columns are not read, so
     clashing names do not matter; an empty table gives an empty result.
     """
+    bounded_batches(docs)
     scratch = Scratch(docs.sparkSession, "exact")
     raw = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).cast("long"), raw.cast("binary"), F.length(raw).cast("long"))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 
 #: Cells in each of the three parts of a stored fingerprint.
 BASE = 4
@@ -215,6 +217,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     Documents are cut into ranges of doc_id (null first); the first rows of a range are repeated behind the range before it,
     those of the first range behind the last. Only range bounds, a few per task, go to the driver; the text moves once.
     """
+    bounded_batches(docs)
     spark = docs.sparkSession
     lowest = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, carried, held_out
+from .common import batches, bounded_batches, carried, held_out
 
 #: Symbols of the kernel's alphabet: 0 everything that is no letter, 1-26 a-z, the others for further letters by code point.
 SYMBOLS = 128
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int =
     of each language, none longer than ``most_chars``. Texts that are null or have no letter are ``und`` with score 0, as are
     all texts if nothing could be learned. Repeated rows are predicted each; other columns are not read.
     """
+    bounded_batches(docs)
     sample = training_sample(docs, folds, fold, per_language, most_chars)
     model = fit([t for t, _ in sample], [x for _, x in sample], n_landmarks)
     more, kinds, names = carried(docs, carry)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, resident
+from .common import Scratch, batches, bounded_batches, resident
 
 #: A run of equal sequences: how many, and the (length, number of pieces) in each.
 Run = tuple[int, list[tuple[int, int]]]
@@ -84,6 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, end
 
     All pieces but the first are ``capacity`` long. Null counts as empty; an empty text is the end id alone.
     """
+    bounded_batches(docs)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.uint32())] * with_ids
     schema = pa.schema(list(zip(names, [*kinds[:5], *([pa.list_(pa.int32())] * with_ids)])))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, bounded_batches
 
 #: The library's white-space marker.
 MARK = "▁"
@@ -99,6 +99,7 @@ def read_model(path: str) -> bytes:
 
 def encode_pieces(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row; null and empty texts have no ids. Other columns are not read."""
+    bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(parts):
@@ -130,6 +131,7 @@ def piece_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: s
 
     Rows repeat as they come, ids may be null, other columns are not read, an empty table gives an empty result.
     """
+    bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(parts):

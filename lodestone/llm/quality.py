@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out
+from .common import Scratch, bounded_batches, held_out
 
 #: Byte classes: 0 other, 1 lower or non-ASCII letter, 2 upper, 3 digit, 4 white, 5 sentence mark, 6 bracket or quote, 7 symbol.
 _CLASS = np.zeros(256, np.intp)
@@ -92,6 +92,7 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = 0
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, stats (array of double) of every row; null counts as empty."""
+    bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("stats", pa.list_(pa.float64()))])
 
     def run(parts: Iterator[pa.RecordBatch]):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, join_groups, resident
+from .common import Scratch, batches, bounded_batches, join_groups, resident
 from .fingerprint import Powers, mix
 
 _U = np.uint64
@@ -123,6 +123,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

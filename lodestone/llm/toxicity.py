@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, carried, held_out
+from .common import batches, bounded_batches, carried, held_out
 
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that may be cues.
@@ -280,6 +280,7 @@ def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
     cues, as every text does where the labels do not tell two classes apart. Offsets count code points, the end excluded.
     Repeated rows are scored each; other columns are not read.
     """
+    bounded_batches(docs)
     sample = training_sample(docs, labels, folds, fold, {1: most_toxic, 0: most_clean}, most_chars)
     model = fit([r[0] for r in sample], [r[1] for r in sample], [r[2] for r in sample])
     model.cache.clear()
