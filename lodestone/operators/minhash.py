@@ -125,6 +125,21 @@ def similar_pairs(sigs: DataFrame, num_perm: int, threshold: float) -> DataFrame
     return both.select("lo", "hi", agreement(F.col("a"), F.col("b"), num_perm).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def members(sigs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, representative, copies of every document: the smallest doc_id with its signature, and how many have it."""
+    key = F.sha2("sig", 256).alias("key")
+    return sigs.select("doc_id", key).join(firsts.select(key, F.col("doc_id").alias("representative"), "copies"), "key").drop("key")
+
+
+def with_members(pairs: DataFrame, sigs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows of two kinds: ``member`` (doc_id, representative, copies) for every document, ``pair`` for the pairs of representatives.
+
+    Two documents are linked if their representatives are the same or a pair. Columns of the other kind are null.
+    """
+    own = members(sigs, firsts).select(F.lit("member").alias("kind"), "doc_id", "representative", "copies")
+    return own.unionByName(pairs.withColumn("kind", F.lit("pair")), allowMissingColumns=True)
+
+
 def first_wins(pairs: DataFrame, tables: Tables) -> DataFrame:
     """doc_id, kept of all nodes of pairs (lo, hi): a node stays unless a lower neighbour does."""
     edges = tables.write(pairs.select("lo", "hi"), "edges")

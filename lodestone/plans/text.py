@@ -131,18 +131,23 @@ def dedup_exact(spark, sf):
     return read(spark, sf, "documents").groupBy(norm.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
 
 
-@register(None)
-def lsh_candidates(spark, sf):
+def _linked(spark, sf, pairs):
     tables = Tables(spark, "lsh")
     sigs = tables.write(minhash.signatures(read(spark, sf, "documents"), family="mix"), "sigs")
-    return minhash.candidates(minhash.distinct_signatures(sigs).select("doc_id", "sig"), 128, 0.7)
+    firsts = tables.write(minhash.distinct_signatures(sigs), "firsts")
+    return minhash.with_members(pairs(firsts, 128, 0.7), sigs, firsts)
+
+
+@register(None)
+def lsh_candidates(spark, sf):
+    """Every document with its signature class, and the pairs of class representatives that share a band."""
+    return _linked(spark, sf, minhash.candidates)
 
 
 @register(None)
 def lsh_verified_pairs(spark, sf):
-    tables = Tables(spark, "lsh")
-    sigs = tables.write(minhash.signatures(read(spark, sf, "documents"), family="mix"), "sigs")
-    return minhash.similar_pairs(minhash.distinct_signatures(sigs).select("doc_id", "sig"), 128, 0.7)
+    """Every document with its signature class, and the pairs of class representatives that agree in 70 % of the positions."""
+    return _linked(spark, sf, minhash.similar_pairs)
 
 
 @register(None)

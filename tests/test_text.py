@@ -9,6 +9,7 @@ from lodestone.functions import scoring as sc
 from lodestone.functions import text as tx
 from lodestone.operators import ffd, memory, minhash, mixing
 from lodestone.operators.tables import Tables
+from lodestone.plans import text as plans
 
 
 def column(spark, texts, expression):
@@ -177,3 +178,32 @@ def test_word_dedup(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "d c b a"), (3, "x y"), (4, None), (5, "")], "doc_id long, text string")
     assert [r.doc_id for r in minhash.unique_documents(docs, ngram=0, family="mix", verify=False).collect()] == [1, 3, 4]
     assert [r.doc_id for r in minhash.unique_documents(docs, most=2, ngram=0, family="mix").collect()] == [1, 3]
+
+
+def test_lsh_links_every_document(spark, sf, tmp_path):
+    """Classes and pairs of both queries, spread over their members, are all pairs that brute force finds."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 100")
+    near = docs.where("doc_id < 8").select((F.col("doc_id") + 1000).alias("doc_id"), F.concat("text", F.lit(" one more")).alias("text"))
+    same = docs.where("doc_id < 5").select((F.col("doc_id") + 2000).alias("doc_id"), F.upper(F.concat(F.lit(" \n"), "text")).alias("text"))
+    more = spark.createDataFrame([(3000, None), (3001, ""), (3002, "alone in its class")], "doc_id long, text string")
+    docs.unionByName(near).unionByName(same).unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    hasher = minhash.Hasher(128, 42, "mix", most=10**7)
+    sigs = {r.doc_id: hasher.signature(minhash.grams(r.text or "", 5)) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    bands, wide = minhash.band_shape(128, 0.7)
+    want = {False: set(), True: set()}
+    for a in sigs:
+        for b in sigs:
+            if a < b:
+                agree = sigs[a] == sigs[b]
+                if agree.reshape(bands, wide).all(1).any():
+                    want[False].add((a, b))
+                    if agree.mean() >= 0.7:
+                        want[True].add((a, b))
+    for query, verified in ((plans.lsh_candidates, False), (plans.lsh_verified_pairs, True)):
+        rows = query(spark, str(tmp_path)).collect()
+        of = {r.doc_id: r.representative for r in rows if r.kind == "member"}
+        assert set(of) == set(sigs) and sum(r.kind == "member" for r in rows) == len(sigs)
+        assert all(r.copies == sum(k == r.representative for k in of.values()) for r in rows if r.kind == "member")
+        assert of[2001] == 1 and of[3001] == 3000 and of[3002] == 3002
+        pairs = {(r.lo, r.hi) for r in rows if r.kind == "pair"}
+        assert {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in pairs)} == want[verified]
