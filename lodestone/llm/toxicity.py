@@ -178,49 +178,61 @@ class Chain:
         return score, spans
 
 
-def fit_chain(sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights by gradient ascent on the mean conditional log likelihood, all sequences at once."""
+def fit_chain(windows: Counter, rounds: int = 150, l2: float = 0.05, block: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """Emission and transition weights by gradient ascent on the mean conditional log likelihood.
+
+    ``windows`` counts pairs of byte strings, a window's classes and labels. Equal windows are computed once a round and count
+    as often as they occur; ``block`` of them are held at a time.
+    """
     emit, move = np.zeros(N_CLASSES), np.zeros((2, 2))
-    if not sequences:
+    if not windows:
         return emit, move
-    n = max(map(len, sequences))
-    size = np.array([len(s) for s in sequences])
-    obs, y = np.zeros((len(sequences), n), int), np.zeros((len(sequences), n), int)
-    for i, (s, t) in enumerate(zip(sequences, labels)):
-        obs[i, : len(s)], y[i, : len(s)] = s, t
-    live = np.arange(n)[None, :] < size[:, None]
-    gold_e = np.bincount(obs[live & (y == 1)], minlength=N_CLASSES).astype(float)
-    pair = live[:, 1:]
-    gold_m = np.bincount((y[:, :-1] * 2 + y[:, 1:])[pair], minlength=4).astype(float).reshape(2, 2)
-    total = float(size.sum())
+    kinds = sorted(windows, key=lambda k: (len(k[0]), k))
+    blocks, gold, total = [], np.zeros(N_CLASSES + 4), 0.0
+    for a in range(0, len(kinds), block):
+        part = kinds[a : a + block]
+        n = len(part[-1][0])
+        size, times = np.array([len(s) for s, _ in part]), np.array([windows[k] for k in part], float)
+        obs, y = np.zeros((n, len(part)), np.uint8), np.zeros((n, len(part)), np.uint8)
+        for i, (s, t) in enumerate(part):
+            obs[: len(s), i], y[: len(s), i] = np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8)
+        live = np.arange(n)[:, None] < size
+        often = live * times
+        gold[:N_CLASSES] += np.bincount(obs.ravel(), weights=(often * y).ravel(), minlength=N_CLASSES)
+        gold[N_CLASSES:] += np.bincount((y[:-1] * 2 + y[1:]).ravel(), weights=often[1:].ravel(), minlength=4)
+        total += float((size * times).sum())
+        blocks.append((obs, size, times))
     first, second = np.zeros(N_CLASSES + 4), np.zeros(N_CLASSES + 4)
     for step in range(1, rounds + 1):
-        m, e = np.exp(move), np.stack([np.ones(obs.shape), np.exp(emit)[obs]], -1)
-        f, b, s = np.zeros(e.shape), np.ones(e.shape), np.ones(obs.shape)
-        f[:, 0] = e[:, 0]
-        f[:, 0] /= f[:, 0].sum(1, keepdims=True)
-        for t in range(1, n):
-            f[:, t] = np.where(live[:, t, None], (f[:, t - 1] @ m) * e[:, t], f[:, t - 1])
-            s[:, t] = f[:, t].sum(1)
-            f[:, t] /= s[:, t, None]
-        for t in range(n - 2, -1, -1):
-            v = (b[:, t + 1] * e[:, t + 1]) @ m.T
-            b[:, t] = np.where(live[:, t + 1, None], v / v.sum(1, keepdims=True), 1.0)
-        both = f * b
-        p = both[..., 1] / both.sum(-1)
-        soft_e = np.bincount(obs[live], weights=p[live], minlength=N_CLASSES)
-        joint = f[:, :-1, :, None] * m[None, None] * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
-        soft_m = joint[pair].sum(0)
-        grad = np.concatenate([gold_e - soft_e, (gold_m - soft_m).ravel()]) / total * 100 - l2 * np.concatenate([emit, move.ravel()]) / 10
+        soft, m, weight = np.zeros(N_CLASSES + 4), np.exp(move), np.exp(emit)
+        for obs, size, times in blocks:  # time first, the two states apart: every step works on whole rows
+            n = len(obs)
+            live = np.arange(n)[:, None] < size
+            often, e = live * times, weight[obs]
+            f, b = np.empty((n, 2, len(size))), np.ones((n, 2, len(size)))
+            f[0, 0], f[0, 1] = 1.0, e[0]
+            f[0] /= f[0].sum(0)
+            for t in range(1, n):
+                x, z = f[t - 1]
+                f[t, 0], f[t, 1] = x * m[0, 0] + z * m[1, 0], (x * m[0, 1] + z * m[1, 1]) * e[t]
+                f[t] /= f[t].sum(0)
+            for t in range(n - 2, -1, -1):
+                x, z = b[t + 1, 0], b[t + 1, 1] * e[t + 1]
+                v = np.stack([x * m[0, 0] + z * m[0, 1], x * m[1, 0] + z * m[1, 1]])
+                b[t] = np.where(live[t + 1], v / v.sum(0), 1.0)
+            both = f * b
+            soft[:N_CLASSES] += np.bincount(obs.ravel(), weights=(often * both[:, 1] / both.sum(1)).ravel(), minlength=N_CLASSES)
+            joint = np.stack([f[:-1, i] * m[i, j] * (b[1:, j] * e[1:] if j else b[1:, j]) for i in (0, 1) for j in (0, 1)])
+            soft[N_CLASSES:] += (joint * (often[1:] / joint.sum(0))).sum((1, 2))
+        grad = (gold - soft) / total * 100 - l2 * np.concatenate([emit, move.ravel()]) / 10
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         delta = 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         emit, move = emit + delta[:N_CLASSES], move + delta[N_CLASSES:].reshape(2, 2)
     return emit, move
 
 
-def fit(texts: list[str], toxic: list[int], weights: list[float], window: int = 40, most_windows: int = 4000) -> Chain:
-    """A chain from texts, document labels and sampling weights. Without both labels every score is the mean label (or 0)."""
+def fit(texts: list[str], toxic: list[int], weights: list[float], window: int = 40) -> Chain:
+    """A chain from all windows of the texts, document labels and sampling weights. Without both labels every score is the mean label (or 0)."""
     docs = [WORD.findall(t.lower()) for t in texts]
     mean = float(np.average(toxic, weights=weights)) if toxic else 0.0
     prior = math.log((mean + 1e-3) / (1 - mean + 1e-3))
@@ -228,16 +240,12 @@ def fit(texts: list[str], toxic: list[int], weights: list[float], window: int =
     if not toxic or min(toxic) == max(toxic):
         return chain
     chain.cues = find_cues(docs, toxic)
-    sequences, labels = [], []
+    windows: Counter = Counter()
     for words, t in zip(docs, toxic):
-        classes = np.array([chain.observe(w) for w in words], int)
-        marks = np.array([t and max((chain.cues.get(k, 0.0) for k in cue_keys(w)), default=0.0) >= LEVELS[1] for w in words], int)
-        for a in range(0, len(words), window):  # labelled tokens, in windows; those without a cue in full proportion to the others
-            own = classes[a : a + window]
-            if len(sequences) < most_windows and (own.any() or (a // window) % 8 == 0):
-                sequences.append(own)
-                labels.append(marks[a : a + window])
-    chain.emit, chain.move = fit_chain(sequences, labels)
+        classes = bytes(chain.observe(w) for w in words)
+        marks = bytes(t and max((chain.cues.get(k, 0.0) for k in cue_keys(w)), default=0.0) >= LEVELS[1] for w in words)
+        windows.update((classes[a : a + window], marks[a : a + window]) for a in range(0, len(words), window))
+    chain.emit, chain.move = fit_chain(windows)
     x = np.array([(1.0, *chain.evidence(chain.marginals([chain.observe(w) for w in words]))) for words in docs])
     y, w = np.array(toxic, float), np.array(weights)
     theta = np.array([prior, 0.0, 0.0])
@@ -276,7 +284,7 @@ def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
     With ``carry`` the rows' columns come along as ``_carried0``, ....
 
     The chain is fitted on a bounded sample of labelled rows outside the held-out fold: at most ``most_toxic`` and
-    ``most_clean``, none longer than ``most_chars``. Null and empty texts have no tokens and get the score of a text without
+    ``most_clean``, none longer than ``most_chars``; all windows of the sample are trained on. Null and empty texts have no tokens and get the score of a text without
     cues, as every text does where the labels do not tell two classes apart. Offsets count code points, the end excluded.
     Repeated rows are scored each; other columns are not read.
     """

@@ -111,3 +111,20 @@ def test_toxicity_edges(spark, labels):
         got = toxicity.tag_toxicity(frame(spark), known.select("doc_id", "toxic")).collect()
         assert len(got) == len(TEXTS) + 2 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.tag_toxicity(frame(spark, []), labels).count() == 0
+
+
+def test_chain_learns_all_windows():
+    """Toxic documents behind thousands of clean ones are learned, and the order of the sample does not matter."""
+    clean = [(f"some a{i % 7} plain words of left{i % 50} nice b{i % 5} text", 0) for i in range(4100)]
+    rows = clean + [(f"some a{i % 7} plain words of left{i} idiot b{i % 5} text", 1) for i in range(200)]
+    one, other = (toxicity.fit([t for t, _ in r], [y for _, y in r], [1.0] * len(r)) for r in (rows, rows[::-1]))
+    assert np.allclose(one.emit, other.emit) and np.allclose(one.move, other.move)
+    text = "plain words, idiot and more"
+    assert one.score(text)[0] > 0.8 and [text[a:b] for a, b, _ in one.score(text)[1]] == ["idiot"]
+
+
+def test_equal_windows_count_as_often_as_they_occur():
+    rng = np.random.default_rng(1)
+    pairs = [(bytes(rng.choice([0, 0, 0, 1, 5, 15], n).tolist()), bytes(rng.integers(0, 2, n).tolist())) for n in rng.integers(1, 41, 60)]
+    once, blocks = toxicity.fit_chain(toxicity.Counter(pairs * 3)), toxicity.fit_chain(toxicity.Counter(pairs), block=7)
+    assert all(np.allclose(a, b) for a, b in zip(once, blocks))
