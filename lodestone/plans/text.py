@@ -169,13 +169,21 @@ def dedup_words(spark, sf):
 
 @register(None)
 def corpus_pipeline(spark, sf):
-    """Filter, first-wins dedup, priority, training format."""
+    """Filter, first-wins dedup, priority, training format.
+
+    Documents that pass are the code source, all others the finance source. Both are deduplicated against one index, code
+    before finance; 5000 generated samples are added as they are.
+    """
     tables = Tables(spark, "corpus")
-    passed = tables.write(_judged(spark, sf).where("verdict = 'pass'").select("doc_id", "text"), "passed")
-    kept = minhash.dedup(passed, family="mix").where("kept").select("doc_id")
-    made = passed.join(kept, "doc_id").select("doc_id", tx.phi_format(F.col("text"), F.lit("code")).alias("text"), F.lit("code").alias("source"))
-    more = mixing.synthetic(spark, 1000).select(F.col("sample_id").alias("doc_id"), tx.phi_format(F.col("text"), F.lit("synthetic")).alias("text"), F.lit("synthetic").alias("source"))
-    return mixing.shuffled(made.unionByName(more), "doc_id")
+    judged = _judged(spark, sf).select("doc_id", "text", F.when(F.col("verdict") == "pass", "code").otherwise("cot").alias("source"))
+    span = F.broadcast(judged.agg((F.max("doc_id") - F.min("doc_id") + 1).alias("span")))
+    place = F.when(F.col("source") == "code", F.col("doc_id")).otherwise(F.col("doc_id") + F.col("span"))
+    placed = tables.write(judged.crossJoin(span).select("doc_id", "text", "source", place.alias("place")), "placed")
+    kept = minhash.dedup(placed.select(F.col("place").alias("doc_id"), "text"), family="mix").where("kept").select(F.col("doc_id").alias("place"))
+    more = mixing.synthetic(spark, 5000).select(F.col("sample_id").alias("doc_id"), "text", F.lit("synthetic").alias("source"))
+    rows = placed.join(kept, "place").select("doc_id", "text", "source").unionByName(more)
+    priority = F.round(tx.priority(F.col("text"), WORDS, PATTERNS), 6).alias("priority")
+    return mixing.shuffled(rows.select("doc_id", tx.phi_format(F.col("text"), F.col("source")).alias("text"), "source", priority), "doc_id")
 
 
 @register("""

@@ -207,3 +207,17 @@ def test_lsh_links_every_document(spark, sf, tmp_path):
         assert of[2001] == 1 and of[3001] == 3000 and of[3002] == 3002
         pairs = {(r.lo, r.hi) for r in rows if r.kind == "pair"}
         assert {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in pairs)} == want[verified]
+
+
+def test_corpus_pipeline_is_whole(spark, tmp_path):
+    """Documents that fail the filter are the second source, deduplicated behind those that pass, whatever their ids."""
+    code = "\n".join(f"value{i} = the thing of the licensed index {i * i}" for i in range(12))
+    rows = [(1, " ".join(code.split("\n"))), (2, "Profits rose in the third quarter, said the bank."), (3, "Profits rose in the third quarter, said the bank."), (7, code), (8, code.upper())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.corpus_pipeline(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.source) for r in got if r.source != "synthetic"} == {(7, "code"), (2, "cot")}
+    assert sum(r.source == "synthetic" for r in got) == 5000
+    text = {r.source: r.text for r in got if r.doc_id in (2, 7) and r.source != "synthetic"}
+    assert text["cot"] == tx.PHI["cot"].replace("{}", rows[1][1]) and text["code"] == tx.PHI["code"].replace("{}", code)
+    scores = {r.doc_id: r.priority for r in plans.corpus_priority_score(spark, str(tmp_path)).collect()}
+    assert all(r.priority == scores[r.doc_id] for r in got if r.source != "synthetic") and scores[7] > 0
