@@ -23,8 +23,10 @@ def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some learned language; those without any letter go."""
-    return _restored(identify(docs, carry=True).where("lang_pred <> 'und'"), docs)
+    """Documents in some language; those without any letter go. Where none could be learned, all with a letter stay."""
+    found = identify(docs, carry=True)
+    text = F.col(f"_carried{docs.columns.index('text')}")
+    return _restored(found.where((F.col("lang_pred") != "und") | text.rlike(r"\p{L}")), docs)
 
 
 def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,8 @@ def test_stages(spark):
     assert ids["near dedup"] == {i for i in sets if root(i) == i}
     assert ids["packing"] == ids["near dedup"]
     assert seen["packing"].groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_texts_stay_where_no_language_can_be_learned(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "漢字 🙂", None), (3, "123 !!", None), (4, "", None), (5, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.by_language(spark, docs, SF).collect()} == {1, 2}
