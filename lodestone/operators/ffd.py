@@ -7,6 +7,8 @@ array functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +53,8 @@ def first_fit(lengths: list[int], target: int, separator: int, full: float = 0.9
 def with_shard(samples: DataFrame, order: str, size: int, partition: list[str] | None = None, lead: int = 100_000) -> DataFrame:
     """``shard``: position by ``order`` in steps of ``size``, without sorting the table in one task.
 
-    Positions are counts below in ranges of ``order`` (a window over few range totals) plus the rank within the range.
+    Positions are counts below in ranges of ``order`` (a window over few range totals) plus the rank within the range. A null
+    partition or order counts as a value; a null order comes first.
     """
     by = [*(partition or [])]
     ranged = samples.withColumn("_range", F.floor(F.col(order) / lead))
@@ -59,7 +62,10 @@ def with_shard(samples: DataFrame, order: str, size: int, partition: list[str] |
     before = Window.partitionBy(*by, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)) - 1
-    placed = ranged.withColumn("_rank", rank).join(totals, [*by, "_range"])
+    keys = [*by, "_range"]
+    named = totals.select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)), "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
+    placed = ranged.withColumn("_rank", rank).join(named, same).drop(*(f"_t{i}" for i in range(len(keys))))
     return placed.withColumn("shard", F.floor((F.col("_rank") + F.col("_before")) / size)).drop("_range", "_rank", "_before")
 
 

@@ -221,3 +221,10 @@ def test_corpus_pipeline_is_whole(spark, tmp_path):
     assert text["cot"] == tx.PHI["cot"].replace("{}", rows[1][1]) and text["code"] == tx.PHI["code"].replace("{}", code)
     scores = {r.doc_id: r.priority for r in plans.corpus_priority_score(spark, str(tmp_path)).collect()}
     assert all(r.priority == scores[r.doc_id] for r in got if r.source != "synthetic") and scores[7] > 0
+
+
+def test_packing_keeps_null_keys(spark, tmp_path):
+    rows = [(1, "a", "x" * 400), (2, None, "x" * 400), (None, "a", "x" * 400), (None, None, "x" * 400), (3, "a", "x" * 40000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.pack_ffd(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.source)) for r in got) == sorted((str(i), str(s)) for i, s, _ in rows)
