@@ -1,9 +1,11 @@
+import json
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import bench
 from lodestone import catalog
 
 
@@ -34,3 +36,13 @@ def test_entry(spark):
 def test_flagship_prunes_and_aggregates_without_python(spark, sf):
     plan = catalog.QUERIES["gaf_features"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "props" not in plan
+
+
+def test_bench_times_all_queries(spark, sf, monkeypatch, capsys):
+    names = [*entry.queries()]
+    monkeypatch.setattr(entry, "queries", lambda: {n: lambda s, _: s.range(1) for n in names})
+    monkeypatch.setenv("BENCH_SF_DIR", sf)
+    monkeypatch.setenv("BENCH_CPUS", "4")
+    monkeypatch.delenv("BENCH_QUERIES", raising=False)
+    bench.main()
+    assert [*json.loads(capsys.readouterr().out.splitlines()[-1])["queries"]] == names
