@@ -29,8 +29,8 @@ class BytePairs:
     """Byte-level BPE ids, as little-endian unsigned 32-bit bytes, by the vocabulary of a ``tokenizers`` file.
 
     Where ids follow the order of the merges and the pre-tokeniser is the plain byte-level one, the ids are ranks, and an
-    encoder by ranks gives the same ids several times faster; files of another kind go through the library itself. The
-    string of a special token in a text is ordinary text.
+    encoder by ranks gives the same ids several times faster; files of another kind go through the library itself. Where an
+    added token's string stands in a text it is that token, as the library reads it.
     """
 
     #: The byte-level pre-tokeniser's pattern (fixed value).
@@ -45,12 +45,14 @@ class BytePairs:
             from tokenizers import Tokenizer
 
             lib = Tokenizer.from_str(tokenizer_json)
-            lib.encode_special_tokens = True
             self.ids = lambda text: lib.encode(text, add_special_tokens=False).ids
         else:
             import tiktoken
 
-            self.ids = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            added = {t["content"]: t["id"] for t in json.loads(tokenizer_json).get("added_tokens", [])}
+            table = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+            plain, marks = table.encode_ordinary, [*added]
+            self.ids = lambda text: table.encode(text, allowed_special="all") if any(m in text for m in marks) else plain(text)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, without special tokens."""
@@ -70,6 +72,9 @@ def byte_ranks(tokenizer_json: str) -> dict[bytes, int] | None:
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))}
     added = {t["content"] for t in spec.get("added_tokens", [])}
+    loose = any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if loose or any(a != b and a in b for a in added for b in added):
+        return None  # such tokens take text around them, or one stands in another: only the library knows which
     vocab = {k: v for k, v in model["vocab"].items() if k not in added}
     if any(c not in of for k in vocab for c in k):
         return None
@@ -236,18 +241,21 @@ def places(runs: list[Run]) -> tuple[np.ndarray, ...]:
 def pack_pieces(pieces: DataFrame, scratch: Scratch, capacity: int = 2048, cell: int = 2000) -> DataFrame:
     """``pieces`` (a written table with doc_id, piece, length) with sequence_id and offset.
 
-    ``cell`` is about how many pieces are ranked together; cells are dealt by hash, so that repeated rows and lengths that
-    are very frequent spread. The driver holds at most ``capacity`` counts and some runs for each.
+    ``cell`` is about how many pieces are ranked together; each length has as many cells as its count needs, dealt by hash,
+    so that repeated rows and lengths that are very frequent spread. The driver holds at most ``capacity`` counts and some
+    runs for each.
     """
     found = pieces.groupBy("length").count().collect()
     runs = plan_sequences({r["length"]: r["count"] for r in found}, capacity)
-    total = sum(r["count"] for r in found)
     names = [c for c in pieces.columns]
-    dealt = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", F.lit(1)), F.lit(-(-total // cell) or 1)))
+    # one number a length, at most ``capacity`` of them
+    wide = pieces.sparkSession.createDataFrame([(r["length"], -(-r["count"] // cell)) for r in found], "length long, _cells long")
+    place = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(1)), F.col("_cells"))
+    dealt = pieces.join(F.broadcast(wide), "length").withColumn("_cell", place).select(*names, "_cell")
     by = ["length", "_cell"]
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy(*by).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy(*by).orderBy("doc_id", "piece")
+    inside = Window.partitionBy(*by).orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = dealt.withColumn("_rank", F.row_number().over(inside) - 1).join(cells, by).withColumn("_rank", F.col("_rank") + F.col("_before"))
     table = pieces.sparkSession.sparkContext.broadcast(places(runs))
     n = len(names)

@@ -1,3 +1,4 @@
+import functools
 import itertools
 import json
 import random
@@ -18,11 +19,14 @@ from .fixtures import TEXTS, frame
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.cache
+def both_encoders():
+    return Tokenizer.from_file(PATH), BytePairs(read_tokenizer(PATH))
+
+
 @pytest.fixture(scope="module")
 def lib():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=200, deadline=None)
@@ -44,6 +48,16 @@ def test_other_files_go_through_the_library():
     assert np.frombuffer(next(BytePairs(changed).encode(["odd case"])), "<u4").tolist() == lib.encode("odd case", add_special_tokens=False).ids
 
 
+def test_special_strings_are_tokens():
+    read = lambda spec, text: np.frombuffer(next(BytePairs(spec).encode([text])), "<u4").tolist()
+    plain = read_tokenizer(PATH)
+    assert read(plain, "a <|endoftext|> b") == [64, 220, 50256, 275]
+    spec = json.loads(plain)
+    spec["added_tokens"][0]["lstrip"] = True  # takes the blank in front: left to the library
+    assert byte_ranks(json.dumps(spec)) is None
+    assert read(json.dumps(spec), "a <|endoftext|> b") == Tokenizer.from_str(json.dumps(spec)).encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def fewest(items, cap):
     """The smallest number of bins, by exhaustive search."""
     best = [len(items)]
