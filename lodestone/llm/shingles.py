@@ -7,11 +7,15 @@ of tokens of the same class of the frequent part. A prefix covers one lost token
 token of each class it holds; it is extended until it covers one token more than a partner may lack, and two tokens more
 where rare tokens suffice: partners then share three signatures, which a common sentence alone seldom brings about.
 
-Documents with equal sets are one node. Nodes with a common signature form a cluster round their smallest node, divided by
-size so that only sizes within the threshold meet. Signatures are compared first, and texts are fetched for those nodes
-alone that share as many as they must. Clusters are cut into blocks; all pairs of nodes of two blocks are verified exactly
-in one task, unless links already connect them. Only links are emitted, never pairs, and a task emits fewer links than it
-has nodes; labels then spread along the links.
+Every row has an id of its own, so rows that share a doc_id stay apart; rows with equal sets are one node, named by its
+first row. Nodes with a common signature form a cluster round their smallest node, divided by size so that only sizes
+within the threshold meet. Signatures are compared first, then the whole sets of those nodes alone that share as many
+signatures as they must. A large cluster is cut into blocks; each block meets a few representatives of the cluster, which
+joins a family of near copies, and only nodes that this leaves outside meet the other blocks, so that a family costs its
+size and no link is lost. Only links are emitted, never pairs, and a task emits fewer links than it has nodes; labels then
+spread along the links.
+
+Sets are compared by the tokens' 64-bit hashes: two different shingles count as one with a chance of about 2 ** -64 a pair.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,10 @@ MOST_FREQUENT = 500_000
 SHARED = 3
 #: Signatures of up to this many nodes pair them directly.
 PAIRED = 32
+#: Nodes that one task compares with each other.
+BLOCK = 500
+#: Nodes of a large group that meet each of its blocks.
+REPRESENTATIVES = 4
 #: A token of fewer documents is rare in any case.
 LEAST_FREQUENT = 32
 
@@ -154,22 +163,35 @@ def frequent_tokens(docs: DataFrame, words: int, percent: int, scratch: Scratch)
     return np.sort(rows["token"].to_numpy(np.int64).view(_U)) if len(rows) else np.zeros(0, _U)
 
 
-def sketch(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set, null if empty), sigs, shared of every row."""
+def sketch(docs: DataFrame, words: int, percent: int, frequent: np.ndarray, scratch: Scratch, carry: bool = False) -> DataFrame:
+    """row (an id of its own), doc_id, tie (hash of the text), text, n_shingles, set_key, sigs, shared of every row; with ``carry`` its other columns.
+
+    ``set_key`` has 128 bits of the whole set and is null if that is empty. The rows are written with their texts, so that
+    later steps find a row by its id.
+    """
+    bounded_batches(docs)
     often = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sigs", pa.list_(pa.int64())), ("shared", pa.int32())])
+    others = [c for c in docs.columns if c != "text"] if carry else []
+    more = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(others)]
+    kinds = "".join(f", _carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
+    names = ["row", "doc_id", "tie", "text", "n_shingles", "set_key", "sigs", "shared", *(f"_carried{i}" for i in range(len(others)))]
 
     def run(parts: Iterator[pa.RecordBatch]):
-        powers = resident("powers", 0, Powers)
+        powers, row = resident("powers", 0, Powers), TaskContext.get().partitionId() << 33
         for part in parts:
-            texts = part.column(1).to_pylist()
+            texts = [t or "" for t in part.column(2).to_pylist()]
             for a, b in batches(texts, 1_500_000):
                 sets = shingle_sets(texts[a:b], words, powers)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sigs = [signatures(s, often.value, percent) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x, _ in sigs], schema.field(3).type), pa.array([k for _, k in sigs], pa.int32())], schema=schema)
+                ids, tie, text, *rest = (c.slice(a, b - a) for c in part.columns)
+                own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x, _ in sigs], pa.list_(pa.int64())), pa.array([k for _, k in sigs], pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b - a)), ids, tie, text, *own, *rest], names=names)
+                row += b - a
 
-    return scratch.write(_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sigs array<long>, shared int"), "sketch")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"), *more)
+    schema = "row long, doc_id long, tie long, text string, n_shingles long, set_key binary, sigs array<long>, shared int" + kinds
+    return scratch.write(plain.mapInArrow(run, schema), "sketch", "zstd")
 
 
 class Links:
@@ -228,23 +250,11 @@ def link_sets(sets: list[np.ndarray], sides: list[int], near) -> list[tuple[int,
     return links.found
 
 
-def block_tasks(members: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """keys, i, j, side, node: clusters (keys, node) dealt so that all pairs of a cluster meet in some task of at most two blocks.
-
-    A cluster of up to ``block`` nodes is one task; in a larger one, a node of block b meets the blocks i <= b <= j. Clusters
-    of one node are left out.
-    """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    dealt = members.join(sizes, keys).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("blocks") == 1, 0).when(F.col("b") < F.col("o"), 1).when(F.col("b") > F.col("o"), 2).otherwise(0)
-    return meets.select(*keys, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), side.alias("side"), "node")
-
-
 def per_task(tasks: DataFrame, keys: list[str], columns: list[str], solve, schema: str) -> DataFrame:
     """Runs ``solve`` on the rows of each task (keys): lists of the columns in, pairs of nodes out, in two long columns.
 
-    Tasks of a partition follow each other, so a worker holds one at a time.
+    The first two columns are node and side; a node that is twice on a side counts once. Tasks of a partition follow each
+    other, so a worker holds one at a time.
     """
     n = len(keys)
     names = [c.split()[0] for c in schema.split(", ")]
@@ -263,6 +273,8 @@ def per_task(tasks: DataFrame, keys: list[str], columns: list[str], solve, schem
                     if key is not None and (out := finish()) is not None:
                         yield out
                     key, held = row[:n], [[] for _ in columns]
+                if held[0] and (held[0][-1], held[1][-1]) == row[n : n + 2]:
+                    continue
                 for at, value in zip(held, row[n:]):
                     at.append(value)
         if key is not None and (out := finish()) is not None:
@@ -272,6 +284,44 @@ def per_task(tasks: DataFrame, keys: list[str], columns: list[str], solve, schem
     return dealt.mapInArrow(run, schema)
 
 
+def forest(members: DataFrame, keys: list[str], payload: DataFrame, columns: list[str], solve, scratch: Scratch, name: str, block: int) -> DataFrame:
+    """Links (a, b) that connect within each group (keys) the nodes that ``solve`` links, of written members (keys, node).
+
+    ``payload`` has node and the columns that ``solve(ids, sides, ...)`` gets. A group of up to ``block`` nodes is one task.
+    A larger one is dealt into blocks, each with the group's representatives. Nodes outside the group's largest component
+    then meet, block by block, all nodes of the group; so no pair is left out unless links already connect it.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"].alias(f"r{s}") for s in range(REPRESENTATIVES))).where("n > 1")
+    sizes = scratch.write(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), f"{name}-sizes")
+    dealt = join_groups(members.select(*keys, "node"), sizes.select(*keys, "n", "blocks"), keys, "n", members.count())
+    dealt = dealt.select(*keys, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"), "node", "blocks")
+    large = sizes.where("blocks > 1")
+    common = large.select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.array(*(f"r{s}" for s in range(REPRESENTATIVES))).alias("r")).select(*keys, "i", F.explode("r").alias("node"))
+
+    def solved(tasks: DataFrame, by: list[str], turn: str) -> DataFrame:
+        # neither side is of bounded size, so the join shuffles at any size
+        found = per_task(tasks.hint("merge").join(payload, "node"), by, ["node", "side", *columns], solve, "a long, b long")
+        return scratch.write(found.where("a <> b").distinct(), f"{name}-{turn}")
+
+    first = solved(dealt.drop("blocks").unionByName(common).withColumn("side", F.lit(0)), [*keys, "i"], "first")
+    if large.isEmpty():
+        return first
+    label = components(first, scratch, f"{name}-partial")
+    held = dealt.where("blocks > 1").join(label, "node", "left").select(*keys, "i", "node", F.coalesce("component", "node").alias("component"))
+    held = scratch.write(held, f"{name}-held")
+    parts = held.groupBy(*keys, "component").agg(F.count("*").alias("m"))
+    main = parts.groupBy(*keys).agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("n"), F.max("m").alias("m")).where("n > m")
+    main = scratch.write(main.withColumn("outer", F.ceil((F.col("n") - F.col("m")) / block).cast("int")), f"{name}-main")
+    if main.isEmpty():
+        return first
+    open_ = held.join(main, keys)
+    every = F.explode(F.sequence(F.lit(0), F.col("outer") - 1))
+    inside = open_.select(*keys, "i", every.alias("o"), "node", F.lit(2).alias("side"))
+    blocks = large.select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    outside = open_.where("component <> main").select(*keys, F.pmod(F.xxhash64("node", F.lit(7)), F.col("outer")).cast("int").alias("o"), "node", F.lit(1).alias("side")).join(blocks, keys)
+    return first.unionByName(solved(inside.unionByName(outside), [*keys, "i", "o"], "second"))
+
+
 def paired_candidates(hits: DataFrame, percent: int) -> DataFrame:
     """a, b: nodes that share as many signatures of small buckets as they must, of rows (sig, node, n, shared).
 
@@ -300,8 +350,7 @@ def clustered_candidates(hits: DataFrame, nodes: DataFrame, percent: int, scratc
     order = Window.partitionBy("centre").orderBy("band")
     after = (F.lead("band").over(order) == F.col("band") + 1) & F.lead(mixed).over(order)
     useful = bands.withColumn("after", F.coalesce(after, F.lit(False))).where(mixed | ((F.col("band") == F.col("lo")) & ~F.col("after"))).select(*keys)
-    members = banded.join(useful, keys).select("centre", "band", "node")
-    tasks = block_tasks(members, keys, block).join(nodes.select("node", "n", "sigs", "shared"), "node")
+    members = scratch.write(banded.join(useful, keys).select("centre", "band", "node"), "banded")
 
     def solve(ids, sides, sizes, sigs, shared):
         size, least = np.array(sizes), np.array(shared)
@@ -312,10 +361,10 @@ def clustered_candidates(hits: DataFrame, nodes: DataFrame, percent: int, scratc
 
         return [(ids[a], ids[b]) for a, b in link_sets([np.array(x) for x in sigs], sides, near)]
 
-    return per_task(tasks, [*keys, "i", "j"], ["node", "side", "n", "sigs", "shared"], solve, "a long, b long")
+    return forest(members, keys, nodes.select("node", "n", "sigs", "shared"), ["n", "sigs", "shared"], solve, scratch, "clustered", block)
 
 
-def candidate_groups(nodes: DataFrame, percent: int, scratch: Scratch, block: int = 2000) -> DataFrame:
+def candidate_groups(nodes: DataFrame, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """root, node: groups such that nodes which share as many signatures as they must are in the same one.
 
     Two nodes that share a signature of a large bucket are compared by all their signatures there; the signatures that any
@@ -326,27 +375,26 @@ def candidate_groups(nodes: DataFrame, percent: int, scratch: Scratch, block: in
     small, large = common.where(F.col("many") <= PAIRED).select("sig"), common.where(F.col("many") > PAIRED).select("sig", "centre")
     near = scratch.write(paired_candidates(signed.join(small, "sig"), percent), "paired")
     # large buckets hold more than PAIRED rows each; their signatures are met by a join that spreads hot ones
-    far = scratch.write(clustered_candidates(signed.join(large, "sig"), nodes, percent, scratch, block).distinct(), "clustered")
-    scratch.drop("common")
+    far = clustered_candidates(signed.join(large, "sig"), nodes, percent, scratch, block)
     found = components(near.unionByName(far), scratch, "candidate")
+    scratch.drop("common")
     return found.select(F.col("component").alias("root"), "node")
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, scratch: Scratch, block: int = 500) -> DataFrame:
-    """Links (a, b) that connect what the join connects, of nodes (node, n, sigs, shared)."""
-    groups = candidate_groups(nodes, percent, scratch)
-    # neither side is of bounded size, so the join shuffles at any size
-    tasks = block_tasks(groups, ["root"], block).hint("merge").join(_texts(docs).withColumnRenamed("doc_id", "node"), "node")
+def verified_links(every: DataFrame, nodes: DataFrame, words: int, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect what the join connects, of nodes (node, n, sigs, shared) and the sketched rows with their texts."""
 
     def solve(ids, sides, texts):
         powers, sets = resident("powers", 0, Powers), []
+        texts = [t or "" for t in texts]
         for a, b in batches(texts, 1_500_000):
             sets += shingle_sets(texts[a:b], words, powers)
         size = np.array([len(s) for s in sets])
         near = lambda a, others, count: 100 * count >= percent * (size[others] + size[a] - count)
-        return [(ids[a], ids[b]) for a, b in link_sets(sets, sides, near) if ids[a] != ids[b]]
+        return [(ids[a], ids[b]) for a, b in link_sets(sets, sides, near)]
 
-    return scratch.write(per_task(tasks, ["root", "i", "j"], ["node", "side", "text"], solve, "a long, b long").distinct(), "links")
+    groups = candidate_groups(nodes, percent, scratch)
+    return forest(groups, ["root"], every.select(F.col("row").alias("node"), "text"), ["text"], solve, scratch, "verified", block)
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "component") -> DataFrame:
@@ -371,9 +419,25 @@ def components(links: DataFrame, scratch: Scratch, name: str = "component") -> D
             break
     found = steps.pop().select("node", F.col("up").alias("component"))
     for step in reversed(steps):
+        # a star's nodes all move up to one; the optimiser splits such a join
         above = found.select(F.col("node").alias("up"), F.col("component").alias("far"))
         found = step.join(above, "up", "left").select("node", F.coalesce("far", "up").alias("component"))
-    return found
+    return scratch.write(found, name)
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """All sketched rows, and (set_key, copies, component_id, first_row) of every set that takes part."""
+    scratch = Scratch(docs.sparkSession, "shingles")
+    every = sketch(docs, words, percent, frequent_tokens(docs, words, percent, scratch), scratch, carry)
+    named = every.where("set_key is not null and doc_id is not null")
+    first = F.min(F.struct("doc_id", "tie", "row")).alias("first")
+    whole = named.groupBy("set_key").agg(first, F.count("*").alias("copies"), F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sigs", "shared")).alias("s"))
+    nodes = scratch.write(whole.select("set_key", F.col("first.row").alias("node"), "first", "copies", "s.*"), "nodes")
+    found = components(verified_links(every, nodes, words, percent, scratch), scratch)
+    lowest = nodes.select("node", "first").join(found, "node").groupBy("component").agg(F.min("first").alias("lowest"))
+    placed = nodes.join(found.join(lowest, "component"), "node", "left").withColumn("lowest", F.coalesce("lowest", "first"))
+    groups = scratch.write(placed.select("set_key", "copies", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("first_row")), "named")
+    return every, groups
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -381,15 +445,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Words are runs of anything but space and 0x09-0x0D, A-Z lower-cased. Null and empty texts have no shingle and link with
     nothing: their component is their own doc_id. Rows with a null doc_id link with nothing either and have a null component.
-    Repeated rows are returned each. Other columns are not read; an empty table gives an empty result.
+    Repeated rows are returned each, and rows of one doc_id with different texts are judged apart. Other columns are not read;
+    an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "shingles")
-    every = sketch(docs, words, percent, frequent_tokens(docs, words, percent, scratch), scratch)
-    named = every.where("set_key is not null and doc_id is not null")
-    nodes = scratch.write(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sigs", "shared")).alias("s")).select("set_key", "node", "copies", "s.*"), "nodes")
-    found = components(verified_links(docs, nodes, words, percent, scratch), scratch)
-    groups = nodes.select("set_key", "node", "copies").join(found, "node", "left").select("set_key", "copies", F.coalesce("component", "node").alias("component_id"))
-    groups = scratch.write(groups, "named")
-    linked = join_groups(named.select("doc_id", "n_shingles", "set_key"), groups, ["set_key"], "copies", named.count())
+    every, groups = _grouped(docs, words, percent, False)
+    named = every.where("set_key is not null and doc_id is not null").select("doc_id", "n_shingles", "set_key")
+    linked = join_groups(named, groups, ["set_key"], "copies", named.count())
     alone = every.where("set_key is null or doc_id is null")
     return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all their columns, of which each group of linked documents keeps one: smallest doc_id, ties by hash of the text.
+
+    What links is as in ``jaccard_components``; texts without a word and rows with a null doc_id link with nothing and stay.
+    Of repeated rows one stays. Rows are told apart by ids of their own, so another text under a doc_id that goes is kept.
+    """
+    every, groups = _grouped(docs, words, percent, True)
+    named = every.where("set_key is not null and doc_id is not null").select("row", "set_key")
+    gone = join_groups(named, groups, ["set_key"], "copies", named.count()).where("row <> first_row").select("row")
+    others = [c for c in docs.columns if c != "text"]
+    own = {c: F.col(f"_carried{i}").alias(c) for i, c in enumerate(others)} | {"text": F.col("text")}
+    return every.join(gone, "row", "left_anti").select(*(own[c] for c in docs.columns))

@@ -74,6 +74,24 @@ def test_hot_families_equal_brute_force(spark, monkeypatch, least, block):
     assert got(spark, data, 3, 90) == brute(data, 3, 90)
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    """A near copy under an id whose other text is unrelated links alone; brute force with ids on several texts."""
+    base = family(24, 40, 3, 7) + family(6, 30, 2, 8) + ["quite another text " * 9, "quite another text " * 9, "short one"]
+    random.seed(3)
+    data = [(random.randrange(12), t, None, None, None, None, None, None, None) for t in base] + [(5, base[0], *[None] * 7), (3, base[0] + " tail", *[None] * 7), (5, "nothing like it at all", *[None] * 7), (None, base[0], *[None] * 7)]
+    assert got(spark, data, 3, 90) == brute(data, 3, 90)
+
+
+def test_what_stays_of_near_copies(spark):
+    text, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(60)) + " more"
+    data = [(3, text, "en", "s", 7, None, "x", 1, 2), (5, near, "en", "s", 8, None, "x", 1, 2), (5, "nothing like it", "en", "s", 9, None, "x", 1, 2), (4, near, None, None, None, None, None, None, None), (4, near, None, None, None, None, None, None, None), (6, None, *[None] * 7), (7, "", *[None] * 7), (7, "", *[None] * 7), (None, text, *[None] * 7)]
+    docs = frame(spark, data).withColumnRenamed("name", "row").withColumnRenamed("token", "set_key")
+    left = sh.without_near_copies(docs, 5, 80)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([data[0], data[2], *data[5:]], key=str)
+    assert sh.without_near_copies(docs.limit(0)).count() == 0
+
+
 def test_empty_table(spark):
     assert sh.jaccard_components(frame(spark, [])).count() == 0
 
