@@ -72,7 +72,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str |
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = tag_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), offsets.alias("offsets"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import language, quality, toxicity
+from lodestone.llm.fingerprint import Powers
 
 from .fixtures import TEXTS, frame
 
@@ -69,41 +70,99 @@ def test_quality_edges(spark, labels):
     assert quality.score_quality(frame(spark, []), labels).count() == 0
 
 
-def brute_marginals(chain, classes):
+def brute_marginals(emit, move):
     """All paths of a short chain."""
-    m, e = np.exp(chain.move), np.exp(chain.emit)
-    total, toxic = 0.0, np.zeros(len(classes))
-    for path in np.ndindex(*[2] * len(classes)):
-        w = np.prod([e[c] if s else 1.0 for s, c in zip(path, classes)]) * np.prod([m[a, b] for a, b in zip(path, path[1:])])
+    m, e = np.exp(move), np.exp(emit)
+    total, toxic = 0.0, np.zeros(len(emit))
+    for path in np.ndindex(*[2] * len(emit)):
+        w = np.prod([x if s else 1.0 for s, x in zip(path, e)]) * np.prod([m[a, b] for a, b in zip(path, path[1:])])
         total += w
         toxic += w * np.array(path)
     return toxic / total
 
 
 def test_marginals_equal_all_paths():
+    """Documents of a batch are chains of their own; blocks of any number of tokens compose exactly."""
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        chain = toxicity.Chain({}, rng.normal(size=toxicity.N_CLASSES), rng.normal(size=(2, 2)), np.zeros(3))
-        classes = [int(c) if rng.random() < 0.4 else 0 for c in rng.integers(0, toxicity.N_CLASSES, rng.integers(1, 11))]
-        want = brute_marginals(chain, classes)
-        for margin in (0, 1, 12):
-            got = chain.marginals(classes, margin)
-            assert set(got) >= {i for i, c in enumerate(classes) if c}
-            assert all(p == pytest.approx(want[i], abs=1e-9) for i, p in got.items())
+    for _ in range(40):
+        sizes = rng.integers(1, 10, rng.integers(1, 60))
+        move, emits = rng.normal(size=(2, 2)), [rng.normal(0, 3, n) for n in sizes]
+        opens = np.concatenate([np.arange(n) == 0 for n in sizes])
+        got = toxicity.marginals(np.concatenate(emits), opens, move)
+        assert np.allclose(got, np.concatenate([brute_marginals(e, move) for e in emits]), atol=1e-9)
+
+
+def test_long_chain_equals_step_by_step():
+    rng = np.random.default_rng(4)
+    emit, move = rng.normal(-2, 3, 30_000), rng.normal(size=(2, 2))
+    m, e, a, forward = np.exp(move), np.exp(emit), np.array([1.0, 1.0]), []
+    for t in range(len(e)):
+        a = np.array([1.0, e[0]]) if t == 0 else (a @ m) * [1.0, e[t]]
+        a = a / a.sum()
+        forward.append(a[1] / a[0])
+    assert np.allclose(toxicity.ratios(emit, np.arange(len(e)) == 0, move)[0], forward)
+
+
+def test_gradient_of_the_likelihood():
+    """One small step of the weights changes the log likelihood as the difference of counts says."""
+    rng = np.random.default_rng(6)
+    n, y = 7, rng.integers(0, 2, 7)
+    emit, move = rng.normal(size=n), rng.normal(size=(2, 2))
+
+    def likelihood(emit, move):
+        w = {p: sum(x for s, x in zip(p, emit) if s) + sum(move[a, b] for a, b in zip(p, p[1:])) for p in np.ndindex(*[2] * n)}
+        return w[tuple(y)] - np.log(sum(np.exp(x) for x in w.values()))
+
+    features, opens = np.arange(n)[None, :].astype(np.int32), np.arange(n) == 0
+    weight, moved = toxicity.climb(features, n + 1, opens, y, np.append(emit, 0.0), move, 1, 0.0)
+    numeric = [(likelihood(emit + 1e-6 * (np.arange(n) == i), move) - likelihood(emit, move)) / 1e-6 for i in range(n)]
+    step = 0.5 * np.array(numeric) / np.sqrt(1e-2 + np.array(numeric) ** 2)
+    assert np.allclose(weight[:-1] - emit, step, atol=1e-3)
+    for a, b in np.ndindex(2, 2):
+        more = move.copy()
+        more[a, b] += 1e-6
+        g = (likelihood(emit, more) - likelihood(emit, move)) / 1e-6
+        assert moved[a, b] - move[a, b] == pytest.approx(0.5 * g / np.sqrt(1e-2 + g**2), abs=1e-3)
+
+
+def score(model, *texts):
+    return toxicity.score(model, model.table(), list(texts), Powers())
 
 
 def test_toxic_spans():
     texts = [f"some a{i % 7} plain words of left{i} {'idiot' if i % 3 == 0 else 'nice'} b{i % 5} text" for i in range(150)]
-    chain = toxicity.fit(texts, [int("idiot" in t) for t in texts], [1.0] * len(texts))
-    score, spans = chain.score("Plain words, IDIOT! and more")
-    assert score > 0.8 and [("Plain words, IDIOT! and more"[a:b]) for a, b, _ in spans] == ["IDIOT"]
-    assert chain.score("plain words")[0] < 0.2 and chain.score("")[1] == []
+    model = toxicity.fit(texts, [int("idiot" in t) for t in texts], [1.0] * len(texts))
+    hard = ["Plain words, IDIOT! and more", "", "Größe İ 🙂 “idiot” 漢字 idiot", "plain words", " of left3 idiot b1"]
+    scores, spans = score(model, *hard)
+    assert [[t[a:b].lower() for a, b, _ in x] for t, x in zip(hard, spans)] == [["idiot"], [], ["idiot", "idiot"], [], ["idiot"]]
+    assert scores[0] > 0.8 and scores[3] < 0.2 and scores[1] == pytest.approx(score(model, "")[0][0])
+    assert [float(score(model, t)[0][0]) for t in hard] == pytest.approx(scores.tolist())
+
+
+def test_beginnings():
+    """A word never seen is toxic by its beginning."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = [" ".join([*(word() for _ in range(8)), *([f"grumble{i % 40}", "person"] if i % 2 else [word(), "person"]), word()]) for i in range(300)]
+    model = toxicity.fit(texts, [i % 2 for i in range(300)], [1.0] * 300)
+    said = [f"{word()} grumblexx person {word()}", f"{word()} hhggff person {word()}"]
+    scores, spans = score(model, *said)
+    assert scores[0] > 0.5 > scores[1] and any("grumblexx" in said[0][a:b] for a, b, _ in spans[0]) and not spans[1]
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.tag_toxicity(docs, labels.select("doc_id", "toxic")).drop("spans").join(labels, "doc_id").where("held_out").toPandas()
+    clean, toxic = found[found.toxic == 0], found[found.toxic == 1]
+    assert len(toxic) > 100 and clean.predicted.mean() <= 0.02 and toxic.predicted.mean() >= 0.9
+    assert found.score.between(0, 1).all() and (found.predicted == (found.score >= 0.3)).all()
 
 
-def test_toxicity_held_out(spark, docs, labels):
-    found = toxicity.tag_toxicity(docs, labels).join(labels, "doc_id").toPandas()
-    clean, toxic = found[found.toxic == 0], found[found.toxic == 1]
-    assert clean.predicted.mean() <= 0.03 and toxic.predicted.mean() >= 0.7
+def test_sample_of_repeated_ids_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)] + [(None, "x")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    rows = toxicity.training_sample(docs, labels, 4, 99, {0: 10, 1: 10}, 100)
+    assert sorted(y for _, y, _ in rows) == [0, 0, 0, 1, 1, 1]
 
 
 def test_toxicity_edges(spark, labels):
@@ -113,18 +172,12 @@ def test_toxicity_edges(spark, labels):
     assert toxicity.tag_toxicity(frame(spark, []), labels).count() == 0
 
 
-def test_chain_learns_all_windows():
+def test_all_of_the_sample_is_learned():
     """Toxic documents behind thousands of clean ones are learned, and the order of the sample does not matter."""
     clean = [(f"some a{i % 7} plain words of left{i % 50} nice b{i % 5} text", 0) for i in range(4100)]
     rows = clean + [(f"some a{i % 7} plain words of left{i} idiot b{i % 5} text", 1) for i in range(200)]
     one, other = (toxicity.fit([t for t, _ in r], [y for _, y in r], [1.0] * len(r)) for r in (rows, rows[::-1]))
-    assert np.allclose(one.emit, other.emit) and np.allclose(one.move, other.move)
+    assert np.allclose(one.move, other.move, atol=1e-6) and np.allclose(one.table(), other.table(), atol=1e-4)
     text = "plain words, idiot and more"
-    assert one.score(text)[0] > 0.8 and [text[a:b] for a, b, _ in one.score(text)[1]] == ["idiot"]
-
-
-def test_equal_windows_count_as_often_as_they_occur():
-    rng = np.random.default_rng(1)
-    pairs = [(bytes(rng.choice([0, 0, 0, 1, 5, 15], n).tolist()), bytes(rng.integers(0, 2, n).tolist())) for n in rng.integers(1, 41, 60)]
-    once, blocks = toxicity.fit_chain(toxicity.Counter(pairs * 3)), toxicity.fit_chain(toxicity.Counter(pairs), block=7)
-    assert all(np.allclose(a, b) for a, b in zip(once, blocks))
+    scores, spans = score(one, text)
+    assert scores[0] > 0.8 and [text[a:b] for a, b, _ in spans[0]] == ["idiot"]
