@@ -1,10 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches over paragraph digests.
 
 A text's paragraphs are its lines, long lines being cut further behind words chosen by their content, so that an edit moves
-no cut elsewhere. Every paragraph has a 64-bit digest (repeats count on), held in one cell of each third of a table: count,
-sum of keys, sum of checks. Two versions' tables subtract; peeling cells that hold a single digest recovers the digests in
-which the versions differ. Where peeling sticks, both versions are sketched in a larger table with other seeds, until it
-succeeds; the likeness then follows exactly from the recovered digests. All comparisons of a batch peel at once.
+no cut elsewhere. Every paragraph has a 48-bit digest (repeats count on), held in one cell of each third of a table: count,
+sum of keys, sum of checks. A stored table has about 1.4 cells a digest and grows until peeling lists all of its digests, so
+a fingerprint alone gives back the set it stands for, and the likeness of two texts follows from their fingerprints.
+
+Two versions' tables subtract; peeling cells that hold a single digest recovers the digests in which the versions differ.
+Where peeling sticks, both versions are sketched in a larger table with other seeds, until it succeeds; the likeness then
+follows exactly from the recovered digests. All comparisons of a batch peel at once.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +25,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 
-#: Cells in each of the three parts of a stored fingerprint.
+#: The fewest cells in each of the three parts of a table.
 BASE = 4
 PARTS = 3
 #: A cut stands behind about one word in this many.
-CUT = 4
+CUT = 8
+#: Bits of a digest, and of a check in a stored fingerprint.
+KEY_BITS, CHECK_BITS = 48, 16
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
@@ -84,7 +90,7 @@ def digests(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     same[1:] = (key[1:] == key[:-1]) & (owner[1:] == owner[:-1])
     at = np.arange(len(key))
     repeat = at - np.maximum.accumulate(np.where(same, 0, at))
-    return owner.astype(np.int64), mix(key + repeat.astype(_U) * _ODD, 2)
+    return owner.astype(np.int64), mix(key + repeat.astype(_U) * _ODD, 2) >> _U(64 - KEY_BITS)
 
 
 def cells(key: np.ndarray, size: np.ndarray, seed: int) -> list[np.ndarray]:
@@ -105,16 +111,17 @@ def tables(owner: np.ndarray, key: np.ndarray, sign: np.ndarray, start: np.ndarr
     return [count, keys, checks]
 
 
-def peel(table: list[np.ndarray], owner_of: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests recovered, as (owner, digest, sign); what stays in ``table`` could not be."""
+def peel(table: list[np.ndarray], owner_of: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int, check_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests recovered, as (owner, digest, sign); what stays in ``table`` could not be. Of keys and checks the low bits count."""
     count, keys, checks = table
+    own_bits, low = _U(2**KEY_BITS - 1), _U(2**check_bits - 1)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     look = np.flatnonzero(count)
     while len(look):
         one = look[np.abs(count[look]) == 1]
         sign = count[one]
-        key = keys[one] * sign.view(_U)
-        pure = checks[one] == mix(key, 3) * sign.view(_U)
+        key = keys[one] * sign.view(_U) & own_bits
+        pure = (checks[one] - mix(key, 3) * sign.view(_U)) & low == 0
         one, sign, key = one[pure], sign[pure], key[pure]
         if not len(one):
             break
@@ -177,14 +184,74 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return np.where(both > 0, common / np.maximum(both - common, 1), 1.0)
 
 
+_CELL = np.dtype([("c", "u1"), ("low", "<u4"), ("high", "<u2"), ("h", "<u2")])
+
+
 def fingerprints(owner: np.ndarray, key: np.ndarray, n: int) -> list[str]:
-    """The stored sketches: base64 of the number of digests, then count, key sum and check sum of each cell."""
-    start, size = np.arange(n + 1) * BASE * PARTS, np.full(n, BASE, np.int64)
-    count, keys, checks = tables(owner, key, np.ones(len(key), np.int64), start, size, n * BASE * PARTS, 0)
-    many = np.bincount(owner, minlength=n).astype("<u4")
-    body = np.zeros((n, BASE * PARTS), np.dtype([("c", "<u4"), ("k", "<u8"), ("h", "<u4")]))
-    body["c"], body["k"], body["h"] = (x.reshape(n, -1) for x in (count, keys, checks & _U(0xFFFFFFFF)))
-    return [base64.b64encode(many[i].tobytes() + body[i].tobytes()).decode() for i in range(n)]
+    """The stored sketches of ``n`` sets: base64 of the number of digests and of cells a part, then count, key sum and check sum of each cell.
+
+    A table that does not give back all its digests grows by half until it does.
+    """
+    many = np.bincount(owner, minlength=n)
+    size = BASE + np.ceil(many * 1.35 / PARTS).astype(np.int64)
+    out: list[str] = [""] * n
+    open_ = np.arange(n)
+    while len(open_):
+        no = np.full(n, -1, np.int64)
+        no[open_] = np.arange(len(open_))
+        mine = no[owner] >= 0
+        own, parts = no[owner[mine]], size[open_]
+        start = np.concatenate([[0], np.cumsum(parts * PARTS)])
+        table = tables(own, key[mine], np.ones(len(own), np.int64), start, parts, int(start[-1]), 0)
+        owner_of = np.repeat(np.arange(len(open_)), parts * PARTS)
+        body = np.zeros(int(start[-1]), _CELL)
+        body["c"], body["low"], body["high"], body["h"] = table[0] & 255, table[1] & _U(2**32 - 1), table[1] >> _U(32) & _U(65535), table[2] & _U(65535)
+        crowded = np.bincount(owner_of, weights=table[0] > 255, minlength=len(open_)) > 0
+        peel(table, owner_of, start, parts, 0)
+        left = crowded | (np.bincount(owner_of, weights=table[0] != 0, minlength=len(open_)) > 0)
+        for k in np.flatnonzero(~left):
+            i = open_[k]
+            out[i] = base64.b64encode(np.array([many[i], parts[k]], "<u4").tobytes() + body[start[k] : start[k + 1]].tobytes()).decode()
+        size[open_[left]] += size[open_[left]] // 2 + 1
+        open_ = open_[left]
+    return out
+
+
+def listed(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number, digest) of all digests that stored sketches hold, by peeling each alone."""
+    raw = [base64.b64decode(x) for x in prints]
+    heads = np.array([np.frombuffer(r, "<u4", 2) for r in raw], np.int64).reshape(-1, 2)
+    size = heads[:, 1]
+    start = np.concatenate([[0], np.cumsum(size * PARTS)])
+    body = np.frombuffer(b"".join(r[8:] for r in raw), _CELL)
+    table = [body["c"].astype(np.int64), body["low"].astype(_U) | body["high"].astype(_U) << _U(32), body["h"].astype(_U)]
+    own, key, _ = peel(table, np.repeat(np.arange(len(raw)), size * PARTS), start, size, 0, CHECK_BITS)
+    rest = (table[1] & _U(2**KEY_BITS - 1)).any() or (table[2] & _U(2**CHECK_BITS - 1)).any()
+    if table[0].any() or rest or not np.array_equal(np.bincount(own, minlength=len(raw)), heads[:, 0]):
+        raise ValueError("a fingerprint is damaged: its cells do not give back its digests")
+    return own, key
+
+
+def fingerprint_likeness(a: list[str], b: list[str]) -> np.ndarray:
+    """Likeness (0 to 1) of pairs of stored fingerprints, from them alone."""
+    return likeness(listed(a), listed(b), len(a)) if len(a) else np.zeros(0)
+
+
+def compare_fingerprints(pairs: DataFrame, a: str, b: str, name: str = "likeness") -> DataFrame:
+    """``pairs`` with the likeness of two fingerprint columns; null where either is."""
+    bounded_batches(pairs)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            x, y = (part.column(part.schema.get_field_index(c)).to_pylist() for c in (a, b))
+            at = [i for i in range(len(x)) if x[i] is not None and y[i] is not None]
+            out: list[float | None] = [None] * len(x)
+            for i, v in zip(at, fingerprint_likeness([x[i] for i in at], [y[i] for i in at]).tolist()):
+                out[i] = v
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names, name])
+
+    return pairs.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def edit(text: str, following: str) -> str:
@@ -194,7 +261,10 @@ def edit(text: str, following: str) -> str:
 
 
 def _compare(texts: list[str], powers: Powers) -> dict[str, list]:
-    """What is returned for all texts but the last, which only follows."""
+    """What is returned for all texts but the last, which only follows.
+
+    A stored fingerprint gives back its digests exactly, so the likenesses are those of the fingerprints themselves.
+    """
     n = len(texts) - 1
     edited = [edit(t, f) for t, f in zip(texts, texts[1:])]
     own, other = digests(texts, powers), digests(edited, powers)
@@ -223,10 +293,14 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(lowest)))
     n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("key")))
-    rows = rows.withColumn("bucket", bucket)
+    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("c")).first()["c"] or []
+    bounds = np.array(sorted(set(cuts)), np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(), "right").astype(np.int32))
+
+    rows = rows.withColumn("bucket", bucket("key"))
     firsts = [tuple(r) for r in rows.groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()]
     before = [(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)]
     also = F.broadcast(spark.createDataFrame(before, "key long, also int"))
@@ -239,7 +313,7 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None, block_cha
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The next document is the one that follows by ascending doc_id (null first, ties by text), after the last the first; a
-    lone document follows itself. Null counts as empty. A text without a word has an empty sketch; two of these are alike (1),
+    lone document follows itself. Rows of one doc_id are documents of their own, whatever their texts. Null counts as empty. A text without a word has an empty sketch; two of these are alike (1),
     one and another text are not (0). Other columns are not read; an empty table gives an empty result.
     """
     fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
