@@ -5,14 +5,17 @@ marker. A text then falls into chunks (markers, then the characters up to the ne
 each distinct chunk is segmented once, and a text's ids are its chunks' ids joined by position. Models of another kind
 (pieces that cross markers, a normaliser that rewrites text) go through the library text by text.
 
-The table lives in a worker and holds a bounded number of chunks, so memory does not grow with the corpus; nothing is
-shuffled.
+The table belongs to a worker process and outlives its tasks. It holds a bounded number of chunks in two generations: when
+the younger one is full the older one goes, and what is used again moves on, so common chunks are segmented once a worker and
+memory does not grow with the corpus. Nothing is shuffled: sending every rare chunk to one place and its ids back by position
+would move several times the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, bounded_batches
+from .common import batches, bounded_batches, resident
 
 #: The library's white-space marker.
 MARK = "▁"
@@ -28,25 +31,34 @@ _RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class ChunkTable:
-    """Encodes texts with a SentencePiece model; ``most`` bounds the chunks that are held at a time."""
+    """Encodes texts with a SentencePiece model; each of two generations holds ``most`` chunks and those of a batch."""
 
     def __init__(self, model: bytes, most: int = 200_000):
         import sentencepiece
 
-        self.lib, self.most, self.ids, self.numbers, self.counts, self.texts = sentencepiece.SentencePieceProcessor(model_proto=model), most, {}, {}, {}, {}
+        self.lib, self.most = sentencepiece.SentencePieceProcessor(model_proto=model), most
+        #: ids by chunk as decimal text with commas, and the decoded text of chunks that do not read back as themselves
+        self.ids, self.before, self.odd = {}, {}, {}
         self.apart = separable(model)
 
     def learn(self, chunks: set[str]) -> None:
         """Segment the chunks that the table lacks. A chunk's key is the chunk without its first marker."""
-        new = [c for c in chunks if c not in self.counts]
-        if len(self.counts) + len(new) > self.most:
-            for table in (self.ids, self.numbers, self.counts, self.texts):
-                table.clear()
-            new = list(chunks)
+        if len(self.ids) > self.most:
+            self.ids, self.before = {}, self.ids
+            self.odd = {k: v for k, v in self.odd.items() if k in self.before}
+        new = []
+        for c in chunks.difference(self.ids):
+            got = self.before.get(c)
+            if got is None:
+                new.append(c)
+            else:
+                self.ids[c] = got
         found = self.lib.encode(new, num_threads=1)
         found = [ids if key else [self.lib.piece_to_id(MARK)] for key, ids in zip(new, found)]
         for key, ids, text in zip(new, found, self.lib.decode(found, num_threads=1)):
-            self.ids[key], self.numbers[key], self.counts[key], self.texts[key] = ids, ",".join(map(str, ids)), len(ids), " " + text
+            self.ids[key] = ",".join(map(str, ids))
+            if text != key.replace(MARK, " "):
+                self.odd[key] = text
 
     def chunks(self, text: str) -> list[str]:
         """The keys of the text's chunks, in order."""
@@ -56,26 +68,31 @@ class ChunkTable:
             return [x[1:] for x in _RUN.findall(MARK + text.replace(" ", MARK))]
         return text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+    def joined(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """For each text its ids as decimal text with commas, and its decoded text."""
         if not self.apart:
-            return self.lib.encode(texts, num_threads=1)
+            for ids in self.lib.encode(texts, num_threads=1):
+                yield ",".join(map(str, ids)), self.lib.decode(ids)
+            return
         cut = [self.chunks(t) for t in texts]
-        self.learn(set().union(*cut) if cut else set())
-        return [[i for key in keys for i in self.ids[key]] for keys in cut]
+        own = set().union(*cut) if cut else set()
+        self.learn(own)
+        odd = own.intersection(self.odd)
+        for text, keys in zip(texts, cut):
+            if odd and not odd.isdisjoint(keys):
+                said = "".join(" " + self.odd.get(k, k.replace(MARK, " ")) for k in keys)[1:]
+            else:
+                said = text.replace(MARK, " ")
+            yield ",".join(map(self.ids.__getitem__, keys)), said
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        return [[int(x) for x in ids.split(",")] if ids else [] for ids, _ in self.joined(texts)]
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text the number of its ids, and the SHA-256 of the ids (decimal, commas) and of the decoded text."""
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        if not self.apart:
-            for ids in self.lib.encode(texts, num_threads=1):
-                yield len(ids), sha(",".join(map(str, ids))), sha(self.lib.decode(ids))
-            return
-        cut = [self.chunks(t) for t in texts]
-        self.learn(set().union(*cut) if cut else set())
-        numbers, counts, said = self.numbers.__getitem__, self.counts.__getitem__, self.texts.__getitem__
-        for keys in cut:
-            yield sum(map(counts, keys)), sha(",".join(map(numbers, keys))), sha("".join(map(said, keys))[1:])
+        for ids, said in self.joined(texts):
+            yield ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()
 
 
 def separable(model: bytes) -> bool:
@@ -103,7 +120,7 @@ def encode_pieces(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: s
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(parts):
-        table = ChunkTable(model)
+        table = resident("chunks", (zlib.crc32(model), len(model)), lambda: ChunkTable(model))
         for part in parts:
             rows, texts = part.column(0), part.column(1).to_pylist()
             for a, b in batches(texts):
@@ -135,7 +152,7 @@ def piece_digests(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: s
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(parts):
-        table = ChunkTable(model)
+        table = resident("chunks", (zlib.crc32(model), len(model)), lambda: ChunkTable(model))
         for part in parts:
             rows, texts = part.column(0), part.column(1).to_pylist()
             for a, b in batches(texts):

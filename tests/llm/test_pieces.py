@@ -38,6 +38,24 @@ def test_equals_library(text):
     assert list(table.digests([text])) == [(len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))]
 
 
+def test_common_chunks_are_segmented_once(model):
+    table, seen = ChunkTable(model, most=20), []
+    encode = table.lib.encode
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(lib, name)
+
+        def encode(self, texts, **kw):
+            seen.extend(texts)
+            return encode(texts, **kw)
+
+    lib, table.lib = table.lib, Counting()
+    for i in range(50):
+        table.encode([f"the common words x{i}a x{i}b x{i}c"])
+    assert seen.count("the") == seen.count("words") == 1 and len(table.ids) + len(table.before) < 60
+
+
 def test_documents_equal_library(spark, sf, lib, model):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for r in piece_digests(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
