@@ -1,8 +1,10 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import urls
 from lodestone.llm.urls import filter_urls, host_of, url_key
 
 T0 = datetime(2024, 1, 1)
@@ -49,5 +51,9 @@ def test_as_of_equals_brute_force(spark):
     e = spark.createDataFrame(events, "kind string, rule string, action string, event string, at timestamp")
     got = sorted(((r.page_id, r.verdict, r.rule) for r in filter_urls(c, e).collect()), key=str)
     assert got == brute(captures, events)
+    plain = urls.as_of
+    with pytest.MonkeyPatch.context() as patch:  # every (key, month) of more than four captures is salted
+        patch.setattr(urls, "as_of", lambda *a: plain(*a, hot_share=0.01))
+        assert sorted(((r.page_id, r.verdict, r.rule) for r in filter_urls(c, e).collect()), key=str) == got
     assert filter_urls(c.limit(0), e).count() == 0
     assert {r.verdict for r in filter_urls(c, e.limit(0)).collect()} == {"allow"}
