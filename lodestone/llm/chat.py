@@ -67,7 +67,8 @@ def format_chats(messages: DataFrame, trained_role: str = "assistant") -> DataFr
     ``messages`` has conv_id, turn, role and ``parts`` (an array of kind, text, ref, tokens; null: no parts). ``spans`` gives
     the places of the text under the loss mask in ``formatted``; ``attachments`` the references in order, with turn, place
     and expanded token count. Turns that tie are ordered by role, then content; a null turn comes first, a null role counts
-    as empty, repeated rows are turns of their own, a null conv_id is a conversation. Other columns are not read.
+    as empty, repeated rows are turns of their own, a null conv_id is a conversation. Texts are formatted whole, however long.
+    Other columns are not read; an empty table gives an empty result.
     """
     role = F.coalesce("role", F.lit(""))
     trained = role == trained_role
@@ -114,9 +115,12 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted text."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted text.
+
+    With them n_attachments and expanded_tokens of the attachments that the visitor recorded.
+    """
     turns = F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    back = chats.select("conv_id", "formatted", turns.alias("turns"), loss_text(F.col("formatted"), F.col("spans")).alias("loss"))
+    back = chats.select("conv_id", "formatted", "expanded_tokens", F.size("attachments").cast("bigint").alias("n_attachments"), turns.alias("turns"), loss_text(F.col("formatted"), F.col("spans")).alias("loss"))
     return back.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
@@ -124,4 +128,6 @@ def chat_digests(chats: DataFrame) -> DataFrame:
         F.length("loss").cast("bigint").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "n_attachments",
+        "expanded_tokens",
     )

@@ -115,7 +115,8 @@ ORACLES: dict[str, str] = {
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, escaped)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, escaped) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-               CAST(sum(9 + length(role) + 1 + length(escaped) + 8) AS BIGINT) AS formatted_chars
+               CAST(sum(9 + length(role) + 1 + length(escaped) + 8) AS BIGINT) AS formatted_chars,
+               CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
         FROM e GROUP BY conv_id
     """,
     "op6_url_filters": r"""

@@ -44,11 +44,21 @@ def test_parts_in_order(spark):
     r = format_chats(df).first()
     assert [(a.turn, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", EXPANDED["image"]), (0, "audio", "b.wav", 33), (0, "document", "c.pdf", EXPANDED["document"])]
     assert all(r.formatted[a.start :].startswith(f"<|{a.kind}|>") for a in r.attachments)
+    told = chat_digests(format_chats(df)).first()
+    assert (told.n_attachments, told.expanded_tokens) == (3, r.expanded_tokens)
     assert r.expanded_tokens == EXPANDED["image"] + 33 + EXPANDED["document"] and r.n_turns == 3
     back = format_chats(df).select(loss_text(F.col("formatted"), F.col("spans")).alias("loss"), read_back(F.col("formatted")).alias("turns")).first()
     assert back.loss == "see <|image|> and" and [tuple(t) for t in back.turns] == [("assistant", "see <|image|> and"), ("user", ""), ("user", "")]
 
 
+def test_very_long_texts(spark):
+    text = "[INST] long \\ </s> " * 60_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text[::-1] + text)], "conv_id long, turn long, role string, text string")
+    r = chat_digests(format_chats(df.withColumn("parts", text_part(F.col("text"))))).first()
+    loss = text[::-1] + text
+    assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss)) and r.turns_sha256 == sha(f"user\n{text}\nassistant\n{loss}\n")
+
+
 def test_empty_and_native(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     out = chat_digests(format_chats(df.withColumn("parts", text_part(F.col("text")))))
