@@ -1,6 +1,8 @@
 """Language identification by string kernels.
 
-A text is the set of its character n-grams of blended lengths (1 to 3), over lower-cased characters. The kernel of two texts
+A text is the set of its character n-grams of blended lengths (1 to 3), over lower-cased characters. The alphabet has a-z,
+one symbol for everything that is no letter, and 101 symbols that all further letters share by code point: alphabets of a
+hundred letters keep theirs apart, while the signs of larger scripts fall on one another. The kernel of two texts
 is the sum over the lengths of their normalised numbers of common n-grams. Some training texts serve as Nyström landmarks;
 the kernel rows against them are mapped to Nyström features, on which one-versus-rest kernel ridge regression is solved.
 Scoring multiplies batches: the (texts x n-grams) presence matrix with the (n-grams x languages) matrix into which the
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, bounded_batches, carried, held_out
@@ -123,33 +125,37 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def training_sample(docs: DataFrame, folds: int, fold: int, per_language: int, most_chars: int) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_language`` training rows of each language, by hash order of their ids.
+def training_sample(docs: DataFrame, folds: int, fold: int, per_language: int, most_chars: int, most_languages: int, most_texts: int) -> list[tuple[str, str]]:
+    """(text, lang) of at most ``per_language`` training rows of each of the most frequent languages, by hash order.
 
-    Rows without a letter or of more than ``most_chars`` code points are not sampled.
+    Rows without a letter or of more than ``most_chars`` code points are not sampled, repeated rows once. The lowest hashes of
+    (doc_id, text) are picked on the cluster; the driver gets at most ``most_texts`` rows, whatever repeats.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold) & (F.length("text") <= most_chars))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    share = F.lit(0)
-    for x, n in counts.items():
-        share = F.when(F.col("lang") == x, F.lit(int((1 << 30) * min(1.0, 1.2 * per_language / n)) + 1)).otherwise(share)
-    taken: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.where(draw < share).select("lang", "text", draw.alias("at")).toLocalIterator():
-        if has_letter(r["text"]):
-            taken.setdefault(r["lang"], []).append((r["at"], r["text"]))
-    return [(t, x) for x in sorted(taken) for _, t in sorted(taken[x])[:per_language]]
-
-
-def identify(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int = 400, n_landmarks: int = 240, most_chars: int = 20_000, carry: bool = False) -> DataFrame:
+    text = F.col("text").cast("string")
+    rows = docs.where(F.col("lang").isNotNull() & text.isNotNull() & ~held_out(F.col("doc_id"), folds, fold) & (F.length(text) <= most_chars) & text.rlike(r"\p{L}"))
+    rows = rows.select("lang", text.alias("text"), F.pmod(F.xxhash64("doc_id", text, F.lit(17)), F.lit(1 << 50)).alias("draw"))
+    several = F.approx_count_distinct("draw").alias("several")  # repeated rows draw alike
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), several).orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()
+    if not counts:
+        return []
+    each = max(1, min(per_language, most_texts // len(counts)))
+    shares = [(r["lang"], int((1 << 50) * min(1.0, 1.5 * each / max(1, r["several"]))) + 1) for r in counts]
+    few = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
+    drawn = rows.join(few, "lang").where("draw < share").groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    ranked = drawn.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("no") <= each)
+    return [(r["text"], r["lang"]) for r in ranked.orderBy("lang", "no").toLocalIterator()]
+
+
+def identify(docs: DataFrame, folds: int = 5, fold: int = 0, per_language: int = 400, n_landmarks: int = 240, most_chars: int = 20_000, most_languages: int = 100, most_texts: int = 4000, carry: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, from whole texts; with ``carry`` also its columns as ``_carried0``, ...
 
     The model is fitted on a bounded sample of rows with a language outside the held-out fold: at most ``per_language`` texts
-    of each language, none longer than ``most_chars``. Texts that are null or have no letter are ``und`` with score 0, as are
-    all texts if nothing could be learned. Repeated rows are predicted each; other columns are not read.
+    of each of the ``most_languages`` most frequent languages, ``most_texts`` in all, none longer than ``most_chars``. Texts
+    that are null or have no letter are ``und`` with score 0, as are all texts if nothing could be learned. Languages that tie
+    go by name. Repeated rows are predicted each; other columns are not read; an empty table gives an empty result.
     """
     bounded_batches(docs)
-    sample = training_sample(docs, folds, fold, per_language, most_chars)
+    sample = training_sample(docs, folds, fold, per_language, most_chars, most_languages, most_texts)
     model = fit([t for t, _ in sample], [x for _, x in sample], n_landmarks)
     more, kinds, names = carried(docs, carry)
     own_names = ["doc_id", "held_out", "lang_pred", "score", *(f"_carried{i}" for i in range(len(names)))]

@@ -58,11 +58,19 @@ class Discriminant:
         """Probability of class 1 for each row of ``x``."""
         z, logs = (x - self.centre) / self.scale, []
         for mean, factor, prior in zip(self.means, self.factors, self.priors):
-            y = np.linalg.solve(factor, (z - mean).T)
+            y = forward_solve(factor, (z - mean).T)
             logs.append(prior - np.log(np.diag(factor)).sum() - 0.5 * (y * y).sum(0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
+def forward_solve(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y with ``lower`` @ y = b, row by row."""
+    y = np.empty_like(b)
+    for i in range(len(lower)):
+        y[i] = (b[i] - lower[i, :i] @ y[:i]) / lower[i, i]
+    return y
+
+
 def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float = 0.2, diagonal: float = 0.1) -> Discriminant:
     """From (count, sum, sum of outer products) per class. A class without rows takes the pooled statistics and a count of 0.5."""
     total = sum(s[0] for s in sums.values())
@@ -132,7 +140,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int
     """doc_id, held_out, score, predicted of every row of ``docs``; fitted on ``labels`` (doc_id, quality) outside the fold.
 
     Null and empty texts are scored by the statistics of an empty text. Repeated rows are scored each, and count once per
-    label row in the fit; null labels are left out; with no label at all every score is 0.5. Other columns are not read.
+    label row in the fit; null labels are left out; with no label at all every score is 0.5; a score of 0.5 predicts 1. Other
+    columns are not read; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.write(document_statistics(docs).withColumn("held_out", held_out(F.col("doc_id"), folds, fold)), "stats")

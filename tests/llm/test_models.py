@@ -45,6 +45,67 @@ def test_kernel_margins_are_the_kernel():
     assert np.allclose(model.margins(texts, rows=3), model.margins(texts, rows=64))
 
 
+def test_margins_equal_explicit_kernels():
+    """Kernels by sets of strings, the ridge solved in the landmarks' span, against the folded weights."""
+    rng = np.random.default_rng(1)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 6)))
+    langs = ["aa", "bb", "cc"] * 12
+    texts = [" ".join(word({"aa": "abcde", "bb": "defgh", "cc": "xyzé"}[g]) for _ in range(6)) for g in langs]
+    model = language.fit(texts, langs, n_landmarks=9, ridge=1e-2)
+    marks = sorted(i for g in sorted(set(langs)) for i in [j for j, x in enumerate(langs) if x == g][:3])
+
+    def grams(t, n):
+        s = language.symbols(t).tolist()
+        return {tuple(s[i : i + n]) for i in range(len(s) - n + 1)}
+
+    known = {n: set().union(*(grams(texts[i], n) for i in marks)) for n in language.LENGTHS}
+
+    def kernel(a, b):
+        sets = [(grams(a, n) & known[n], grams(b, n) & known[n]) for n in language.LENGTHS]
+        return sum(len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1)) for x, y in sets)
+
+    k = np.array([[kernel(t, texts[m]) for m in marks] for t in texts])
+    values, vectors = np.linalg.eigh(k[marks])
+    z = k @ (vectors / np.sqrt(values))
+    y = np.array([[1.0 if g == x else -1.0 for x in model.languages] for g in langs])
+    # one-versus-rest ridge with an intercept that is not shrunk, each text weighing 1 / 12
+    design = np.hstack([z, np.ones((len(z), 1))])
+    pull = np.diag([1e-2 / 3] * z.shape[1] + [0.0])
+    solved = np.linalg.solve(design.T @ design / 12 + pull, design.T @ y / 12)
+    new = [*texts, "abc xyz", "dfg éé q"]
+    want = np.hstack([np.array([[kernel(t, texts[m]) for m in marks] for t in new]) @ (vectors / np.sqrt(values)), np.ones((len(new), 1))]) @ solved
+    assert np.allclose(model.margins(new), want, atol=1e-3)
+
+
+def test_language_sample_is_bounded(spark):
+    """Repeated rows, rows without an id and a crowd of languages draw no more than the bounds say."""
+    rows = [(None, f"text {i % 7} one", "en") for i in range(400)] + [(i, f"mot {i}", "fr") for i in range(300)] + [(1, f"wort {i}", f"x{i:03}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_sample(docs, 5, 99, 20, 100, 10, 1000)
+    counts = {g: sum(x == g for _, x in got) for g in {x for _, x in got}}
+    assert counts == {"en": 7, "fr": 20} | {f"x{i:03}": 1 for i in range(8)} and len(set(got)) == len(got)
+    assert got == language.training_sample(docs.repartition(7), 5, 99, 20, 100, 10, 1000)
+    assert len(language.training_sample(docs, 5, 99, 20, 100, 10, 20)) <= 20
+
+
+def test_quality_score_equals_densities():
+    """Scores against Gaussian log densities with inverted covariances."""
+    rng = np.random.default_rng(5)
+    x = {k: rng.normal(k, 1 + k, (200 + 50 * k, quality.N_STATS)) @ rng.normal(size=(quality.N_STATS, quality.N_STATS)) for k in (0, 1)}
+    model = quality.fit({k: (float(len(v)), v.sum(0), v.T @ v) for k, v in x.items()})
+    every = np.vstack([x[0], x[1]])
+    centre, scale = every.mean(0), every.std(0)
+    cov = {k: np.cov(v.T, bias=True) / np.outer(scale, scale) for k, v in x.items()}
+    within = sum(len(v) * cov[k] for k, v in x.items()) / len(every)
+    logs = []
+    for k, v in x.items():
+        mixed = 0.8 * cov[k] + 0.2 * within
+        mixed = 0.9 * mixed + 0.1 * np.diag(np.diag(mixed)) + 1e-3 * np.eye(quality.N_STATS)
+        off = (every - v.mean(0)) / scale
+        logs.append(np.log((len(v) + 0.5) / (len(every) + 1)) - 0.5 * np.linalg.slogdet(mixed)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(mixed), off))
+    assert np.allclose(model.score(every), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))), atol=1e-6)
+
+
 def test_quality_held_out(spark, docs, labels):
     found = quality.score_quality(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
     assert (found.predicted == found.quality).mean() >= 0.95
