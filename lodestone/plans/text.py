@@ -441,13 +441,13 @@ def vector_topk_cosine(spark, sf):
 
 
 _KNOW = """
-    old AS (SELECT o_orderpriority AS category, 'k' || (o_orderkey % 97) AS key, arg_min(o_orderstatus, o_orderkey) AS value, min(o_orderkey) AS t FROM orders WHERE o_orderkey % 97 < 60 GROUP BY 1, 2),
-    ch AS (SELECT event_id AS seq, event_id AS t, '1-URGENT' AS category, 'k' || (event_id % 80) AS key, event_type AS value, CASE WHEN event_id % 13 = 0 THEN 'delete' WHEN event_id % 3 = 0 THEN 'add' ELSE 'update' END AS op FROM events)
+    old AS (SELECT o_orderpriority AS category, 'k' || (o_orderkey % 97) AS key, arg_min(o_orderstatus, o_orderkey) AS value, min(o_orderkey) AS t FROM orders GROUP BY 1, 2),
+    ch AS (SELECT event_id AS seq, event_id AS t, '1-URGENT' AS category, 'k' || (event_id % 120) AS key, event_type AS value, CASE WHEN event_id % 13 = 0 THEN 'delete' WHEN event_id % 3 = 0 THEN 'add' ELSE 'update' END AS op FROM events)
 """
 
 
 def _knowledge(spark, sf):
-    o = read(spark, sf, "orders").where("o_orderkey % 97 < 60").select(F.col("o_orderpriority").alias("category"), F.concat(F.lit("k"), (F.col("o_orderkey") % 97).cast("string")).alias("key"), "o_orderstatus", "o_orderkey")
+    o = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("category"), F.concat(F.lit("k"), (F.col("o_orderkey") % 97).cast("string")).alias("key"), "o_orderstatus", "o_orderkey")
     return o.groupBy("category", "key").agg(F.min_by("o_orderstatus", "o_orderkey").alias("value"), F.lit("{}").alias("metadata"), F.min("o_orderkey").alias("created_at"), F.min("o_orderkey").alias("updated_at"))
 
 
@@ -462,7 +462,7 @@ def _knowledge(spark, sf):
 def knowledge_upsert(spark, sf):
     i = F.col("event_id")
     changes = read(spark, sf, "events").select(
-        F.lit("1-URGENT").alias("category"), F.concat(F.lit("k"), (i % 80).cast("string")).alias("key"), F.col("event_type").alias("value"), F.lit("{}").alias("metadata"),
+        F.lit("1-URGENT").alias("category"), F.concat(F.lit("k"), (i % 120).cast("string")).alias("key"), F.col("event_type").alias("value"), F.lit("{}").alias("metadata"),
         F.when(i % 13 == 0, "delete").when(i % 3 == 0, "add").otherwise("update").alias("op"), i.alias("at"), i.alias("seq"),
     )
     return memory.upsert(_knowledge(spark, sf), changes).drop("metadata")
@@ -483,7 +483,7 @@ def pattern_performance(spark, sf):
 @register("""
     WITH r AS (SELECT o_orderkey AS id, 'S' || (o_custkey % 50) AS symbol, CASE o_orderkey % 3 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'flat' END AS decision, (o_orderkey % 101) / 100.0 AS confidence FROM orders),
     f AS (SELECT event_id AS ts, 'S' || (user_id % 60) AS symbol, CASE event_id % 2 WHEN 0 THEN 'long' ELSE 'short' END AS decision,
-                 CASE event_id % 9 WHEN 0 THEN 'WRONG call' WHEN 1 THEN 'incorrect' ELSE event_type END AS feedback FROM events WHERE user_id % 4 = 0),
+                 CASE event_id % 9 WHEN 0 THEN 'WRONG call' WHEN 1 THEN 'incorrect' ELSE event_type END AS feedback FROM events),
     g AS (SELECT symbol, decision, string_agg(feedback, '; ' ORDER BY ts) AS said, bool_or(contains(lower(feedback), 'wrong') OR contains(lower(feedback), 'incorrect')) AS bad FROM f GROUP BY 1, 2)
     SELECT id, symbol, decision, md5(coalesce(said, '')) AS feedback_md5, CAST(round(least(1.0, greatest(0.0, confidence + CASE WHEN said IS NULL THEN 0 ELSE 0.1 END - CASE WHEN bad THEN 0.2 ELSE 0 END)), 6) AS DOUBLE) AS quality_score
     FROM r LEFT JOIN g USING (symbol, decision)
@@ -492,5 +492,5 @@ def flywheel_refine(spark, sf):
     o = F.col("o_orderkey")
     records = read(spark, sf, "orders").select(o.alias("id"), F.concat(F.lit("S"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"), F.when(o % 3 == 0, "long").when(o % 3 == 1, "short").otherwise("flat").alias("decision"), ((o % 101).cast("double") / 100).alias("confidence"))
     e = F.col("event_id")
-    said = read(spark, sf, "events").where("user_id % 4 = 0").select(e.alias("ts"), F.concat(F.lit("S"), (F.col("user_id") % 60).cast("string")).alias("symbol"), F.when(e % 2 == 0, "long").otherwise("short").alias("decision"), F.when(e % 9 == 0, "WRONG call").when(e % 9 == 1, "incorrect").otherwise(F.col("event_type")).alias("feedback"))
+    said = read(spark, sf, "events").select(e.alias("ts"), F.concat(F.lit("S"), (F.col("user_id") % 60).cast("string")).alias("symbol"), F.when(e % 2 == 0, "long").otherwise("short").alias("decision"), F.when(e % 9 == 0, "WRONG call").when(e % 9 == 1, "incorrect").otherwise(F.col("event_type")).alias("feedback"))
     return memory.refine(records, said).select("id", "symbol", "decision", F.md5("feedback").alias("feedback_md5"), F.round("quality_score", 6).alias("quality_score"))
