@@ -7,12 +7,12 @@ array functions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import positions
+
 #: The bucket sizes of dynamic packing.
 BUCKETS = [4096, 6144, 8192, 12288, 16384]
 
@@ -35,38 +35,42 @@ def first_fit(lengths: list[int], target: int, separator: int, full: float = 0.9
     Longest first (stable); each sample costs its length and a separator and goes to the first open sequence with room. After
     every placement the oldest open sequences go out while they are at least ``full``; the rest follows at the end.
     """
-    open_: list[tuple[list[int], int]] = []
-    out = []
+    width = 1 << max(0, len(lengths) - 1).bit_length()
+    room = [target] * (2 * width)  # a tree of the largest room; sequences not yet opened have all of it, given ones none
+    held: list[list[int]] = []
+    used: list[int] = []
+    given = 0
+
+    def put(at: int, free: int) -> None:
+        at += width
+        room[at] = free
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
+
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         cost = lengths[i] + separator
-        for k, (held, used) in enumerate(open_):
-            if used + cost <= target:
-                open_[k] = ([*held, i], used + cost)
-                break
-        else:
-            open_.append(([i], cost))
-        while open_ and open_[0][1] >= full * target:
-            out.append(open_.pop(0)[0])
-    return out + [held for held, _ in open_]
-
-
-def with_shard(samples: DataFrame, order: str, size: int, partition: list[str] | None = None, lead: int = 100_000) -> DataFrame:
-    """``shard``: position by ``order`` in steps of ``size``, without sorting the table in one task.
-
-    Positions are counts below in ranges of ``order`` (a window over few range totals) plus the rank within the range. A null
-    partition or order counts as a value; a null order comes first.
-    """
-    by = [*(partition or [])]
-    ranged = samples.withColumn("_range", F.floor(F.col(order) / lead))
-    totals = ranged.groupBy(*by, "_range").count()
-    before = Window.partitionBy(*by, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)) - 1
-    keys = [*by, "_range"]
-    named = totals.select(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)), "_before")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
-    placed = ranged.withColumn("_rank", rank).join(named, same).drop(*(f"_t{i}" for i in range(len(keys))))
-    return placed.withColumn("shard", F.floor((F.col("_rank") + F.col("_before")) / size)).drop("_range", "_rank", "_before")
+        at = len(held)
+        if cost <= target:
+            at = 1
+            while at < width:
+                at = 2 * at if room[2 * at] >= cost else 2 * at + 1
+            at -= width
+        if at == len(held):
+            held.append([])
+            used.append(0)
+        held[at].append(i)
+        used[at] += cost
+        put(at, target - used[at])
+        while given < len(held) and used[given] >= full * target:
+            put(given, -target)
+            given += 1
+    return held
+
+
+def with_shard(samples: DataFrame, order: str, size: int, partition: list[str] | None = None) -> DataFrame:
+    """``shard``: position by ``order`` (null first) in steps of ``size``, without sorting the table in one task. Null partitions count."""
+    return positions(samples, order, partition).withColumn("shard", F.floor(F.col("_rank") / size)).drop("_rank")
 
 
 def pack_shards(samples: DataFrame, groups: list[str], target: Column | int, separator: int, order: str = "doc_id") -> DataFrame:
@@ -89,6 +93,13 @@ def clipped(tokens: Column, most: int, separator: int) -> Column:
     return F.least(tokens, F.lit(most - separator - 10))
 
 
+def fitting(samples: DataFrame, tokens: str, most: int, separator: int, truncate: bool = True) -> DataFrame:
+    """Samples longer than a sequence with separator and ten tokens to spare are cut to it, or left out without ``truncate``."""
+    if truncate:
+        return samples.withColumn(tokens, clipped(F.col(tokens), most, separator).cast("long"))
+    return samples.where(F.col(tokens) <= most - separator - 10)
+
+
 def packed_rows(placed: DataFrame, groups: list[str], target: int, separator_ids: list[int], pad: int) -> DataFrame:
     """groups, sequence, input_ids, attention_mask, labels, boundaries, num_samples, total_tokens, padding_tokens of rows (.., slot, ids).
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Tables
+from .tables import Tables, resident
 
 
 def band_shape(num_perm: int, threshold: float) -> tuple[int, int]:
@@ -39,24 +39,36 @@ def grams(text: str, n: int) -> set[str]:
 
 
 class Hasher:
-    """Rows of ``num_perm`` hashes by n-gram. ``sha256``: first 64 bits of the digest of (n-gram, seed + i as 32 bits); ``mix``: a fast family."""
+    """Rows of ``num_perm`` hashes by n-gram. ``sha256``: first 64 bits of the digest of (n-gram, seed + i as 32 bits); ``mix``: a fast family.
 
-    def __init__(self, num_perm: int, seed: int, family: str, most: int = 60_000):
+    The table holds ``most`` n-grams; when it is full the half that was used most stays.
+    """
+
+    def __init__(self, num_perm: int, seed: int, family: str, most: int = 150_000):
         self.seeds = [struct.pack("<I", seed + i) for i in range(num_perm)]
         self.odd = (np.random.default_rng(seed).integers(0, 1 << 63, num_perm, np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.family, self.most, self.rows, self.table = family, most, {}, np.zeros((1024, num_perm), np.uint64)
+        self.family, self.most, self.rows, self.table, self.used = family, most, {}, np.zeros((1024, num_perm), np.uint64), np.zeros(1024, np.int64)
 
     def row(self, gram: str) -> np.ndarray:
         data = gram.encode("utf-8", "replace")
         if self.family == "sha256":
-            return np.frombuffer(b"".join(hashlib.sha256(data + s).digest()[:8] for s in self.seeds), ">u8").astype(np.uint64)
+            sha = hashlib.sha256
+            return np.frombuffer(b"".join([sha(data + s).digest()[:8] for s in self.seeds]), ">u8").astype(np.uint64)
         base = np.uint64(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big"))
         x = base * self.odd
         return (x ^ (x >> np.uint64(29))) * self.odd[::-1]
 
+    def shrink(self) -> None:
+        n = len(self.rows)
+        keep = np.argsort(-self.used[:n], kind="stable")[: self.most // 2]
+        place = np.full(n, -1)
+        place[keep] = np.arange(len(keep))
+        self.table[: len(keep)], self.used[: len(keep)] = self.table[keep], self.used[keep] // 2
+        self.rows = {g: int(place[i]) for g, i in self.rows.items() if place[i] >= 0}
+
     def signature(self, found: set[str]) -> np.ndarray:
         if len(self.rows) + len(found) > self.most:
-            self.rows.clear()
+            self.shrink()
         low = None
         at = []
         for g in found:
@@ -68,28 +80,36 @@ class Hasher:
                     continue
                 i = self.rows[g] = len(self.rows)
                 if i >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i] = self.row(g)
+                    self.table, self.used = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.used, np.zeros_like(self.used)])
+                self.table[i], self.used[i] = self.row(g), 0
             at.append(i)
         if at:
+            self.used[at] += 1
             own = self.table[at].min(0)
             low = own if low is None else np.minimum(low, own)
         return low
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out only where they come in fewer partitions than twice the cores, as a small file does."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= 2 * cores else docs.repartition(4 * cores)
+
+
 def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int = 42, family: str = "sha256") -> DataFrame:
-    """doc_id and sig, the signature as ``num_perm`` big-endian 64-bit numbers in one binary. A null text counts as empty."""
+    """doc_id and sig, the signature as ``num_perm`` big-endian 64-bit numbers in one binary. A null text counts as empty.
+
+    A worker keeps the rows of its most used n-grams from task to task.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]):
-        hasher = Hasher(num_perm, seed, family)
+        hasher = resident("hasher", (num_perm, seed, family), lambda: Hasher(num_perm, seed, family))
         for part in parts:
             sigs = [hasher.signature(grams(t or "", ngram)).astype(">u8").tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary())], schema=schema)
 
-    spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartition(4 * spark.sparkContext.defaultParallelism)
-    return dealt.mapInArrow(run, "doc_id long, sig binary")
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, sig binary")
 
 
 def agreement(a: Column, b: Column, num_perm: int) -> Column:
@@ -98,6 +118,14 @@ def agreement(a: Column, b: Column, num_perm: int) -> Column:
     return same / num_perm
 
 
+def pair_similarity(left: DataFrame, right: DataFrame, left_perm: int, right_perm: int) -> DataFrame:
+    """doc_id, similarity of two tables of signatures that meet by doc_id; different numbers of permutations are an error."""
+    if left_perm != right_perm:
+        raise ValueError(f"signatures of {left_perm} and {right_perm} permutations cannot be compared")
+    both = left.select("doc_id", F.col("sig").alias("a")).join(right.select("doc_id", F.col("sig").alias("b")), "doc_id")
+    return both.select("doc_id", agreement(F.col("a"), F.col("b"), left_perm).alias("similarity"))
+
+
 def bands(sigs: DataFrame, num_perm: int, threshold: float) -> DataFrame:
     """doc_id, band, key of every band; the key is the band's part of the signature itself, so it cannot collide."""
     count, rows = band_shape(num_perm, threshold)
@@ -132,12 +160,13 @@ def members(sigs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def with_members(pairs: DataFrame, sigs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows of two kinds: ``member`` (doc_id, representative, copies) for every document, ``pair`` for the pairs of representatives.
+    """Rows of two kinds: ``member`` (doc_id, other: its representative, copies) for every document, ``pair`` (doc_id, other, 0 copies) for pairs.
 
-    Two documents are linked if their representatives are the same or a pair. Columns of the other kind are null.
+    Two documents are linked if their representatives are the same or a pair. Where pairs have a similarity, a member's is 1.
     """
-    own = members(sigs, firsts).select(F.lit("member").alias("kind"), "doc_id", "representative", "copies")
-    return own.unionByName(pairs.withColumn("kind", F.lit("pair")), allowMissingColumns=True)
+    own = members(sigs, firsts).select(F.lit("member").alias("kind"), "doc_id", F.col("representative").alias("other"), "copies")
+    met = pairs.select(F.lit("pair").alias("kind"), F.col("lo").alias("doc_id"), F.col("hi").alias("other"), F.lit(0).cast("long").alias("copies"), *(["similarity"] if "similarity" in pairs.columns else []))
+    return (own.withColumn("similarity", F.lit(1.0)) if "similarity" in pairs.columns else own).unionByName(met)
 
 
 def first_wins(pairs: DataFrame, tables: Tables) -> DataFrame:

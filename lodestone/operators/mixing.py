@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import positions
+
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) drawn from the keys: the same on every run and cluster."""
@@ -13,7 +15,7 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 def interleave(rows: DataFrame, source: str, order: str) -> DataFrame:
     """Rows in turn, one of each source, until the smallest source is exhausted: ``turn`` and ``place`` (the source's rank by name)."""
-    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(order)))
+    ranked = positions(rows, order, [source], "turn").withColumn("turn", F.col("turn") + 1)
     counts = rows.groupBy(source).count()
     names = counts.select(source, F.row_number().over(Window.orderBy(source)).alias("place"))  # one row a source
     least = counts.agg(F.min("count").alias("least"))
@@ -38,12 +40,12 @@ def ratio_mix(rows: DataFrame, source: str, order: str, shares: dict[str, float]
     for name, _, high in reversed(bounds[:-1]):
         picked = F.when(u < high, name).otherwise(picked)
     draws = spark.range(sum(counts.values()) + 1).withColumnRenamed("id", "draw").withColumn(source, picked)
-    ranked = draws.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy("draw")))
+    ranked = positions(draws, "draw", [source]).withColumn("_rank", F.col("_rank") + 1)
     over = F.lit(False)
     for name in shares:
         over = over | ((F.col(source) == name) & (F.col("_rank") > counts.get(name, 0)))
     stop = ranked.where(over).agg(F.min("draw").alias("_stop"))
-    mine = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(source).orderBy(order)))
+    mine = positions(rows, order, [source]).withColumn("_rank", F.col("_rank") + 1)
     return mine.join(ranked, [source, "_rank"]).crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("draw") < F.col("_stop"))).drop("_rank", "_stop")
 
 

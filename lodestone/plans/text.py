@@ -131,40 +131,85 @@ def dedup_exact(spark, sf):
     return read(spark, sf, "documents").groupBy(norm.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("k")
 
 
+def _signature_sql(grams: str) -> str:
+    """CTEs: signatures s of the sets that ``grams`` lists for a normalised text t, their classes c, candidates p, verified pairs v."""
+    return f"""
+    t AS (SELECT doc_id, {_NORM} AS t FROM documents),
+    g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({grams}) AS g FROM t),
+    h AS (SELECT g, i, CAST('0x' || substr(sha256(encode(g) || unhex(printf('%02x000000', 42 + i))), 1, 16) AS UBIGINT) AS h FROM (SELECT DISTINCT g FROM g), range(128) r(i)),
+    m AS (SELECT doc_id, i, min(h) AS m FROM g JOIN h USING (g) GROUP BY doc_id, i),
+    s AS MATERIALIZED (SELECT doc_id, list(m ORDER BY i) AS sig FROM m GROUP BY doc_id),
+    c AS MATERIALIZED (SELECT sig, min(doc_id) AS doc_id, count(*) AS copies FROM s GROUP BY sig),
+    k AS (SELECT doc_id, b, list_slice(sig, b * 8 + 1, b * 8 + 8) AS key FROM c, range(16) r(b)),
+    p AS MATERIALIZED (SELECT DISTINCT x.doc_id AS lo, y.doc_id AS hi FROM k x JOIN k y USING (b, key) WHERE x.doc_id < y.doc_id),
+    v AS MATERIALIZED (SELECT * FROM (
+        SELECT lo, hi, len(list_filter(range(1, 129), lambda i: a.sig[i] = z.sig[i])) / 128.0 AS similarity FROM p JOIN c a ON a.doc_id = lo JOIN c z ON z.doc_id = hi) WHERE similarity >= 0.7),
+    members AS (SELECT s.doc_id, c.doc_id AS representative, c.copies FROM s JOIN c USING (sig))"""
+
+
+_GRAMS = _signature_sql("CASE WHEN length(t) >= 5 THEN list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)) ELSE [t] END")
+_WORD_SETS = _signature_sql("string_split(t, ' ')")
+
+
+def _greedy_sql(pairs: str) -> str:
+    """CTE ``decided`` (doc_id, kept): the nodes of the pairs are taken in order, one stays unless a lower one that stays is its partner."""
+    return f"""
+    e AS (SELECT hi, list(lo) AS lows FROM {pairs} GROUP BY hi),
+    o AS MATERIALIZED (SELECT n.doc_id, e.lows, row_number() OVER (ORDER BY n.doc_id) AS r FROM (SELECT lo AS doc_id FROM {pairs} UNION SELECT hi FROM {pairs}) n LEFT JOIN e ON e.hi = n.doc_id),
+    turn(r, kept) AS (
+        SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+        UNION ALL SELECT o.r, CASE WHEN o.lows IS NOT NULL AND list_has_any(turn.kept, o.lows) THEN turn.kept ELSE list_append(turn.kept, o.doc_id) END FROM turn JOIN o ON o.r = turn.r + 1),
+    stays AS (SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM turn ORDER BY r DESC LIMIT 1)),
+    decided AS (SELECT doc_id, doc_id = representative AND (doc_id NOT IN (SELECT doc_id FROM o) OR doc_id IN (SELECT doc_id FROM stays)) AS kept FROM members)"""
+
+
+def _linked_sql(pairs: str, own: str, similarity: str) -> str:
+    return f"""WITH {_GRAMS}
+    SELECT 'member' AS kind, doc_id, representative AS other, copies{own} FROM members UNION ALL SELECT 'pair', lo, hi, 0{similarity} FROM {pairs}"""
+
+
 def _linked(spark, sf, pairs):
     tables = Tables(spark, "lsh")
-    sigs = tables.write(minhash.signatures(read(spark, sf, "documents"), family="mix"), "sigs")
+    sigs = tables.write(minhash.signatures(read(spark, sf, "documents")), "sigs")
     firsts = tables.write(minhash.distinct_signatures(sigs), "firsts")
     return minhash.with_members(pairs(firsts, 128, 0.7), sigs, firsts)
 
 
-@register(None)
+@register(_linked_sql("p", "", ""))
 def lsh_candidates(spark, sf):
     """Every document with its signature class, and the pairs of class representatives that share a band."""
     return _linked(spark, sf, minhash.candidates)
 
 
-@register(None)
+@register(_linked_sql("v", ", CAST(1 AS DOUBLE) AS similarity", ", CAST(similarity AS DOUBLE)"))
 def lsh_verified_pairs(spark, sf):
     """Every document with its signature class, and the pairs of class representatives that agree in 70 % of the positions."""
     return _linked(spark, sf, minhash.similar_pairs)
 
 
-@register(None)
+@register(f"""WITH {_GRAMS} SELECT a.doc_id, len(list_filter(range(1, 129), lambda i: a.sig[i] = z.sig[i])) / CAST(128 AS DOUBLE) AS similarity FROM s a JOIN s z ON z.doc_id = a.doc_id + 1""")
+def minhash_pair_similarity(spark, sf):
+    """Share of equal positions of each document's signature and that of the next doc_id."""
+    sigs = Tables(spark, "similarity").write(minhash.signatures(read(spark, sf, "documents")), "sigs")
+    return minhash.pair_similarity(sigs, sigs.select((F.col("doc_id") - 1).alias("doc_id"), "sig"), 128, 128)
+
+
+@register(f"WITH RECURSIVE {_GRAMS}, {_greedy_sql('v')} SELECT doc_id, kept FROM decided")
 def dedup_greedy(spark, sf):
     """With the reference's hash family, so that the same documents stay."""
     return minhash.dedup(read(spark, sf, "documents"))
 
 
-@register(None)
+@register(f"""WITH RECURSIVE {_GRAMS}, {_greedy_sql('v')}
+    SELECT count(*) AS total, count(*) FILTER (NOT kept) AS duplicates, count(*) FILTER (kept) AS "unique", count(*) FILTER (NOT kept) / CAST(count(*) AS DOUBLE) AS rate FROM decided""")
 def dedup_stats(spark, sf):
-    return minhash.dedup_stats(minhash.dedup(read(spark, sf, "documents"), family="mix"))
+    return minhash.dedup_stats(minhash.dedup(read(spark, sf, "documents")))
 
 
-@register(None)
+@register(f"WITH RECURSIVE {_WORD_SETS}, {_greedy_sql('p')} SELECT doc_id, kept FROM decided")
 def dedup_words(spark, sf):
     """The light variant: words instead of n-grams, and any common band drops."""
-    return minhash.dedup(read(spark, sf, "documents"), ngram=0, family="mix", verify=False)
+    return minhash.dedup(read(spark, sf, "documents"), ngram=0, verify=False)
 
 
 @register(None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as tx
-from lodestone.operators import ffd, memory, minhash, mixing
+from lodestone.operators import ffd, memory, minhash, mixing, ranking
 from lodestone.operators.tables import Tables
 from lodestone.plans import text as plans
 
@@ -117,9 +117,62 @@ def test_first_fit():
         assert all(sum(lengths[i] + 5 for i in s) <= 100 for s in found)
 
 
+def test_first_fit_equals_a_scan():
+    """The tree finds the sequence that a look at every open one finds, whatever the lengths; oversize samples stand alone."""
+
+    def scan(lengths, target, separator, full=0.9):
+        open_, out = [], []
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            cost = lengths[i] + separator
+            at = next((k for k, (_, used) in enumerate(open_) if used + cost <= target), None)
+            if at is None:
+                open_.append(([i], cost))
+            else:
+                open_[at] = ([*open_[at][0], i], open_[at][1] + cost)
+            while open_ and open_[0][1] >= full * target:
+                out.append(open_.pop(0)[0])
+        return out + [held for held, _ in open_]
+
+    random.seed(4)
+    for n in [0, 1, 2, *range(3, 120, 7)]:
+        for top in (20, 60, 130):
+            lengths = [random.randint(0, top) for _ in range(n)]
+            assert ffd.first_fit(lengths, 100, 5) == scan(lengths, 100, 5)
+
+
+def test_positions_equal_a_sort(spark):
+    """Sparse, dense and hot numbers, null orders and null groups, in few cells or many."""
+    random.seed(5)
+    rows = [(i, random.choice([None, "a", "b"]), random.choice([None, random.randrange(10**15), random.randrange(50), 7])) for i in range(600)]
+    want = {}
+    for g in (None, "a", "b"):
+        for place, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))):
+            want[r[0]] = place
+    df = spark.createDataFrame(rows, "i long, g string, o long")
+    for cells in (1, 3, 40):
+        assert {r.i: r.p for r in ranking.positions(df, "o", ["g"], "p", ["i"], cells).collect()} == want
+    assert sorted(r["_rank"] for r in ranking.positions(df, "o").collect()) == list(range(600))
+
+
+def test_samples_are_cut_or_skipped(spark):
+    df = spark.createDataFrame([(1, 10), (2, 85), (3, 86)], "doc_id long, tokens long")
+    assert [r.tokens for r in ffd.fitting(df, "tokens", 100, 5).orderBy("doc_id").collect()] == [10, 85, 85]
+    assert [r.doc_id for r in ffd.fitting(df, "tokens", 100, 5, truncate=False).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_hasher_keeps_what_is_used():
+    small, large = (minhash.Hasher(16, 42, "sha256", most=m) for m in (40, 10**6))
+    for i in range(60):
+        grams = {"always", "often" if i % 2 else "rare", *(f"g{i}-{k}" for k in range(i % 50))}
+        assert (small.signature(grams) == large.signature(grams)).all()
+        assert "always" in small.rows or len(grams) > 40
+    with pytest.raises(ValueError, match="permutations"):
+        minhash.pair_similarity(None, None, 128, 64)
+
+
 def test_shards_and_rows(spark):
     docs = spark.createDataFrame([(i * 7, 10 + i % 5) for i in range(2500)], "doc_id long, tokens long")
-    shards = {r.doc_id: r.shard for r in ffd.with_shard(docs, "doc_id", 1000, lead=900).collect()}
+    shards = {r.doc_id: r.shard for r in ffd.with_shard(docs, "doc_id", 1000).collect()}
     assert shards == {i * 7: i // 1000 for i in range(2500)}
     placed = spark.createDataFrame([(0, 0, 0, [1, 2, 3]), (0, 0, 1, [4])], "shard int, sequence long, slot long, ids array<int>")
     r = ffd.packed_rows(placed, ["shard"], 8, [9], 0).first()
@@ -187,7 +240,7 @@ def test_lsh_links_every_document(spark, sf, tmp_path):
     same = docs.where("doc_id < 5").select((F.col("doc_id") + 2000).alias("doc_id"), F.upper(F.concat(F.lit(" \n"), "text")).alias("text"))
     more = spark.createDataFrame([(3000, None), (3001, ""), (3002, "alone in its class")], "doc_id long, text string")
     docs.unionByName(near).unionByName(same).unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
-    hasher = minhash.Hasher(128, 42, "mix", most=10**7)
+    hasher = minhash.Hasher(128, 42, "sha256", most=10**7)
     sigs = {r.doc_id: hasher.signature(minhash.grams(r.text or "", 5)) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
     bands, wide = minhash.band_shape(128, 0.7)
     want = {False: set(), True: set()}
@@ -201,11 +254,11 @@ def test_lsh_links_every_document(spark, sf, tmp_path):
                         want[True].add((a, b))
     for query, verified in ((plans.lsh_candidates, False), (plans.lsh_verified_pairs, True)):
         rows = query(spark, str(tmp_path)).collect()
-        of = {r.doc_id: r.representative for r in rows if r.kind == "member"}
+        of = {r.doc_id: r.other for r in rows if r.kind == "member"}
         assert set(of) == set(sigs) and sum(r.kind == "member" for r in rows) == len(sigs)
-        assert all(r.copies == sum(k == r.representative for k in of.values()) for r in rows if r.kind == "member")
+        assert all(r.copies == sum(k == r.other for k in of.values()) for r in rows if r.kind == "member")
         assert of[2001] == 1 and of[3001] == 3000 and of[3002] == 3002
-        pairs = {(r.lo, r.hi) for r in rows if r.kind == "pair"}
+        pairs = {(r.doc_id, r.other) for r in rows if r.kind == "pair"}
         assert {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in pairs)} == want[verified]
 
 
