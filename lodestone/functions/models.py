@@ -7,10 +7,13 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.series import resize
+
 
 class TextModel(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
@@ -87,6 +90,65 @@ def valid_syntax(code: Column) -> Column:
     return parses(code)
 
 
+# Channel means and spreads of the image model's input.
+MEANS, SPREADS = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def model_input(image: np.ndarray, size: int = 224) -> np.ndarray:
+    """3 x size x size floats of an image: bytes, or floats up to 1 or up to 255; channels last or (three of them) first."""
+    if image.ndim == 3 and image.shape[0] == 3:
+        image = image.transpose(1, 2, 0)
+    if image.dtype.kind == "f":
+        image = image * 255 if image.max(initial=0.0) <= 1 else image
+    scaled = image.astype(np.uint8).astype(float) / 255
+    side = min(scaled.shape[:2])
+    top, left = (scaled.shape[0] - side) // 2, (scaled.shape[1] - side) // 2
+    square = scaled[top : top + side, left : left + side]
+    sized = np.stack([resize(square[..., c], size) for c in range(3)])
+    return (sized - np.reshape(MEANS, (3, 1, 1))) / np.reshape(SPREADS, (3, 1, 1))
+
+
+class ImageModel(Protocol):
+    def features(self, batch: np.ndarray) -> np.ndarray: ...
+
+    def logits(self, features: np.ndarray) -> dict[str, np.ndarray]: ...
+
+
+class Pooled:
+    """The offline stand-in of an image model: averages of 16 x 16 patches as 768 features, fixed sums of them as logits."""
+
+    #: The heads and their numbers of classes.
+    HEADS = {"regime": 4, "direction": 3, "volatility": 4}
+
+    def features(self, batch: np.ndarray) -> np.ndarray:
+        n, channels, side, _ = batch.shape
+        cut = np.linspace(0, side, 17).astype(int)[:-1]
+        return np.add.reduceat(np.add.reduceat(batch, cut, 2), cut, 3).reshape(n, -1) / (side / 16) ** 2
+
+    def logits(self, features: np.ndarray) -> dict[str, np.ndarray]:
+        return {name: np.stack([features[:, k::n].mean(1) for k in range(n)], 1) for name, n in self.HEADS.items()}
+
+
+def predictions(images: DataFrame, by: str, model: ImageModel, heads: dict[str, int], size: int = 224, with_features: bool = False) -> DataFrame:
+    """``by``, the logits of each head (arrays of double) and, if wanted, the features of images (height, width, image bytes).
+
+    Images of an Arrow batch go through the model together; softmax and arg max are left to column expressions.
+    """
+    kind = images.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, " + ", ".join(f"{h} array<double>" for h in heads) + ", features array<float>" * with_features
+
+    def run(parts: Iterator[pd.DataFrame]):
+        for part in parts:
+            if not len(part):
+                continue
+            batch = np.stack([model_input(np.frombuffer(d, np.uint8).reshape(h, w, 3), size) for h, w, d in zip(part["height"], part["width"], part["image"])])
+            features = model.features(batch)
+            out = {by: part[by].to_numpy()} | {h: v.tolist() for h, v in model.logits(features).items() if h in heads}
+            yield pd.DataFrame(out | ({"features": features.tolist()} if with_features else {}))
+
+    return images.select(by, "height", "width", "image").mapInPandas(run, schema)
+
+
 #: Reviewed strategies by name: a frame of one series in, a decision out.
 STRATEGIES: dict[str, Callable[[pd.DataFrame], str]] = {}
 

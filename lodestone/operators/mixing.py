@@ -66,12 +66,26 @@ POOLS = {
     "reward": ["sharpe ratio", "profit and loss", "drawdown penalty"],
     "regime": ["trending", "mean_reverting", "volatile", "quiet"],
 }
-#: Instruction, reasoning and response of each kind; ``{name}`` is drawn from its pool, an unknown name stays.
+#: Instruction, reasoning and response of each kind's templates; ``{name}`` is drawn from its pool, an unknown name stays.
 TEMPLATES = {
-    "gaf": ("Turn {window} bars of {asset} into an angular field image of {image_size} pixels.", "Scale the closes to [-1, 1], take their angles, and fill the sum field.", "fields = angular_field(closes[-{window}:], size={image_size})"),
-    "strategy": ("Write a {timeframe} strategy for {asset} on {indicator}.", "Enter when {indicator} turns with the trend; stay flat in a {regime} market.", "def strategy(data):\n    return 'long' if signal(data, '{indicator}') > 0 else 'flat'"),
-    "rl": ("Design a trading environment for {asset} whose reward is {reward}.", "Observations are the last {window} bars; actions are long, short, flat.", "class Env:\n    reward = '{reward}'\n    window = {window}"),
-    "cot": ("Is {asset} on {timeframe} bars in a {regime} regime?", "Compare recent and historical strength over {window} bars.", "DECISION: flat unless {indicator} confirms the {regime} regime."),
+    "gaf": [
+        ("Turn {window} bars of {asset} into an angular field image of {image_size} pixels.", "Scale the closes to [-1, 1], take their angles, and fill the sum field.", "fields = angular_field(closes[-{window}:], size={image_size})"),
+        ("Which features of an angular field tell whether {asset} trends on {timeframe} bars?", "The mean of the sum field and its corners compare old and recent strength.", "features = field_features(closes[-{window}:])\ntrend = features['recent'] - features['old']"),
+        ("Feed angular fields of {asset} to an image model that names the regime.", "Stack sum field, difference field and outer product as channels of {image_size} pixels.", "image = stack_fields(closes[-{window}:], {image_size})\nregime = model.predict(image)  # e.g. {regime}"),
+    ],
+    "strategy": [
+        ("Write a {timeframe} strategy for {asset} on {indicator}.", "Enter when {indicator} turns with the trend; stay flat in a {regime} market.", "def strategy(data):\n    return 'long' if signal(data, '{indicator}') > 0 else 'flat'"),
+        ("Trade breakouts of the last {window} {timeframe} bars of {asset}.", "A close above the range opens a long, one below it a short; inside the range nothing happens.", "def strategy(data):\n    high, low = data[-{window}:-1].max(), data[-{window}:-1].min()\n    return 'long' if data[-1] > high else 'short' if data[-1] < low else 'flat'"),
+        ("Combine {indicator} with a volatility filter for {asset}.", "In a {regime} market the signal counts only if the recent range is below its mean over {window} bars.", "def strategy(data):\n    calm = spread(data[-10:]) < spread(data[-{window}:])\n    return 'long' if calm and signal(data, '{indicator}') > 0 else 'flat'"),
+    ],
+    "rl": [
+        ("Design a trading environment for {asset} whose reward is {reward}.", "Observations are the last {window} bars; actions are long, short, flat.", "class Env:\n    reward = '{reward}'\n    window = {window}"),
+    ],
+    "cot": [
+        ("Is {asset} on {timeframe} bars in a {regime} regime?", "Compare recent and historical strength over {window} bars.", "DECISION: flat unless {indicator} confirms the {regime} regime."),
+        ("{indicator} on {asset} rises while the price falls. What now?", "First the size of the divergence over {window} bars, then the regime, then the risk.", "DECISION: long with half the size if the regime is not {regime}."),
+        ("How sure is a short on {asset} after {window} falling {timeframe} bars?", "Long runs end more often than they go on in a {regime} market; the error probability is high.", "ERROR_PROBABILITY: 0.4\nDECISION: flat"),
+    ],
 }
 
 
@@ -98,13 +112,25 @@ def synthetic(spark, count: int, seed: int = 42) -> DataFrame:
     def part(i: int) -> Column:
         out = F.lit(None).cast("string")
         for kind, texts in TEMPLATES.items():
-            out = F.when(F.col("kind") == kind, texts[i]).otherwise(out)
+            pick = F.pmod(F.xxhash64(F.lit(seed), F.col("sample_id"), F.lit("template")), F.lit(len(texts))) + 1
+            out = F.when(F.col("kind") == kind, F.element_at(F.array(*(F.lit(t[i]) for t in texts)), pick.cast("int"))).otherwise(out)
         return fill(out, seed, F.col("sample_id"))
 
     made = ids.select("sample_id", "kind", part(0).alias("instruction"), part(1).alias("reasoning"), part(2).alias("response"))
     return made.withColumn("text", F.concat_ws("\n\n", "instruction", "reasoning", "response"))
 
 
+def first_passing(rows: DataFrame, passes: Column, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows by ``order`` that pass: rows are counted behind the filter. The limit is kept per task first."""
+    return rows.where(passes).orderBy(order).limit(most)
+
+
+def parts_text(parts: Column) -> Column:
+    """The text parts of a message (array of kind, text), joined by blanks; other kinds and null texts are left out."""
+    said = F.filter(parts, lambda p: (p["kind"] == "text") & p["text"].isNotNull())
+    return F.array_join(F.transform(said, lambda p: p["text"]), " ")
+
+
 def chat_prompt(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """One prompt per conversation: role tags in turn order, then an open assistant tag. Other roles are left out."""
     said = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("<|end|>\n"))

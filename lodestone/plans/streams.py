@@ -46,6 +46,55 @@ def stream_windows(spark, sf):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@register(f"""
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+    FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS s FROM events)
+    GROUP BY s, event_type HAVING s + INTERVAL 12 HOUR <= {_LATE}
+""")
+def stream_sliding(spark, sf):
+    """Windows of twelve hours that begin every six."""
+    out = _finished(spark, streams.event_windows(_events(spark, sf), "12 hours", "6 hours"), "sliding")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register(f"""
+    WITH b AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 DAY THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM b)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 1 DAY <= {_LATE}
+""")
+def stream_sessions(spark, sf):
+    """Sessions of a user that a day without events ends."""
+    out = _finished(spark, streams.sessions(_events(spark, sf), "1 day"), "sessions")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@register("""
+    SELECT event_type AS symbol, event_id AS seq, CASE WHEN value > 100 THEN 'long' ELSE 'flat' END AS decision, CASE WHEN event_id % 10 = 0 THEN 'malformed' ELSE 'stored' END AS kind FROM events WHERE event_id % 10 <> 0
+""")
+def stream_replies(spark, sf):
+    """Requests as JSON messages, stored and answered batch by batch; malformed ones get no reply."""
+    tables = Tables(spark, "replies")
+    said = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("event_type").alias("symbol"), F.array(F.col("event_id").cast("double"), "value").alias("data"))))
+    answer = lambda r: r.select("symbol", F.col("data")[0].cast("long").alias("seq"), F.when(F.col("data")[1] > 100, "long").otherwise("flat").alias("decision"))
+    streams.serve(_events(spark, sf).select(said.alias("value")), answer, tables.root, f"{tables.root}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{tables.root}/requests").select("symbol", F.col("data")[0].cast("long").alias("seq"))
+    return spark.read.parquet(f"{tables.root}/replies").drop("batch").join(stored, ["symbol", "seq"]).withColumn("kind", F.lit("stored"))
+
+
+@register("""
+    WITH b AS (SELECT event_type AS symbol, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM events)
+    SELECT symbol, count(*) AS n_bars, round(avg(value), 4) AS mean FROM b WHERE back <= 100 GROUP BY symbol
+""")
+def stream_features(spark, sf):
+    """The polling loop: with every batch the last 100 ticks of each series are kept and their field features written anew."""
+    tables = Tables(spark, "features")
+    ticks = _events(spark, sf).select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("tie"), "value")
+    last = streams.watch(ticks, tables.root, f"{tables.root}/checkpoint", 100)
+    kept = spark.read.parquet(f"{tables.root}/ticks/batch={last}")
+    found = spark.read.parquet(f"{tables.root}/features/batch={last}").select("symbol", "n_bars")
+    return kept.groupBy("symbol").agg(F.round(F.avg("value"), 4).alias("mean")).join(found, "symbol")
+
+
 @register(None)
 def stream_dedup(spark, sf):
     tables = Tables(spark, "stream-dedup")

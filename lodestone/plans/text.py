@@ -66,6 +66,12 @@ def corpus_filter_ranked(spark, sf):
     return passed.select("doc_id", F.round(tx.priority(F.col("text"), WORDS, PATTERNS), 6).alias("priority")).orderBy(F.col("priority").desc(), "doc_id")
 
 
+@register(f"WITH {_VERDICT} SELECT doc_id FROM v WHERE verdict = 'pass' ORDER BY doc_id LIMIT 100")
+def filtered_samples(spark, sf):
+    """The first 100 documents that pass the filter: the cap counts what passes."""
+    return mixing.first_passing(_judged(spark, sf), F.col("verdict") == "pass", "doc_id", 100).select("doc_id")
+
+
 _CODE_SQL = "CASE doc_id % 4 WHEN 0 THEN 'import talib' || chr(10) || 'class A:' || chr(10) WHEN 1 THEN 'from gymnasium import x' || chr(10) || 'def f(): pass' || chr(10) WHEN 2 THEN 'IMPORT  ccxt' || chr(10) ELSE '' END || text"
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.mixing import interleave
+
 #: The fields of a code sample; a file may lack any of them.
 CODE = "content string, lang string, size long, ext string, max_stars_repo_name string"
 #: The alternative shapes of a finance sample.
@@ -27,10 +29,11 @@ def _first_that_opens(attempts: list[Callable[[], DataFrame]]) -> DataFrame:
     raise FileNotFoundError("no source could be opened") from last
 
 
-def code_corpus(spark: SparkSession, root: str, languages: list[str]) -> DataFrame:
+def code_corpus(spark: SparkSession, root: str, languages: list[str], order: str | None = None) -> DataFrame:
     """Parquet folders ``root/data/<language>``; a language that cannot be opened is skipped, none at all is an error.
 
-    The schema is given, so no file is opened for it; ``language`` comes from the folder and prunes the scan.
+    The schema is given, so no file is opened for it; ``language`` comes from the folder and prunes the scan. With ``order``
+    (a number column) several languages take turns, until the smallest is exhausted: ``turn`` and ``place`` as in ``interleave``.
     """
     found = []
     for name in languages:
@@ -43,7 +46,7 @@ def code_corpus(spark: SparkSession, root: str, languages: list[str]) -> DataFra
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
-    return out
+    return out if order is None else interleave(out, "language", order)
 
 
 def finance_samples(spark: SparkSession, primary: str, fallback: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.series import resize
+
 
 def write_jsonl(samples: DataFrame, path: str, columns: list[str] | None = None) -> None:
     samples.select(*(columns or ["text", "source"])).write.mode("overwrite").json(path)
@@ -34,9 +36,15 @@ def write_csv(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def save_table(rows: DataFrame, name: str, by: str, buckets: int) -> None:
-    """A table bucketed and sorted by a key: later joins and lookups on it do not shuffle."""
-    rows.write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+def save_table(rows: DataFrame, name: str, by: str, buckets: int, path: str | None = None) -> None:
+    """A table bucketed and sorted by a key: later joins and lookups on it do not shuffle. With ``path`` its files stand there."""
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(by)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def save_knowledge(rows: DataFrame, path: str) -> None:
+    """All knowledge rows as JSON lines, in place of what stood there."""
+    rows.select("category", "key", "value", "metadata", "created_at", "updated_at").write.mode("overwrite").json(path)
 
 
 def append_vectors(rows: DataFrame, path: str) -> None:
@@ -52,6 +60,35 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+#: Fixed colours of the map from low to high: dark blue, teal, yellow.
+COLOURS = [(68, 1, 84), (33, 145, 140), (253, 231, 37)]
+
+
+def coloured(field: np.ndarray) -> np.ndarray:
+    """Height x width x 3 bytes of a field in [-1, 1] through the colour map."""
+    at = np.clip((field + 1) / 2, 0, 1) * (len(COLOURS) - 1)
+    return np.stack([np.interp(at, range(len(COLOURS)), [c[k] for c in COLOURS]) for k in range(3)], -1).round().astype(np.uint8)
+
+
+def field_pictures(series: DataFrame, by: str, values: str, size: int = 224, dual: bool = False) -> DataFrame:
+    """``by``, height, width, image of the sum field through the colour map; ``dual`` puts the difference field beside it."""
+    kind = series.schema[by].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]):
+        for part in parts:
+            made = []
+            for v in part[values]:
+                v = np.asarray(v, float)
+                low, high = v.min(), v.max()
+                x = 2 * (v - low) / (high - low) - 1 if high > low else np.full_like(v, -1.0)
+                s = np.sqrt(np.maximum(0, 1 - x * x))
+                fields = [np.outer(x, x) - np.outer(s, s)] + [np.outer(s, x) - np.outer(x, s)] * dual
+                made.append(np.concatenate([coloured(resize(f, size)) for f in fields], 1))
+            yield pd.DataFrame({by: part[by], "height": [m.shape[0] for m in made], "width": [m.shape[1] for m in made], "image": [m.tobytes() for m in made]})
+
+    return series.select(by, values).mapInPandas(run, f"{by} {kind}, height int, width int, image binary")
+
+
 def images_base64(images: DataFrame, by: str, most: int | None = None) -> DataFrame:
     """``by`` and png (base64) of images (height, width, image); with ``most``, only texts shorter than that."""
     kind = images.schema[by].dataType.simpleString()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import ffd, minhash
+from ..operators import ffd, minhash, series
 from ..operators.tables import Tables
 
 
@@ -123,3 +123,39 @@ def replies(requests: DataFrame, answer) -> DataFrame:
     """A reply stream for JSON requests (column value): symbol and the answer's columns; malformed requests are left out."""
     parsed = F.from_json(F.col("value").cast("string"), "symbol string, data array<double>")
     return answer(requests.select(parsed.alias("r")).where("r.symbol is not null").select("r.symbol", "r.data"))
+
+
+def serve(requests: DataFrame, answer, out: str, checkpoint: str) -> StreamingQuery:
+    """Requests of a stream stored under ``out/requests`` and their replies under ``out/replies``, by batch.
+
+    A batch that is replayed writes the same files again, so each request is stored and answered once.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        asked = Tables(batch.sparkSession, f"serve-{number}").write(replies(batch, lambda r: r), "asked")
+        asked.write.mode("overwrite").parquet(f"{out}/requests/batch={number}")
+        answer(asked).write.mode("overwrite").parquet(f"{out}/replies/batch={number}")
+
+    return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch(ticks: DataFrame, out: str, checkpoint: str, n: int, by: str = "symbol") -> int:
+    """Runs a tick stream (by, ts, tie, value) to its end; after every batch the last ``n`` ticks of each series and their features are written.
+
+    A batch reads the ticks that the one before kept, at most ``n`` a series; the answer is the last batch's number.
+    """
+    done = [0]
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(by, "ts", "tie", "value")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/ticks/batch={number - 1}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{out}/ticks/batch={number - 1}"))
+        series.last_n(rows, n, by, ["ts", "tie"]).select(*rows.columns).write.mode("overwrite").parquet(f"{out}/ticks/batch={number}")
+        kept = spark.read.schema(rows.schema).parquet(f"{out}/ticks/batch={number}")
+        series.gaf_features(kept, n, by, ["ts", "tie"]).write.mode("overwrite").parquet(f"{out}/features/batch={number}")
+        done[0] = number
+
+    ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return done[0]

@@ -1,9 +1,14 @@
+import base64
+import struct
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import models
-from lodestone.operators import ffd, mixing
+from lodestone.operators import ffd, memory, mixing
 from lodestone.operators.series import gaf_images
+from lodestone.plans import sources
 from lodestone.plans import streams as plans
 from lodestone.sources import readers, sinks
 from lodestone.streaming import streams
@@ -55,6 +60,45 @@ def test_png(spark):
     assert sinks.images_base64(images, "symbol", most=10).count() == 0
 
 
+def test_pictures(spark, sf):
+    """Base64 PNG of the field through the colour map, alone and beside the difference field."""
+    for r in sources.sink_pictures(spark, sf).collect():
+        for coded, wide in ((r.single, 64), (r.dual, 128)):
+            data = base64.b64decode(coded)
+            assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (wide, 64)
+    ends = sinks.coloured(np.array([[-1.0, 0.0, 1.0]]))
+    assert [tuple(int(x) for x in c) for c in ends[0]] == sinks.COLOURS
+
+
+def test_model_input_forms():
+    """Bytes or floats, channels last or first, are the same input; it is square, normalised and sized."""
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 256, (224, 224, 3)).astype(np.uint8)
+    want = models.model_input(image)
+    assert want.shape == (3, 224, 224)
+    assert np.allclose(want[1], (image[..., 1] / 255 - 0.456) / 0.224)
+    for other in (image.transpose(2, 0, 1), image.astype(np.float32), (image / 255).astype(np.float32)):
+        assert np.abs(models.model_input(other) - want).max() < 0.02
+    assert models.model_input(image[:, :100]).shape == (3, 224, 224)
+
+
+def test_predictions(spark, sf):
+    rows = sources.predictor_heads(spark, sf).collect()
+    assert len(rows) == 5 and all(r.n_features == 768 and 0.25 <= r.regime_confidence <= 1 and 1 / 3 <= r.direction_confidence <= 1 for r in rows)
+
+
+def test_index_finds_nearly_all(spark):
+    """Recall of the coarse index against all vectors is at least 0.9; every vector is indexed."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near, every = ({(r.query_id, r.vec_id) for r in f(q, v, 10, **more).collect()} for f, more in ((memory.top_k_cells, {}), (memory.top_k, {"cosine": True})))
+    assert len(near & every) >= 0.9 * len(every)
+    some = v.limit(50)
+    full = memory.top_k_cells(q, some, 50, cells=4, probes=4)
+    assert full.count() == 50 * q.count()
+    assert memory.top_k_cells(q, v.limit(0), 10).count() == 0
+
+
 def test_models(spark):
     df = spark.createDataFrame([(1, "def f(): return 'long'"), (2, "def ("), (3, None)], "id int, code string")
     assert [r.ok for r in df.orderBy("id").select(models.valid_syntax(F.col("code")).alias("ok")).collect()] == [True, False, True]
