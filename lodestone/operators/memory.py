@@ -109,8 +109,8 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, cells: int, rounds: int = 8):
         unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
-        self.centres = unit[np.linspace(0, len(unit) - 1, min(cells, len(unit))).astype(int)] if len(unit) else np.zeros((1, 1))
-        for _ in range(rounds if len(unit) else 0):
+        self.centres = unit[np.linspace(0, len(unit) - 1, min(cells, len(unit))).astype(int)]
+        for _ in range(rounds):
             own = (unit @ self.centres.T).argmax(1)
             sums = np.zeros_like(self.centres)
             np.add.at(sums, own, unit)
@@ -131,6 +131,8 @@ def top_k_cells(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16,
     total = held.count()
     drawn = held.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most_sample / max(1, total))) + 1)
     sample = drawn.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(most_sample).select("embedding").collect()
+    if not sample:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     index = Cells(np.array([r["embedding"] for r in sample], float), cells)
 
     def placed(df: DataFrame, key: str, value: str, many: int) -> DataFrame:
