@@ -9,21 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The default keyword list.
-KEYWORDS = (
-    "gaf gramian gramian_angular gasf gadf mtf recurrence "
-    "ta-lib talib ta.lib TA_ backtrader bt. zipline vectorbt pandas_ta finta pyti tulipy "
-    "stable_baselines sb3 gym gymnasium env.step reward policy agent q_learning dqn ppo a2c "
-    "sharpe sortino max_drawdown var cvar volatility alpha beta kelly position_size risk_parity "
-    "ohlcv candlestick ticker yfinance ccxt binance signal indicator macd rsi bollinger ema sma "
-    "backtest strategy portfolio execution slippage order fill pnl equity_curve trade_log "
-    "pyts tsfresh tslearn prophet arima garch"
-).split()
+KEYWORDS = [
+    "gaf", "gramian", "gramian_angular", "gasf", "gadf", "mtf", "recurrence", "ta-lib", "talib", "ta.lib", "TA_", "backtrader", "bt.", "zipline",
+    "vectorbt", "pandas_ta", "finta", "pyti", "tulipy", "stable_baselines", "sb3", "gym", "gymnasium", "env.step", "reward", "policy", "agent",
+    "q_learning", "dqn", "ppo", "a2c", "sharpe", "sortino", "max_drawdown", "var", "cvar", "volatility", "alpha", "beta", "kelly", "position_size",
+    "risk_parity", "ohlcv", "candlestick", "ticker", "yfinance", "ccxt", "binance", "signal", "indicator", "macd", "rsi", "bollinger", "ema", "sma",
+    "backtest", "strategy", "portfolio", "execution", "slippage", "order", "fill", "pnl", "equity_curve", "trade_log", "pyts", "tsfresh", "tslearn",
+    "prophet", "arima", "garch",
+]
 # The shorter list of the light filter; its words are patterns as they stand.
-LIGHT = (
-    "gaf gramian gasf gadf mtf talib ta-lib backtrader zipline vectorbt sharpe sortino drawdown volatility signal indicator macd rsi "
-    "bollinger ema sma backtest strategy portfolio position_size yfinance ccxt ohlcv candlestick gymnasium gym stable_baselines reward agent "
-    "pyts tsfresh prophet"
-).split()
+LIGHT = [
+    "gaf", "gramian", "gasf", "gadf", "mtf", "talib", "ta-lib", "backtrader", "zipline", "vectorbt", "sharpe", "sortino", "drawdown", "volatility",
+    "signal", "indicator", "macd", "rsi", "bollinger", "ema", "sma", "backtest", "strategy", "portfolio", "position_size", "yfinance", "ccxt",
+    "ohlcv", "candlestick", "gymnasium", "gym", "stable_baselines", "reward", "agent", "pyts", "tsfresh", "prophet",
+]
 # The patterns of high value.
 HIGH_VALUE = [
     r"gramian[_\s]?angular", r"GramianAngularField", r"GASF|GADF|MTF", r"pyts\.image",
@@ -67,12 +66,13 @@ def good_quality(text: Column) -> Column:
     return (n > 0) & ~(code < 0.3 * n) & ~marked & ~(F.try_divide(total, n) > 200)
 
 
-def verdict(text: Column, keywords: list[str], high_value: list[str], least_lines: int = 10, most_lines: int = 2000, least_score: int = 2) -> Column:
-    """The first test that fails, cheap ones first, or ``pass``."""
+def verdict(text: Column, keywords: list[str], high_value: list[str], least_lines: int = 10, most_lines: int = 2000, least_score: int = 2, score: Column | None = None) -> Column:
+    """The first test that fails, cheap ones first, or ``pass``. ``score`` is the keyword score where it is known already."""
     n = F.size(lines(text))
+    score = keyword_score(text, keywords, high_value) if score is None else score
     return (
         F.when(n < least_lines, "too_short").when(n > most_lines, "too_long")
-        .when(keyword_score(text, keywords, high_value) < least_score, "no_keywords").when(~good_quality(text), "low_quality").otherwise("pass")
+        .when(score < least_score, "no_keywords").when(~good_quality(text), "low_quality").otherwise("pass")
     )
 
 
@@ -82,10 +82,11 @@ def light_pass(text: Column, keywords: list[str] = LIGHT, least_lines: int = 10,
     return (n >= least_lines) & (n <= most_lines) & (hits(text, [rf"(?i)\b{k}\b" for k in keywords]) >= least)
 
 
-def priority(text: Column, keywords: list[str], high_value: list[str]) -> Column:
-    """0 to 1: keywords (up to five), patterns of high value, and marks of structure."""
+def priority(text: Column, keywords: list[str], high_value: list[str], found: tuple[Column, Column] | None = None) -> Column:
+    """0 to 1: keywords (up to five), patterns of high value, and marks of structure. ``found`` has both hit counts if they are known."""
     has = lambda *xs: reduce(lambda a, b: a | b, [text.contains(x) for x in xs]).cast("double")
-    score = F.least(keyword_score(text, keywords, high_value), F.lit(5)) + 0.5 * hits(text, ["(?i)" + p for p in high_value])
+    words, high = found or (hits(text, [words_pattern(k) for k in keywords]), hits(text, ["(?i)" + p for p in high_value]))
+    score = F.least(words + 2 * high, F.lit(5)) + 0.5 * high
     score = score + 0.5 * has("class ") + 0.5 * has("def ") + 0.25 * has("import ") + 0.5 * has('"""', "'''") + 0.25 * has(" -> ", ": ")
     return F.least(score / 10, F.lit(1.0))
 

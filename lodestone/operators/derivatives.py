@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import funding_sentiment
 
-#: Quote symbols with derivatives data, and futures without any.
-CRYPTO = ["BTC", "ETH", "SOL", "DOGE", "XRP", "ADA", "AVAX", "DOT", "LINK", "MATIC", "LTC", "SHIB", "TRX", "ATOM", "UNI"]
+#: Futures, which have no derivatives data.
 FUTURES = ["ES=F", "NQ=F", "YM=F", "GC=F", "CL=F"]
 
 
@@ -44,8 +43,7 @@ def ratio_rows(raw: DataFrame, key: str, body: str) -> DataFrame:
 def map_symbols(rows: DataFrame, symbol: str) -> DataFrame:
     """``base``: the derivatives symbol of a quote symbol; null for futures and unknown symbols."""
     s = F.col(symbol)
-    known = F.create_map(*(F.lit(x) for c in CRYPTO for x in (f"{c}-USD", c)))
-    return rows.withColumn("base", F.when(s.isin(FUTURES), F.lit(None).cast("string")).otherwise(F.coalesce(F.try_element_at(known, s), F.when(s.endswith("-USD"), F.replace(s, F.lit("-USD"), F.lit(""))))))
+    return rows.withColumn("base", F.when(~s.isin(FUTURES) & s.endswith("-USD"), F.replace(s, F.lit("-USD"), F.lit(""))))
 
 
 def price_with_derivatives(prices: DataFrame, rates: DataFrame, symbol: str) -> DataFrame:

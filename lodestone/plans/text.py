@@ -62,8 +62,12 @@ def corpus_priority_score(spark, sf):
 
 @register(f"WITH {_VERDICT} SELECT doc_id, CAST({_PRIORITY} AS DOUBLE) AS priority FROM v WHERE verdict = 'pass' ORDER BY 2 DESC, 1")
 def corpus_filter_ranked(spark, sf):
-    passed = _judged(spark, sf).where("verdict = 'pass'")
-    return passed.select("doc_id", F.round(tx.priority(F.col("text"), WORDS, PATTERNS), 6).alias("priority")).orderBy(F.col("priority").desc(), "doc_id")
+    """Texts are scored once; the sort moves ids and priorities alone."""
+    text, words, high = F.col("text"), F.col("words"), F.col("high")
+    counted = read(spark, sf, "documents").select("doc_id", "text", tx.hits(text, [tx.words_pattern(w) for w in WORDS]).alias("words"), tx.hits(text, ["(?i)" + p for p in PATTERNS]).alias("high"))
+    passed = counted.where(tx.verdict(text, WORDS, PATTERNS, score=words + 2 * high) == "pass")
+    scored = Tables(spark, "ranked").write(passed.select("doc_id", F.round(tx.priority(text, WORDS, PATTERNS, (words, high)), 6).alias("priority")), "scored")
+    return scored.orderBy(F.col("priority").desc(), "doc_id")
 
 
 @register(f"WITH {_VERDICT} SELECT doc_id FROM v WHERE verdict = 'pass' ORDER BY doc_id LIMIT 100")
