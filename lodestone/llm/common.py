@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
+def sieve(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted`` (a column of that name), before they are shuffled.
+
+    A bitmap of hashed keys, 2 ** ``bits`` bits whatever the number of keys, goes over the driver to all workers (2 MB, and
+    as many words of 64 bits to the driver at most). It lets every wanted row pass, and others the more, the fuller it is.
+    """
+    place = F.pmod(F.xxhash64(key, F.lit(31)), F.lit(1 << bits)).cast("int")
+    words = wanted.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, h & 63)")).alias("m"))
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for w, m in words.collect():
+        table[w] = m
+    known = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def held(places: pd.Series) -> pd.Series:
+        h = places.to_numpy()
+        return pd.Series(known.value[h >> 6] >> (h & 63) & 1 == 1)
+
+    return rows.where(held(place))
+
+
 def resident(name: str, key, make):
     """A worker's own object, made once per process and key and kept between tasks; another key replaces it.
 

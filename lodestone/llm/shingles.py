@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, bounded_batches, join_groups, resident
+from .common import Scratch, batches, bounded_batches, join_groups, resident, sieve
 from .fingerprint import Powers, mix
 
 _U = np.uint64
@@ -47,6 +47,8 @@ PAIRED = 32
 BLOCK = 500
 #: Nodes of a large group that meet each of its blocks.
 REPRESENTATIVES = 4
+#: Links that one task settles at a time (16 bytes each).
+FEW_LINKS = 300_000
 #: A token of fewer documents is rare in any case.
 LEAST_FREQUENT = 32
 
@@ -250,22 +252,34 @@ def link_sets(sets: list[np.ndarray], sides: list[int], near) -> list[tuple[int,
     return links.found
 
 
-def per_task(tasks: DataFrame, keys: list[str], columns: list[str], solve, schema: str) -> DataFrame:
-    """Runs ``solve`` on the rows of each task (keys): lists of the columns in, pairs of nodes out, in two long columns.
+def per_task(tasks: DataFrame, keys: list[str], columns: list[str], solve) -> DataFrame:
+    """kind, a, b, g of the tasks (keys): ``solve`` gets lists of a task's columns and gives the links a-b, of kind 0.
 
-    The first two columns are node and side; a node that is twice on a side counts once. Tasks of a partition follow each
+    The first three columns are node, side and group. Where ``group`` isn't null, it is the task's group and its
+    representatives; a row of kind 1 then gives for every node ``a`` the first representative ``b`` that links connect it
+    with (-1: none), with the group's id ``g``. A node that is twice on a side counts once. Tasks of a partition follow each
     other, so a worker holds one at a time.
     """
     n = len(keys)
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("g", pa.int64())])
+
+    def labels(ids, found, group):
+        links, place = Links(len(ids)), {x: i for i, x in enumerate(ids)}
+        for x, y in found:
+            links.join(place[x], place[y])
+        first = {links.root(place[r]): r for r in reversed(group["reps"])}
+        return [(1, x, first.get(links.root(i), -1), group["id"]) for i, x in enumerate(ids)]
 
     def run(parts: Iterator[pa.RecordBatch]):
         key, held = None, [[] for _ in columns]
 
         def finish():
-            found = solve(*held) if len(held[0]) > 1 else []
-            if found:
-                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=names)
+            found = solve(held[0], held[1], *held[3:]) if len(held[0]) > 1 else []
+            rows = [(0, x, y, None) for x, y in found if x != y]
+            if held[2][0] is not None:
+                rows += labels(held[0], found, held[2][0])
+            if rows:
+                return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
         for part in parts:
             for row in zip(*(part.column(i).to_pylist() for i in range(n + len(columns)))):
@@ -281,45 +295,47 @@ def per_task(tasks: DataFrame, keys: list[str], columns: list[str], solve, schem
             yield out
 
     dealt = tasks.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns[:2])
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, "kind int, a long, b long, g long")
 
 
 def forest(members: DataFrame, keys: list[str], payload: DataFrame, columns: list[str], solve, scratch: Scratch, name: str, block: int) -> DataFrame:
     """Links (a, b) that connect within each group (keys) the nodes that ``solve`` links, of written members (keys, node).
 
     ``payload`` has node and the columns that ``solve(ids, sides, ...)`` gets. A group of up to ``block`` nodes is one task.
-    A larger one is dealt into blocks, each with the group's representatives. Nodes outside the group's largest component
-    then meet, block by block, all nodes of the group; so no pair is left out unless links already connect it.
+    A larger one is dealt into blocks, each with the group's representatives. The nodes that links of their block don't
+    connect with the representative of most nodes then meet, block by block, all nodes of the group; so no pair is left out
+    unless links already connect it.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"].alias(f"r{s}") for s in range(REPRESENTATIVES))).where("n > 1")
-    sizes = scratch.write(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), f"{name}-sizes")
-    dealt = join_groups(members.select(*keys, "node"), sizes.select(*keys, "n", "blocks"), keys, "n", members.count())
-    dealt = dealt.select(*keys, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"), "node", "blocks")
+    lowest = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"].alias(f"r{s}") for s in range(REPRESENTATIVES)]
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n"), *lowest).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    reps = F.array(*(f"r{s}" for s in range(REPRESENTATIVES)))
+    group = F.when(F.col("blocks") > 1, F.struct(F.monotonically_increasing_id().alias("id"), reps.alias("reps"))).alias("group")
+    sizes = scratch.write(sizes.select(*keys, "n", "blocks", group), f"{name}-sizes")
     large = sizes.where("blocks > 1")
-    common = large.select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.array(*(f"r{s}" for s in range(REPRESENTATIVES))).alias("r")).select(*keys, "i", F.explode("r").alias("node"))
+    dealt = join_groups(members.select(*keys, "node"), sizes, keys, "n", members.count())
+    dealt = dealt.select(*keys, F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"), "node", "group")
+    common = large.select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "group").select(*keys, "i", F.explode("group.reps").alias("node"), "group")
 
     def solved(tasks: DataFrame, by: list[str], turn: str) -> DataFrame:
         # neither side is of bounded size, so the join shuffles at any size
-        found = per_task(tasks.hint("merge").join(payload, "node"), by, ["node", "side", *columns], solve, "a long, b long")
-        return scratch.write(found.where("a <> b").distinct(), f"{name}-{turn}")
-
-    first = solved(dealt.drop("blocks").unionByName(common).withColumn("side", F.lit(0)), [*keys, "i"], "first")
-    if large.isEmpty():
-        return first
-    label = components(first, scratch, f"{name}-partial")
-    held = dealt.where("blocks > 1").join(label, "node", "left").select(*keys, "i", "node", F.coalesce("component", "node").alias("component"))
-    held = scratch.write(held, f"{name}-held")
-    parts = held.groupBy(*keys, "component").agg(F.count("*").alias("m"))
-    main = parts.groupBy(*keys).agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.sum("m").alias("n"), F.max("m").alias("m")).where("n > m")
-    main = scratch.write(main.withColumn("outer", F.ceil((F.col("n") - F.col("m")) / block).cast("int")), f"{name}-main")
-    if main.isEmpty():
-        return first
-    open_ = held.join(main, keys)
-    every = F.explode(F.sequence(F.lit(0), F.col("outer") - 1))
-    inside = open_.select(*keys, "i", every.alias("o"), "node", F.lit(2).alias("side"))
-    blocks = large.select(*keys, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    outside = open_.where("component <> main").select(*keys, F.pmod(F.xxhash64("node", F.lit(7)), F.col("outer")).cast("int").alias("o"), "node", F.lit(1).alias("side")).join(blocks, keys)
-    return first.unionByName(solved(inside.unionByName(outside), [*keys, "i", "o"], "second"))
+        return scratch.write(per_task(tasks.hint("merge").join(payload, "node"), by, ["node", "side", "group", *columns], solve), f"{name}-{turn}")
+
+    first = solved(dealt.unionByName(common).withColumn("side", F.lit(0)), [*keys, "i"], "first")
+    links, label = first.where("kind = 0").select("a", "b"), first.where("kind = 1").select("g", F.col("a").alias("node"), F.col("b").alias("rep"))
+    # a representative is in every block of its group; any other node has one label
+    counts = label.where("rep >= 0").groupBy("g", "rep").count()
+    main = counts.groupBy("g").agg(F.max(F.struct("count", "rep"))["rep"].alias("main"))
+    outside = label.join(main, "g").groupBy("g", "node").agg(F.max(F.col("rep") == F.col("main")).alias("inside")).where("not inside").select("g", "node")
+    outside = scratch.write(outside, f"{name}-outside")
+    if outside.isEmpty():
+        return links
+    wide = outside.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("outer"))
+    wide = scratch.write(wide.join(large.select(*keys, F.col("group.id").alias("g"), "blocks"), "g"), f"{name}-wide")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    inner = dealt.where("group is not null").select(*keys, "i", "node").join(wide.select(*keys, "outer"), keys).select(*keys, "i", numbers("outer").alias("o"), "node", F.lit(2).alias("side"))
+    open_ = outside.join(wide, "g").select(*keys, F.pmod(F.xxhash64("node", F.lit(7)), F.col("outer")).cast("int").alias("o"), "node", F.lit(1).alias("side"), numbers("blocks").alias("i"))
+    tasks = inner.unionByName(open_).withColumn("group", F.lit(None).cast(sizes.schema["group"].dataType))
+    return links.unionByName(solved(tasks, [*keys, "i", "o"], "second").select("a", "b"))
 
 
 def paired_candidates(hits: DataFrame, percent: int) -> DataFrame:
@@ -394,29 +410,45 @@ def verified_links(every: DataFrame, nodes: DataFrame, words: int, percent: int,
         return [(ids[a], ids[b]) for a, b in link_sets(sets, sides, near)]
 
     groups = candidate_groups(nodes, percent, scratch)
-    return forest(groups, ["root"], every.select(F.col("row").alias("node"), "text"), ["text"], solve, scratch, "verified", block)
+    texts = scratch.write(sieve(every.select(F.col("row").alias("node"), "text"), "node", groups), "texts", "zstd")
+    return forest(groups, ["root"], texts, ["text"], solve, scratch, "verified", block)
+
+
+def _settled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, up (the smallest node reachable) of all links of one task."""
+    found = [(part.column(0).to_numpy(), part.column(1).to_numpy()) for part in parts if part.num_rows]
+    if not found:
+        return
+    a, b = (np.concatenate(x) for x in zip(*found))
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    links = Links(len(nodes))
+    for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist()):
+        links.join(x, y)
+    up = np.array([links.root(i) for i in range(len(nodes))], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], names=["node", "up"])
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "component") -> DataFrame:
     """node, component (the smallest node reachable) of the nodes of links (a, b).
 
     In each round every node moves up to its smallest neighbour if that is smaller, and the links between what they moved to
-    go on: at least half of the nodes vanish a round, so all rounds together handle little more than the first. The steps up
-    are then chained from the last round back.
+    go on: at least half of the nodes vanish a round, so all rounds together handle little more than the first. When no more
+    than ``FEW_LINKS`` are left, one task settles them. The steps up are then chained from the last round back.
     """
     tidy = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = scratch.write(tidy(links.select("a", "b")), f"{name}-edges0")
     steps: list[DataFrame] = []
     while True:
         turn = len(steps)
+        if edges.count() <= FEW_LINKS:
+            steps.append(scratch.write(edges.coalesce(1).mapInArrow(_settled, "node long, up long"), f"{name}-step{turn}"))
+            break
         near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         step = scratch.write(near.select("node", F.least("node", "m").alias("up")), f"{name}-step{turn}")
         steps.append(step)
         up = lambda c: step.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")).hint("merge")  # noqa: B023, E731
         edges = scratch.write(tidy(edges.join(up("a"), "a").join(up("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b"))), f"{name}-edges{turn + 1}")
         scratch.drop(f"{name}-edges{turn}")
-        if edges.isEmpty():
-            break
     found = steps.pop().select("node", F.col("up").alias("component"))
     for step in reversed(steps):
         # a star's nodes all move up to one; the optimiser splits such a join

@@ -92,6 +92,17 @@ def test_what_stays_of_near_copies(spark):
     assert sh.without_near_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [6, 10, 24])
+def test_sieve_lets_all_wanted_pass(spark, bits):
+    from lodestone.llm.common import sieve
+
+    wanted = {int(x) for x in np.random.default_rng(1).integers(-(2**62), 2**62, 300)}
+    rows = spark.createDataFrame([(x, "t") for x in [*wanted, *range(3000)]], "node long, text string")
+    got = {r.node for r in sieve(rows, "node", spark.createDataFrame([(x,) for x in wanted], "node long"), bits).collect()}
+    assert wanted <= got and (bits < 24 or len(got) < 310)
+    assert sieve(rows, "node", rows.select("node").limit(0)).count() == 0
+
+
 def test_empty_table(spark):
     assert sh.jaccard_components(frame(spark, [])).count() == 0
 
@@ -119,9 +130,11 @@ def test_sets_equal_words():
         assert [len(s) for s in sh.shingle_sets(texts, k, Powers())] == [len(brute_set(t, k)) for t in texts]
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("few", [0, 25, 10**6])
+def test_components_equal_union_find(spark, monkeypatch, few):
     from lodestone.llm.common import Scratch
 
+    monkeypatch.setattr(sh, "FEW_LINKS", few)
     random.seed(9)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(random.randrange(100, 300), random.randrange(100, 300)) for _ in range(120)] + [(1000, x) for x in range(400, 460)]
     up = {x: x for p in pairs for x in p}
