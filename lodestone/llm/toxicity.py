@@ -103,6 +103,18 @@ def tokens(texts: list[str], powers: Powers) -> Tokens:
     return Tokens(owner, first - begin[owner], stop - begin[owner], features, opens)
 
 
+def all_tokens(texts: list[str], most_chars: int = 1_000_000) -> Tokens:
+    """The tokens of many texts, made in batches so that only their features are held."""
+    powers, parts = Powers(), []
+    for a, b in batches(texts, most_chars):
+        part = tokens(texts[a:b], powers)
+        part.owner = (part.owner + a).astype(np.int32)
+        parts.append(part)
+    if not parts:
+        return tokens([], powers)
+    return Tokens(*(np.concatenate([getattr(p, name) for p in parts], -1) for name in ("owner", "start", "stop", "features", "opens")))
+
+
 def chained(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """x with x[t] = (a[t] x[t-1] + b[t]) / (c[t] x[t-1] + d[t]) and 1 before the first, all coefficients positive or 0.
 
@@ -206,24 +218,35 @@ def distinct(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both >> 24, both & ((1 << 24) - 1)
 
 
-def find_cues(found: Tokens, pairs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, least: int, share: float) -> np.ndarray:
-    """Log odds by place of words and beginnings that are cues, else 0, from the distinct (document, place) of each feature.
+def document_counts(found: Tokens, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By place: toxic and clean documents that have it as a word or beginning, and documents that have it as any feature."""
+    bad, good, every = (np.zeros(PLACES + 1, np.int32) for _ in range(3))
+    for k, f in enumerate(found.features):
+        docs, places = distinct(found.owner, f)
+        every += np.bincount(places, minlength=PLACES + 1).astype(np.int32)
+        if k < OWN:
+            side = toxic[docs] == 1
+            bad += np.bincount(places[side], minlength=PLACES + 1).astype(np.int32)
+            good += np.bincount(places[~side], minlength=PLACES + 1).astype(np.int32)
+    every[PLACES] = bad[PLACES] = 0
+    return bad, good, every
+
+
+def find_cues(found: Tokens, bad: np.ndarray, good: np.ndarray, toxic: np.ndarray, least: int, share: float) -> np.ndarray:
+    """Log odds by place of words and beginnings that are cues, else 0, from the documents that have them.
 
     A cue needs ``least`` toxic documents, ``share`` of them all, and left neighbours that differ in at least 0.4 of them.
     """
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    odds = np.zeros(PLACES + 1, np.float32)
-    docs, places = (np.concatenate(x) for x in zip(*pairs[:OWN]))
-    bad = toxic[docs] == 1
-    a, b = (np.bincount(places[x], minlength=PLACES + 1) for x in (bad, ~bad))
-    able = a >= max(least, share * n1)
-    able[PLACES] = False
-    lefts, mine = np.zeros(PLACES + 1), np.flatnonzero(toxic[found.owner] == 1)
+    able = bad >= max(least, share * n1)
+    lefts, mine = np.zeros(PLACES + 1, np.int32), np.flatnonzero(toxic[found.owner] == 1)
     for f in found.features[:OWN]:
         here = mine[able[f[mine]]]
-        lefts += np.bincount(distinct(found.features[OWN + 2][here], f[here])[1], minlength=PLACES + 1)
-    at = np.flatnonzero(able & (lefts >= np.maximum(least, 0.4 * a)))
-    odds[at] = np.log((a[at] + 0.5) / (n1 + 1)) - np.log((b[at] + 0.5) / (n0 + 1))
+        lefts += np.bincount(distinct(found.features[OWN + 2][here], f[here])[1], minlength=PLACES + 1).astype(np.int32)
+    odds = np.zeros(PLACES + 1, np.float32)
+    at = np.flatnonzero(able)
+    at = at[lefts[at] >= np.maximum(least, 0.4 * bad[at])]
+    odds[at] = np.log((bad[at] + 0.5) / (n1 + 1)) - np.log((good[at] + 0.5) / (n0 + 1))
     return odds
 
 
@@ -258,26 +281,26 @@ def fit(texts: list[str], toxic: list[int], weights: list[float], least: int = 3
     if not toxic or min(toxic) == max(toxic):
         return none
     label = np.array(toxic)
-    found = tokens(texts, Powers())
+    found = all_tokens(texts)
     if not len(found.owner):
         return none
     mine = label[found.owner] == 1
-    pairs = [distinct(found.owner, f) for f in found.features]
-    odds = find_cues(found, pairs, label, least, share)
+    bad, good, every = document_counts(found, label)
+    odds = find_cues(found, bad, good, label, least, share)
     y = (mine & (np.max([odds[f] for f in found.features[:OWN]], axis=0) >= STRONG)).astype(np.int64)
     # features of several documents, numbered from 0
-    docs = np.bincount(np.concatenate([x for _, x in pairs]), minlength=PLACES + 1)
-    docs[PLACES] = 0
-    used = np.flatnonzero(docs >= least)
+    used = np.flatnonzero(every >= least)
+    del bad, good, every, odds
     number = np.full(PLACES + 1, len(used), np.int32)
     number[used] = np.arange(len(used))
-    features = number[found.features]
+    features, owner, opens = number[found.features], found.owner, found.opens
+    del found, number
     weight, move = np.zeros(len(used) + 1), np.zeros((2, 2))
     for turn, steps in enumerate((rounds, rounds // 2)):
-        weight, move = climb(features, len(used) + 1, found.opens, y, weight, move, steps, l2)
+        weight, move = climb(features, len(used) + 1, opens, y, weight, move, steps, l2)
         if turn == 0:
-            y = (mine & (marginals(emissions(weight, features), found.opens, move) >= 0.5)).astype(np.int64)
-    x = evidence(marginals(emissions(weight, features), found.opens, move), found.owner, len(texts))
+            y = (mine & (marginals(emissions(weight, features), opens, move) >= 0.5)).astype(np.int64)
+    x = evidence(marginals(emissions(weight, features), opens, move), owner, len(texts))
     w, theta = np.array(weights), np.array([prior, 0.0, 0.0])
     for _ in range(50):  # Newton steps of a ridge logistic
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
@@ -288,8 +311,8 @@ def fit(texts: list[str], toxic: list[int], weights: list[float], least: int = 3
     return Field(used[keep], weight[:-1][keep].astype(np.float32), move, theta)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, folds: int, fold: int, most: dict[int, int], most_chars: int) -> list[tuple[str, int, float]]:
-    """(text, toxic, weight) of at most ``most[label]`` labelled training rows per label, by hash order of their ids."""
+def training_sample(docs: DataFrame, labels: DataFrame, folds: int, fold: int, most: dict[int, int], most_chars: int) -> DataFrame | None:
+    """doc_id, text, toxic, weight of at most ``most[label]`` labelled training rows per label, by hash order of their ids; None without any."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"), folds, fold)).select("doc_id", "toxic").distinct()
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30))
@@ -302,12 +325,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int, fold: int, m
         picked.setdefault(r["toxic"], []).append((r["at"], r["doc_id"]))
     rows = [(i, k, counts[k] / min(len(v), most[k])) for k, v in picked.items() for _, i in sorted(v)[: most[k]]]
     if not rows:
-        return []
+        return None
     chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, toxic int, weight double")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= most_chars)).join(F.broadcast(chosen), "doc_id")
     # one text an id, whatever repeats: partial aggregation leaves at most one row an id and task
-    one = found.groupBy("doc_id", "toxic", "weight").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    return [(r["text"], r["toxic"], r["weight"]) for r in one.orderBy("doc_id", "toxic").toLocalIterator()]
+    return found.groupBy("doc_id", "toxic", "weight").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+def fitted(sample: DataFrame | None) -> Field:
+    """The field of a sample, fitted in one task on the cluster; the driver gets its places and weights alone."""
+    names = ["places", "weights", "move", "logistic"]
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        rows = [row for part in parts for row in zip(*(c.to_pylist() for c in part.columns))]
+        model = fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+        kinds = {"places": "<i8", "weights": "<f4", "move": "<f8", "logistic": "<f8"}
+        yield pa.RecordBatch.from_arrays([pa.array([getattr(model, n).astype(kinds[n]).tobytes()]) for n in names], names=names)
+
+    if sample is None:
+        return fit([], [], [])
+    ordered = sample.repartition(1).sortWithinPartitions("doc_id", "toxic").select("text", "toxic", "weight")
+    row = ordered.mapInArrow(run, ", ".join(f"{n} binary" for n in names)).first()
+    if row is None:
+        return fit([], [], [])
+    read = lambda name, kind: np.frombuffer(row[name], kind)
+    return Field(read("places", "<i8"), read("weights", "<f4"), read("move", "<f8").reshape(2, 2), read("logistic", "<f8"))
+
+
 
 
 def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, most_toxic: int = 1200, most_clean: int = 2400, most_chars: int = 20_000, threshold: float = 0.3, carry: bool = False) -> DataFrame:
@@ -323,8 +367,7 @@ def tag_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int =
     not read; an empty table gives an empty result.
     """
     bounded_batches(docs)
-    sample = training_sample(docs, labels, folds, fold, {1: most_toxic, 0: most_clean}, most_chars)
-    model = fit([r[0] for r in sample], [r[1] for r in sample], [r[2] for r in sample])
+    model = fitted(training_sample(docs, labels, folds, fold, {1: most_toxic, 0: most_clean}, most_chars))
     name = zlib.crc32(model.places.tobytes() + model.weights.tobytes() + model.logistic.tobytes())
     more, kinds, names = carried(docs, carry)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))

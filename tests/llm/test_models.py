@@ -222,8 +222,17 @@ def test_toxicity_held_out(spark):
 def test_sample_of_repeated_ids_is_bounded(spark):
     docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)] + [(None, "x")] * 3, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
-    rows = toxicity.training_sample(docs, labels, 4, 99, {0: 10, 1: 10}, 100)
-    assert sorted(y for _, y, _ in rows) == [0, 0, 0, 1, 1, 1]
+    sample = toxicity.training_sample(docs, labels, 4, 99, {0: 10, 1: 10}, 100)
+    assert sorted(r.toxic for r in sample.collect()) == [0, 0, 0, 1, 1, 1]
+    assert toxicity.training_sample(docs, labels.limit(0), 4, 99, {0: 10, 1: 10}, 100) is None
+
+
+def test_fit_on_the_cluster_is_the_fit(spark):
+    rows = [(i, f"some a{i % 7} plain words of left{i} {'idiot' if i % 3 == 0 else 'nice'} b{i % 5} text", int(i % 3 == 0), 1.0 + i % 2) for i in range(120)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int, weight double")
+    got, want = toxicity.fitted(sample.repartition(5)), toxicity.fit([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
+    assert np.array_equal(got.table(), want.table()) and np.array_equal(got.move, want.move) and np.array_equal(got.logistic, want.logistic)
+    assert np.array_equal(toxicity.fitted(sample.limit(0)).logistic, toxicity.fitted(None).logistic)
 
 
 def test_toxicity_edges(spark, labels):
