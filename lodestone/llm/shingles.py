@@ -329,12 +329,17 @@ def forest(members: DataFrame, keys: list[str], payload: DataFrame, columns: lis
     outside = scratch.write(outside, f"{name}-outside")
     if outside.isEmpty():
         return links
-    wide = outside.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("outer"))
-    wide = scratch.write(wide.join(large.select(*keys, F.col("group.id").alias("g"), "blocks"), "g"), f"{name}-wide")
+    wide = outside.groupBy("g").agg(F.count("*").alias("u")).join(large.select(*keys, F.col("group.id").alias("g"), "blocks", "n"), "g")
+    # where most nodes are outside, blocks meet in pairs: fewer rows than outsiders against all
+    wide = wide.withColumn("outer", F.ceil(F.col("u") / block).cast("int")).withColumn("paired", 2 * F.col("u") >= F.col("n"))
+    wide = scratch.write(wide, f"{name}-wide")
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    inner = dealt.where("group is not null").select(*keys, "i", "node").join(wide.select(*keys, "outer"), keys).select(*keys, "i", numbers("outer").alias("o"), "node", F.lit(2).alias("side"))
-    open_ = outside.join(wide, "g").select(*keys, F.pmod(F.xxhash64("node", F.lit(7)), F.col("outer")).cast("int").alias("o"), "node", F.lit(1).alias("side"), numbers("blocks").alias("i"))
-    tasks = inner.unionByName(open_).withColumn("group", F.lit(None).cast(sizes.schema["group"].dataType))
+    held = dealt.where("group is not null").select(*keys, "i", "node").join(wide.select(*keys, "g", "blocks", "outer", "paired"), keys)
+    inner = held.where("not paired").select(*keys, "i", numbers("outer").alias("o"), "node", F.lit(2).alias("side"))
+    open_ = outside.join(wide.where("not paired"), "g").select(*keys, F.pmod(F.xxhash64("node", F.lit(7)), F.col("outer")).cast("int").alias("o"), "node", F.lit(1).alias("side"), numbers("blocks").alias("i"))
+    met = held.where("paired").select(*keys, "i", "node", numbers("blocks").alias("j")).where("i <> j")
+    met = met.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("o"), "node", F.when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
+    tasks = inner.unionByName(open_).unionByName(met).withColumn("group", F.lit(None).cast(sizes.schema["group"].dataType))
     return links.unionByName(solved(tasks, [*keys, "i", "o"], "second").select("a", "b"))
 
 

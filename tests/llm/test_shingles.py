@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from lodestone.llm import common
 from lodestone.llm import shingles as sh
 from lodestone.llm.fingerprint import Powers
 
@@ -149,3 +150,34 @@ def test_components_equal_union_find(spark, monkeypatch, few):
         up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in sh.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {x: root(x) for x in {x for a, b in pairs if a != b for x in (a, b)}}
+
+
+@pytest.mark.parametrize("loose", [0.05, 0.3, 0.9])
+def test_forest_loses_no_link(spark, loose):
+    """Groups of a family, of few and of many outsiders: what links connect is what all pairs connect."""
+    rng = random.Random(int(loose * 100))
+    value = {i: (rng.randrange(10**6) * 10 if rng.random() < loose else i % 3) for i in range(120)}
+    rows = [(i % 2, i) for i in value] + [(7, 3), (7, 5)]
+    members = common.Scratch(spark, "f").write(spark.createDataFrame(rows, "k int, node long"), "m")
+    payload = spark.createDataFrame(list(value.items()), "node long, v long")
+
+    def solve(ids, sides, values):
+        return [(a, b) for x, a in enumerate(ids) for y, b in enumerate(ids[:x]) if (sides[x] == sides[y] == 0 or sides[x] != sides[y]) and abs(values[x] - values[y]) <= 1]
+
+    found = sh.forest(members, ["k"], payload, ["v"], solve, common.Scratch(spark, "f"), "t", 9)
+    got = {r.node: r.component for r in sh.components(found, common.Scratch(spark, "f")).collect()}
+    up = {i: i for i in value}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for k in (0, 1, 7):
+        own = [n for g, n in rows if g == k]
+        for a in own:
+            for b in own:
+                if a != b and abs(value[a] - value[b]) <= 1:
+                    x, y = root(a), root(b)
+                    up[max(x, y)] = min(x, y)
+    assert {i: got.get(i, i) for i in value} == {i: root(i) for i in value}
