@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .attribution import attribute_stream
 from .chat import chat_digests, format_chats, text_part
 from .common import read_table
 from .exact import exact_dedup
@@ -76,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), offsets.alias("offsets"))
 
 
+def op13_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute_stream(read_table(spark, sf_dir, "clicks"), read_table(spark, sf_dir, "sales"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op13_attribution": op13_attribution,
 }
 
 ORACLES: dict[str, str] = {
@@ -150,4 +156,35 @@ ORACLES: dict[str, str] = {
                coalesce(action, 'allow') AS verdict, rule, kind AS rule_kind
         FROM hits WHERE no = 1
     """,
+    "op13_attribution": r"""
+        WITH table_of AS (
+            SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))
+        ), said AS (
+            SELECT 'click' AS kind, click_id AS id, client_id, epoch_us(ts) AS us, min(epoch_us(arrived_at)) AS came FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL
+            UNION ALL
+            SELECT 'sale', sale_id, client_id, epoch_us(sold_at), epoch_us(arrived_at) FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL
+        ), hours AS (
+            SELECT kind, id, client_id, us, coalesce(came, us) // 3600000000 + CASE WHEN xor(list_reduce(
+                       list_prepend(4294967295, list_transform(string_split(CAST(id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 4 = 0 THEN 240 ELSE 0 END AS h
+            FROM said, table_of
+        ), ends AS (SELECT min(h) AS lo, max(h) AS hi FROM hours WHERE kind = 'click'
+        ), dealt AS (
+            SELECT kind, id, client_id, us, CAST(greatest(0, least(11, 12 * (h - lo) // (hi - lo + 1))) AS INT) AS batch FROM hours, ends
+        ), tops AS (
+            SELECT b.batch, (SELECT max(us) FROM dealt d WHERE d.kind = 'click' AND d.batch < b.batch) AS click, (SELECT max(us) FROM dealt d WHERE d.kind = 'sale' AND d.batch < b.batch) AS sale
+            FROM (SELECT CAST(range AS INT) AS batch FROM range(12)) b
+        ), marks AS (SELECT batch, least(click, sale) - 21600000000 AS w FROM tops WHERE click IS NOT NULL AND sale IS NOT NULL
+        ), clicked AS (
+            SELECT d.id, d.client_id, d.us FROM dealt d LEFT JOIN marks m USING (batch) WHERE d.kind = 'click' AND (m.w IS NULL OR d.us >= m.w)
+        ), sold AS (
+            SELECT d.id, d.client_id, d.us, d.batch, coalesce(d.us < m.w, FALSE) AS late,
+                   coalesce((SELECT min(x.batch) FROM marks x WHERE x.batch > d.batch AND d.us < x.w), 12) AS closes
+            FROM dealt d LEFT JOIN marks m USING (batch) WHERE d.kind = 'sale'
+        ), met AS (
+            SELECT s.id, max((c.us, -c.id)) AS last, count(*) AS n FROM sold s JOIN clicked c ON c.client_id = s.client_id AND c.us BETWEEN s.us - 604800000000 AND s.us
+            WHERE NOT s.late GROUP BY s.id
+        )
+        SELECT s.id AS sale_id, CAST(CASE WHEN s.late THEN s.batch ELSE s.closes END AS INT) AS batch, s.late, -m.last[2] AS click_id, coalesce(m.n, 0) AS n_clicks FROM sold s LEFT JOIN met m USING (id)
+    """,
 }
