@@ -13,12 +13,14 @@ from .common import read_table
 from .exact import exact_dedup
 from .fingerprint import fingerprint_documents
 from .language import identify
+from .near import near_duplicates
 from .packing import pack_documents, read_tokenizer
 from .pieces import piece_digests, read_model
 from .quality import score_quality
 from .shingles import jaccard_components
 from .toxicity import tag_toxicity
 from .urls import drawn_list, filter_urls
+from .whitening import whiten
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), offsets.alias("offsets"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"), 32)
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
 def op13_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_stream(read_table(spark, sf_dir, "clicks"), read_table(spark, sf_dir, "sales"))
 
@@ -92,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_attribution": op13_attribution,
 }
 

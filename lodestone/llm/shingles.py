@@ -355,10 +355,10 @@ def paired_candidates(hits: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
 
-def clustered_candidates(hits: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, block: int) -> DataFrame:
-    """a, b: links of a spanning forest of the nodes that share as many signatures as they must, of rows (sig, node, n, centre).
+def banded_stars(hits: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """centre, band, node: the nodes of large buckets (node, n, centre) round their smallest one, divided by size.
 
-    For large buckets: their nodes form clusters round the smallest one, divided by size, in which whole signatures are compared.
+    Two nodes of a bucket whose sizes are within the threshold are together in at least one band of their centre.
     """
     # sizes of partners are at most one step apart
     step = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
@@ -371,7 +371,15 @@ def clustered_candidates(hits: DataFrame, nodes: DataFrame, percent: int, scratc
     order = Window.partitionBy("centre").orderBy("band")
     after = (F.lead("band").over(order) == F.col("band") + 1) & F.lead(mixed).over(order)
     useful = bands.withColumn("after", F.coalesce(after, F.lit(False))).where(mixed | ((F.col("band") == F.col("lo")) & ~F.col("after"))).select(*keys)
-    members = scratch.write(banded.join(useful, keys).select("centre", "band", "node"), "banded")
+    return scratch.write(banded.join(useful, keys).select("centre", "band", "node"), "banded")
+
+
+def clustered_candidates(hits: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, block: int) -> DataFrame:
+    """a, b: links of a spanning forest of the nodes that share as many signatures as they must, of rows (sig, node, n, centre).
+
+    For large buckets: their nodes form clusters round the smallest one, divided by size, in which whole signatures are compared.
+    """
+    members = banded_stars(hits, percent, scratch)
 
     def solve(ids, sides, sizes, sigs, shared):
         size, least = np.array(sizes), np.array(shared)
@@ -382,7 +390,7 @@ def clustered_candidates(hits: DataFrame, nodes: DataFrame, percent: int, scratc
 
         return [(ids[a], ids[b]) for a, b in link_sets([np.array(x) for x in sigs], sides, near)]
 
-    return forest(members, keys, nodes.select("node", "n", "sigs", "shared"), ["n", "sigs", "shared"], solve, scratch, "clustered", block)
+    return forest(members, ["centre", "band"], nodes.select("node", "n", "sigs", "shared"), ["n", "sigs", "shared"], solve, scratch, "clustered", block)
 
 
 def candidate_groups(nodes: DataFrame, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
@@ -404,6 +412,11 @@ def candidate_groups(nodes: DataFrame, percent: int, scratch: Scratch, block: in
 
 def verified_links(every: DataFrame, nodes: DataFrame, words: int, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect what the join connects, of nodes (node, n, sigs, shared) and the sketched rows with their texts."""
+    return verified_groups(every, candidate_groups(nodes, percent, scratch), words, percent, scratch, block)
+
+
+def verified_groups(every: DataFrame, groups: DataFrame, words: int, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect within each group (root, node) the nodes whose whole sets are within the threshold."""
 
     def solve(ids, sides, texts):
         powers, sets = resident("powers", 0, Powers), []
@@ -414,7 +427,6 @@ def verified_links(every: DataFrame, nodes: DataFrame, words: int, percent: int,
         near = lambda a, others, count: 100 * count >= percent * (size[others] + size[a] - count)
         return [(ids[a], ids[b]) for a, b in link_sets(sets, sides, near)]
 
-    groups = candidate_groups(nodes, percent, scratch)
     texts = scratch.write(sieve(every.select(F.col("row").alias("node"), "text"), "node", groups), "texts", "zstd")
     return forest(groups, ["root"], texts, ["text"], solve, scratch, "verified", block)
 
@@ -462,6 +474,13 @@ def components(links: DataFrame, scratch: Scratch, name: str = "component") -> D
     return scratch.write(found, name)
 
 
+def named_groups(nodes: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """set_key, copies, component_id, first_row of every node (node, set_key, first, copies), by the components found."""
+    lowest = nodes.select("node", "first").join(found, "node").groupBy("component").agg(F.min("first").alias("lowest"))
+    placed = nodes.join(found.join(lowest, "component"), "node", "left").withColumn("lowest", F.coalesce("lowest", "first"))
+    return scratch.write(placed.select("set_key", "copies", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("first_row")), "named")
+
+
 def _grouped(docs: DataFrame, words: int, percent: int, carry: bool) -> tuple[DataFrame, DataFrame]:
     """All sketched rows, and (set_key, copies, component_id, first_row) of every set that takes part."""
     scratch = Scratch(docs.sparkSession, "shingles")
@@ -471,9 +490,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, carry: bool) -> tuple[Da
     whole = named.groupBy("set_key").agg(first, F.count("*").alias("copies"), F.first(F.struct(F.col("n_shingles").cast("int").alias("n"), "sigs", "shared")).alias("s"))
     nodes = scratch.write(whole.select("set_key", F.col("first.row").alias("node"), "first", "copies", "s.*"), "nodes")
     found = components(verified_links(every, nodes, words, percent, scratch), scratch)
-    lowest = nodes.select("node", "first").join(found, "node").groupBy("component").agg(F.min("first").alias("lowest"))
-    placed = nodes.join(found.join(lowest, "component"), "node", "left").withColumn("lowest", F.coalesce("lowest", "first"))
-    groups = scratch.write(placed.select("set_key", "copies", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("first_row")), "named")
+    groups = named_groups(nodes, found, scratch)
     return every, groups
 
 
