@@ -42,7 +42,8 @@ def words_pattern(word: str) -> str:
 
 
 def hits(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur; a pattern counts once."""
+    """How many of the patterns occur; a pattern counts once. A null text has none."""
+    text = F.coalesce(text, F.lit(""))
     return reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in patterns], F.lit(0))
 
 
@@ -55,7 +56,8 @@ def keyword_score(text: Column, keywords: list[str], high_value: list[str]) -> C
 
 
 def good_quality(text: Column) -> Column:
-    """Enough lines that are not comments, no mark of a generated file in the first ten lines, no very long lines."""
+    """A null text counts as empty. Enough lines that are not comments, no mark of a generated file in the first ten lines, no very long lines."""
+    text = F.coalesce(text, F.lit(""))
     strip = lambda x: F.regexp_replace(x, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     filled = F.filter(lines(text), lambda x: strip(x) != "")
     code = F.size(F.filter(filled, lambda x: ~strip(x).startswith("#")))
@@ -67,7 +69,11 @@ def good_quality(text: Column) -> Column:
 
 
 def verdict(text: Column, keywords: list[str], high_value: list[str], least_lines: int = 10, most_lines: int = 2000, least_score: int = 2, score: Column | None = None) -> Column:
-    """The first test that fails, cheap ones first, or ``pass``. ``score`` is the keyword score where it is known already."""
+    """The first test that fails, cheap ones first, or ``pass``. ``score`` is the keyword score where it is known already.
+
+    A null text counts as empty and is ``too_short`` (it has one empty line).
+    """
+    text = F.coalesce(text, F.lit(""))
     n = F.size(lines(text))
     score = keyword_score(text, keywords, high_value) if score is None else score
     return (
@@ -77,13 +83,18 @@ def verdict(text: Column, keywords: list[str], high_value: list[str], least_line
 
 
 def light_pass(text: Column, keywords: list[str] = LIGHT, least_lines: int = 10, most_lines: int = 1000, least: int = 2) -> Column:
-    """The light filter: a range of line counts and enough keywords."""
+    """The light filter: a range of line counts and enough keywords. A null text counts as empty."""
+    text = F.coalesce(text, F.lit(""))
     n = F.size(lines(text))
     return (n >= least_lines) & (n <= most_lines) & (hits(text, [rf"(?i)\b{k}\b" for k in keywords]) >= least)
 
 
 def priority(text: Column, keywords: list[str], high_value: list[str], found: tuple[Column, Column] | None = None) -> Column:
-    """0 to 1: keywords (up to five), patterns of high value, and marks of structure. ``found`` has both hit counts if they are known."""
+    """0 to 1: keywords (up to five), patterns of high value, and marks of structure. ``found`` has both hit counts if they are known.
+
+    A null text counts as empty.
+    """
+    text = F.coalesce(text, F.lit(""))
     has = lambda *xs: reduce(lambda a, b: a | b, [text.contains(x) for x in xs]).cast("double")
     words, high = found or (hits(text, [words_pattern(k) for k in keywords]), hits(text, ["(?i)" + p for p in high_value]))
     score = F.least(words + 2 * high, F.lit(5)) + 0.5 * high

@@ -7,7 +7,8 @@ array functions.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,13 @@ BUCKETS = [4096, 6144, 8192, 12288, 16384]
 
 
 def token_estimate(text: Column) -> Column:
-    return F.floor(F.length(text) / 4)
+    """A quarter of the characters; a null text has none."""
+    return F.floor(F.coalesce(F.length(text), F.lit(0)) / 4)
 
 
 def bucket_of(tokens: Column, buckets: list[int] = BUCKETS) -> Column:
-    """The smallest bucket that holds the tokens, else the last."""
-    out = None
+    """The smallest bucket that holds the tokens, else the last. Null tokens count as none."""
+    tokens, out = F.coalesce(tokens, F.lit(0)), None
     for b in buckets:
         out = F.when(tokens <= b, b) if out is None else out.when(tokens <= b, b)
     return out.otherwise(buckets[-1])
@@ -73,19 +75,26 @@ def with_shard(samples: DataFrame, order: str, size: int, partition: list[str] |
     return positions(samples, order, partition).withColumn("shard", F.floor(F.col("_rank") / size)).drop("_rank")
 
 
-def pack_shards(samples: DataFrame, groups: list[str], target: Column | int, separator: int, order: str = "doc_id") -> DataFrame:
-    """groups, doc_id, sequence (number within the group), slot (place within the sequence) of samples (groups, doc_id, tokens, target)."""
-    kinds = ", ".join(f"{g} {samples.schema[g].dataType.simpleString()}" for g in groups)
+def pack_shards(samples: DataFrame, groups: list[str], target: Column | int, separator: int, order: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """groups, doc_id, sequence (number within the group), slot (place within the sequence) of samples (groups, doc_id, tokens, target).
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        found = first_fit(part["tokens"].tolist(), int(part["target"].iloc[0]), separator)
-        rows = [(i, s, k) for s, held in enumerate(found) for k, i in enumerate(held)]
-        out = part.loc[[r[0] for r in rows], [*groups, order]].reset_index(drop=True)
-        return out.assign(sequence=[r[1] for r in rows], slot=[r[2] for r in rows])
-
-    own = samples.select(*groups, order, "tokens", (target if isinstance(target, Column) else F.lit(target)).alias("target"))
-    return own.groupBy(*groups).applyInPandas(pack, f"{kinds}, {order} long, sequence long, slot long")
+    A group's samples come by ``order`` (null first, then by tokens); ids stay what they are, of any size and beside nulls.
+    Null groups are groups, null tokens count as none. ``keep`` names columns that go along.
+    """
+    kept = [*groups, order, *(keep or [])]
+    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in kept)
+
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part, [(order, "ascending"), ("tokens", "ascending")], null_placement="at_start"))
+        found = first_fit(part.column("tokens").to_pylist(), part.column("target")[0].as_py(), separator)
+        at = pa.array([i for held in found for i in held], pa.int64())
+        out = part.select(kept).take(at)
+        out = out.append_column("sequence", pa.array([s for s, held in enumerate(found) for _ in held], pa.int64()))
+        return out.append_column("slot", pa.array([k for held in found for k in range(len(held))], pa.int64()))
+
+    tokens = F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens")
+    own = samples.select(*kept, tokens, (target if isinstance(target, Column) else F.lit(target)).alias("target"))
+    return own.groupBy(*groups).applyInArrow(pack, f"{kinds}, sequence long, slot long")
 
 
 def clipped(tokens: Column, most: int, separator: int) -> Column:

@@ -104,70 +104,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False,
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-class Cells:
-    """Centres of a coarse index: k-means on a bounded sample of unit vectors."""
-
-    def __init__(self, sample: np.ndarray, cells: int, rounds: int = 8):
-        unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
-        self.centres = unit[np.linspace(0, len(unit) - 1, min(cells, len(unit))).astype(int)]
-        for _ in range(rounds):
-            own = (unit @ self.centres.T).argmax(1)
-            sums = np.zeros_like(self.centres)
-            np.add.at(sums, own, unit)
-            norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            self.centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), self.centres)
-
-    def nearest(self, vectors: np.ndarray, k: int) -> np.ndarray:
-        return np.argsort(-(vectors @ self.centres.T), axis=1, kind="stable")[:, :k]
-
-
-def top_k_cells(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 16, probes: int = 13, most_sample: int = 20_000, rows: int = 4096) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine through a coarse index: a query meets the vectors of its ``probes`` nearest cells alone.
-
-    The centres are fitted on a sample of at most about ``most_sample`` vectors, drawn by hash of the id; every vector is
-    indexed. Blocks of a cell meet the queries that probe it, so a large cell spreads over many blocks.
-    """
-    held = vectors.where(F.col("embedding").isNotNull())
-    total = held.count()
-    drawn = held.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most_sample / max(1, total))) + 1)
-    sample = drawn.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(most_sample).select("embedding").collect()
-    if not sample:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    index = Cells(np.array([r["embedding"] for r in sample], float), cells)
-
-    def placed(df: DataFrame, key: str, value: str, many: int) -> DataFrame:
-        def run(parts: Iterator[pa.RecordBatch]):
-            for part in parts:
-                flat = part.column(1).cast(pa.list_(pa.float64())).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                own = index.nearest(flat, many) if part.num_rows else np.zeros((0, many), int)
-                at = np.repeat(np.arange(part.num_rows), own.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at))], names=["cell", key, value])
-
-        return df.select(F.col(key).cast("long"), F.col(value)).where(F.col(value).isNotNull()).mapInArrow(run, f"cell int, {key} long, {value} array<float>")
-
-    def blocked(df: DataFrame, key: str, value: str, size: int) -> DataFrame:
-        """Rows (cell, ids, matrix): a cell's vectors in blocks of about ``size``, dealt by hash."""
-        counts = df.groupBy("cell").count().select("cell", F.ceil(F.col("count") / size).cast("int").alias("n"))
-        dealt = df.join(F.broadcast(counts), "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n")).cast("int"))
-        return dealt.groupBy("cell", "block").agg(F.collect_list(key).alias(f"{key}s"), F.flatten(F.collect_list(value)).alias(f"{value}s")).drop("block")
-
-    left, right = blocked(placed(queries, "query_id", "query", probes), "query_id", "query", rows // 4), blocked(placed(held, "vec_id", "embedding", 1), "vec_id", "embedding", rows)
-    met = left.join(right, "cell").select("query_ids", "querys", "vec_ids", "embeddings")
-
-    def run(parts: Iterator[pa.RecordBatch]):
-        for part in parts:
-            for qi, qm, vi, vm in zip(*(part.column(i).to_pylist() for i in range(4))):
-                q, v = np.array(qm, float).reshape(len(qi), -1), np.array(vm, float).reshape(len(vi), -1)
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                scores, ids = np.round(np.divide(q @ v.T, norm, out=np.zeros(norm.shape), where=norm > 0), 9), np.array(vi)
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
     """Rows as they are; a vector of another dimension fails the query."""
     return vectors.where(F.assert_true(F.size("embedding") == dimension).isNull())

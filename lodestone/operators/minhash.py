@@ -1,9 +1,15 @@
 """Near-duplicate removal by MinHash and banded LSH, first wins.
 
 Signatures are made in Arrow batches: each distinct n-gram of a task is hashed once, a document's signature is the minimum
-over its n-grams' rows. Documents with equal signatures are collapsed before any pair is formed. Bands meet by an equi-join
-on (band, key); candidates are verified on the signatures. Which documents stay is the lexicographically first maximal
-independent set of the similarity graph, found in rounds in which a node is decided as soon as its lower neighbours are.
+over its n-grams' rows. Every row has a number of its own, so rows that share a doc_id, or have none, stay apart. Rows with
+equal signatures are one node, named by its first row (doc_id, null last, then hash of the text, then row number), and nodes
+are numbered in that order.
+
+Which rows stay is the lexicographically first maximal independent set of the similarity graph, without forming the graph: in
+each round only the first few open nodes of every bucket (the nodes with one key in one band) are met by the bucket's other
+open nodes. A node that leads all its buckets and is similar to no earlier open node stays, what is similar to it goes, and
+both leave their buckets. A family of near copies so costs its size; the leaders grow in number from round to round for
+buckets whose nodes are not alike. When few rows are left in buckets, one task walks them.
 """
 
 from __future__ import annotations
@@ -14,11 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import Tables, resident
 
+#: Rows (node, bucket) that one task walks at the end: their signatures take no more than a kilobyte each.
+FEW = 50_000
+
 
 def band_shape(num_perm: int, threshold: float) -> tuple[int, int]:
     """(bands, rows): the divisor of ``num_perm`` whose S-curve is nearest to one half at the threshold, the fewest bands on a tie."""
@@ -91,9 +101,12 @@ class Hasher:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs``, dealt out only where they come in fewer partitions than twice the cores, as a small file does."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= 2 * cores else docs.repartition(4 * cores)
+    """``docs``, dealt out only where they would come in fewer partitions than twice the cores, as a small file does."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    a_partition = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    bytes_ = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the optimizer's estimate; starts no job
+    return docs if bytes_ >= 2 * cores * a_partition else docs.repartition(4 * cores)
 
 
 def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int = 42, family: str = "sha256") -> DataFrame:
@@ -112,6 +125,65 @@ def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int =
     return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, sig binary")
 
 
+def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed: int, family: str, carry: bool = False) -> DataFrame:
+    """row (a number of its own), doc_id, tie (hash of the text), sig of every row, written; with ``carry`` its columns as ``_carried0``, .."""
+    more = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(docs.columns)] if carry else []
+    kinds = "".join(f", _carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)) if carry else ""
+    names = ["row", "doc_id", "tie", "sig", *(f"_carried{i}" for i in range(len(more)))]
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        hasher = resident("hasher", (num_perm, seed, family), lambda: Hasher(num_perm, seed, family))
+        row = TaskContext.get().partitionId() << 33
+        for part in parts:
+            sigs = [hasher.signature(grams(t or "", ngram)).astype(">u8").tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sigs))), *part.columns[:2], pa.array(sigs, pa.binary()), *part.columns[3:]], names=names)
+            row += len(sigs)
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"), *more)
+    return tables.write(spread(plain).mapInArrow(run, "row long, doc_id long, tie long, sig binary" + kinds), "rows")
+
+
+def classes(rows: DataFrame, tables: Tables, by: str | None = None) -> DataFrame:
+    """node, row, doc_id, copies, sig of every distinct signature: its first row, and nodes numbered in the order of their first rows.
+
+    ``by`` names a column that goes before the doc_id in that order. What is sorted is one narrow row a class.
+    """
+    order = [*([by] if by else []), "z", "doc_id", "tie", "row"]
+    first = F.min(F.struct(*(F.col("doc_id").isNull().alias("z") if c == "z" else F.col(c) for c in order))).alias("first")
+    narrow = rows.groupBy(F.sha2("sig", 256).alias("key")).agg(first, F.count("*").alias("copies")).select("first.*", "copies")
+    ordered = narrow.orderBy(*order).select(F.monotonically_increasing_id().alias("node"), "row", "doc_id", "copies")
+    return tables.write(tables.write(ordered, "ordered").join(rows.select("row", "sig"), "row").select("node", "row", "doc_id", "copies", "sig"), "classes")
+
+
+def merged_signatures(docs: DataFrame, by: str, num_perm: int = 128, ngram: int = 5, seed: int = 42, family: str = "sha256", groups: int = 1000) -> DataFrame:
+    """``by``, i, low: the signature of all n-grams of each group's texts, position by position as eight bytes, big-endian.
+
+    A mergeable aggregate: a task keeps one partial signature a group (at most ``groups`` at a time, then it gives them out)
+    and partials merge by their minimum, so a hot group costs one row a task and position. A null group is a group, a null
+    text counts as empty.
+    """
+    kind = docs.schema[by].dataType.simpleString()
+    names = [by, "sig"]
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        hasher = resident("hasher", (num_perm, seed, family), lambda: Hasher(num_perm, seed, family))
+        held: dict = {}
+        for part in parts:
+            for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                sig = hasher.signature(grams(t or "", ngram))
+                held[k] = np.minimum(held[k], sig) if k in held else sig
+            if len(held) >= groups:
+                yield pa.RecordBatch.from_arrays([pa.array([*held], part.schema.field(0).type), pa.array([s.astype(">u8").tobytes() for s in held.values()], pa.binary())], names=names)
+                held = {}
+            own = part.schema.field(0).type
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([*held], own), pa.array([s.astype(">u8").tobytes() for s in held.values()], pa.binary())], names=names)
+
+    partial = spread(docs.select(by, F.col("text").cast("string").alias("text"))).mapInArrow(run, f"`{by}` {kind}, sig binary")
+    places = F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda i: F.struct(i.alias("i"), F.substring("sig", i * 8 + 1, F.lit(8)).alias("low")))
+    return partial.select(by, F.explode(places).alias("p")).groupBy(by, F.col("p.i").alias("i")).agg(F.min("p.low").alias("low"))
+
+
 def agreement(a: Column, b: Column, num_perm: int) -> Column:
     """Share of equal positions of two signatures."""
     same = F.aggregate(F.sequence(F.lit(0), F.lit(num_perm - 1)), F.lit(0), lambda n, i: n + (F.substring(a, i * 8 + 1, F.lit(8)) == F.substring(b, i * 8 + 1, F.lit(8))).cast("int"))
@@ -126,82 +198,138 @@ def pair_similarity(left: DataFrame, right: DataFrame, left_perm: int, right_per
     return both.select("doc_id", agreement(F.col("a"), F.col("b"), left_perm).alias("similarity"))
 
 
-def bands(sigs: DataFrame, num_perm: int, threshold: float) -> DataFrame:
-    """doc_id, band, key of every band; the key is the band's part of the signature itself, so it cannot collide."""
+def bands(nodes: DataFrame, num_perm: int, threshold: float, keep: list[str] | None = None) -> DataFrame:
+    """node, band, key (and the columns ``keep``) of every band; the key is the band's part of the signature itself, so it cannot collide."""
     count, rows = band_shape(num_perm, threshold)
     each = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: F.struct(b.alias("band"), F.substring("sig", b * (8 * rows) + 1, F.lit(8 * rows)).alias("key")))
-    return sigs.select("doc_id", F.explode(each).alias("b")).select("doc_id", "b.band", "b.key")
+    keep = keep or []
+    return nodes.select("node", *keep, F.explode(each).alias("b")).select("node", "b.band", "b.key", *keep)
 
 
-def distinct_signatures(sigs: DataFrame) -> DataFrame:
-    """doc_id (the smallest), sig, copies: equal signatures once."""
-    return sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+def buckets(nodes: DataFrame, num_perm: int, threshold: float) -> DataFrame:
+    """node, band, first: a bucket of two nodes or more is known by its band and its first node."""
+    keyed = bands(nodes, num_perm, threshold)
+    shared = keyed.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(shared, ["band", "key"]).select("node", "band", "first")
 
 
-def candidates(sigs: DataFrame, num_perm: int, threshold: float) -> DataFrame:
-    """Pairs lo < hi of documents that share a band."""
-    keyed = bands(sigs, num_perm, threshold)
-    left, right = keyed.withColumnRenamed("doc_id", "lo"), keyed.withColumnRenamed("doc_id", "hi")
-    return left.join(right, ["band", "key"]).where("lo < hi").select("lo", "hi").distinct()
+def candidates(held: DataFrame) -> DataFrame:
+    """Pairs lo < hi of nodes that share a bucket, of rows (node, band, first)."""
+    return held.withColumnRenamed("node", "lo").join(held.withColumnRenamed("node", "hi"), ["band", "first"]).where("lo < hi").select("lo", "hi").distinct()
 
 
-def similar_pairs(sigs: DataFrame, num_perm: int, threshold: float) -> DataFrame:
-    """lo, hi, similarity of the candidates that agree in at least ``threshold`` of the positions."""
-    pairs = candidates(sigs, num_perm, threshold)
-    with_lo = pairs.join(sigs.select(F.col("doc_id").alias("lo"), F.col("sig").alias("a")), "lo")
-    both = with_lo.join(sigs.select(F.col("doc_id").alias("hi"), F.col("sig").alias("b")), "hi")
-    return both.select("lo", "hi", agreement(F.col("a"), F.col("b"), num_perm).alias("similarity")).where(F.col("similarity") >= threshold)
+def similar(pairs: DataFrame, nodes: DataFrame, num_perm: int, threshold: float) -> DataFrame:
+    """lo, hi, similarity of the pairs whose signatures agree in at least ``threshold`` of the positions."""
+    names = ["lo", "hi", "similarity"]
 
+    def run(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint64).reshape(-1, num_perm) for i in (2, 3))
+            share = (a == b).sum(1) / num_perm
+            at = pa.array(np.flatnonzero(share >= threshold))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(share).take(at)], names=names)
 
-def members(sigs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc_id, representative, copies of every document: the smallest doc_id with its signature, and how many have it."""
-    key = F.sha2("sig", 256).alias("key")
-    return sigs.select("doc_id", key).join(firsts.select(key, F.col("doc_id").alias("representative"), "copies"), "key").drop("key")
+    own = lambda c, name: nodes.select(F.col("node").alias(c), F.col("sig").alias(name))
+    return pairs.join(own("hi", "b"), "hi").join(own("lo", "a"), "lo").select("lo", "hi", "a", "b").mapInArrow(run, "lo long, hi long, similarity double")
 
 
-def with_members(pairs: DataFrame, sigs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows of two kinds: ``member`` (doc_id, other: its representative, copies) for every document, ``pair`` (doc_id, other, 0 copies) for pairs.
+def walked(held: DataFrame, nodes: DataFrame, num_perm: int, threshold: float, verify: bool) -> DataFrame:
+    """node, kept of few nodes of buckets, walked in order in one task."""
 
-    Two documents are linked if their representatives are the same or a pair. Where pairs have a similarity, a member's is 1.
+    def run(parts: Iterator[pa.RecordBatch]):
+        stay: dict = {}
+        for part in parts:
+            kept = []
+            for where, sig in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                own = np.frombuffer(sig, np.uint64) if verify else None
+                mates = [m for b in where for m in stay.get((b["band"], b["first"]), ())]
+                kept.append(not (((np.stack(mates) == own).sum(1) / num_perm >= threshold).any() if verify and mates else mates))
+                if kept[-1]:
+                    for b in where:
+                        stay.setdefault((b["band"], b["first"]), []).append(own)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.bool_())], names=["node", "kept"])
+
+    rows = held.groupBy("node").agg(F.collect_list(F.struct("band", "first")).alias("where"))
+    signed = rows.join(nodes.select("node", "sig"), "node") if verify else rows.withColumn("sig", F.lit(None).cast("binary"))
+    return signed.select("node", "where", "sig").coalesce(1).sortWithinPartitions("node").mapInArrow(run, "node long, kept boolean")
+
+
+def first_wins(held: DataFrame, alike, tables: Tables, leaders: int = 1, most: int = 256, finish=None) -> DataFrame:
+    """node, kept of all nodes of buckets (node, band, first): a node stays unless an earlier node that stays shares a bucket with it and is alike.
+
+    ``alike`` gives of pairs (lo, hi) those that are. In a round the ``leaders`` first open nodes of every bucket are met by
+    its other open nodes, each pair once; the leaders grow fourfold up to ``most``. A node that leads all its buckets has met all
+    earlier open nodes, and all later ones have met it, so it is decided for good. The first open node of all is one, so rounds
+    end; a bucket whose nodes are not alike is decided ``most`` nodes a round. ``finish`` decides what is left when that is no
+    more than ``FEW`` rows.
     """
-    own = members(sigs, firsts).select(F.lit("member").alias("kind"), "doc_id", F.col("representative").alias("other"), "copies")
-    met = pairs.select(F.lit("pair").alias("kind"), F.col("lo").alias("doc_id"), F.col("hi").alias("other"), F.lit(0).cast("long").alias("copies"), *(["similarity"] if "similarity" in pairs.columns else []))
-    return (own.withColumn("similarity", F.lit(1.0)) if "similarity" in pairs.columns else own).unionByName(met)
-
-
-def first_wins(pairs: DataFrame, tables: Tables) -> DataFrame:
-    """doc_id, kept of all nodes of pairs (lo, hi): a node stays unless a lower neighbour does."""
-    edges = tables.write(pairs.select("lo", "hi"), "edges")
-    nodes = edges.select(F.col("lo").alias("doc_id")).union(edges.select("hi")).distinct()
-    state = tables.write(nodes.join(edges.select(F.col("hi").alias("doc_id")).distinct().withColumn("has", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("has").isNull(), True).alias("kept")), "state0")
-    turn = 0
-    while state.where("kept is null").limit(1).count():
-        lower = edges.join(state.select(F.col("doc_id").alias("lo"), F.col("kept").alias("k")), "lo")
-        seen = lower.groupBy(F.col("hi").alias("doc_id")).agg(F.max(F.coalesce("k", F.lit(False))).alias("some"), F.min(F.col("k").isNotNull() & ~F.coalesce("k", F.lit(True))).alias("gone"))
-        turn += 1
-        state = tables.write(state.join(seen, "doc_id", "left").select("doc_id", F.coalesce("kept", F.when(F.col("some"), False).when(F.col("gone"), True)).alias("kept")), f"state{turn}")
-    return state
-
-
-def dedup(docs: DataFrame, num_perm: int = 128, threshold: float = 0.7, ngram: int = 5, seed: int = 42, family: str = "sha256", verify: bool = True) -> DataFrame:
-    """doc_id, kept of every document, by ascending doc_id: one goes if it is similar to an earlier one that stays.
-
-    ``ngram`` 0 compares words; without ``verify`` a common band is enough. Null texts count as empty.
+    bucket, turn, done = ["band", "first"], 0, []
+    held = tables.write(held, "held0")
+    while left := held.count():
+        if finish and left <= FEW:
+            done.append(tables.write(finish(held), f"decided{turn}"))
+            held = held.limit(0)
+            break
+        rank = F.row_number().over(Window.partitionBy(*bucket).orderBy("node"))
+        lead = tables.write(held.withColumn("rank", rank).where(F.col("rank") <= leaders).select(*bucket, F.col("node").alias("lo")), f"lead{turn}")
+        met = held.withColumnRenamed("node", "hi").join(lead, bucket).where("lo < hi").select("lo", "hi").distinct()
+        near = tables.write(alike(met).select("lo", "hi"), f"near{turn}")
+        leads = lead.groupBy(F.col("lo").alias("node")).agg(F.count("*").alias("leads")).join(held.groupBy("node").agg(F.count("*").alias("own")), "node").where("leads = own").select("node")
+        stays = leads.join(near.select(F.col("hi").alias("node")).distinct(), "node", "left_anti")
+        gone = near.join(stays.select(F.col("node").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("node")).distinct()
+        done.append(tables.write(stays.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False))), f"decided{turn}"))
+        open_ = held.join(done[-1].select("node"), "node", "left_anti")
+        for name in (f"lead{turn - 1}", f"near{turn - 1}", f"held{turn - 1}"):
+            tables.remove(name)
+        turn, leaders = turn + 1, min(4 * leaders, most)
+        held = tables.write(open_, f"held{turn}")
+    out = held.select("node", F.lit(True).alias("kept"))
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
+def kept_rows(rows: DataFrame, tables: Tables, num_perm: int, threshold: float, verify: bool = True, by: str | None = None) -> DataFrame:
+    """row of the signed rows that stay, walked by ``by`` first if it is given."""
+    nodes = classes(rows, tables, by)
+    alike = (lambda pairs: similar(pairs, nodes, num_perm, threshold)) if verify else (lambda pairs: pairs)
+    decided = first_wins(buckets(nodes, num_perm, threshold), alike, tables, finish=lambda held: walked(held, nodes, num_perm, threshold, verify))
+    return nodes.select("node", "row").join(decided.where("not kept"), "node", "left_anti").select("row")
+
+
+def dedup(docs: DataFrame, num_perm: int = 128, threshold: float = 0.7, ngram: int = 5, seed: int = 42, family: str = "sha256", verify: bool = True, carry: bool = False, by: str | None = None) -> DataFrame:
+    """doc_id, kept of every row (with ``carry`` all columns and kept): a row goes if it is similar to an earlier one that stays.
+
+    Rows are walked by doc_id (null last), then by hash of the text, with ``carry`` first by the column that ``by`` names; each is judged by itself: of repeated rows one stays, rows
+    that share a doc_id with different texts are told apart, rows without a doc_id take part as the last ones. Null texts count
+    as empty, and empty texts are equal. ``ngram`` 0 compares words; without ``verify`` a common band is enough. Texts count
+    whole; an empty table gives an empty result.
     """
     tables = Tables(docs.sparkSession, "minhash")
-    sigs = tables.write(signatures(docs, num_perm, ngram, seed, family), "sigs")
-    firsts = tables.write(distinct_signatures(sigs), "firsts")
-    pairs = similar_pairs if verify else candidates
-    decided = first_wins(pairs(firsts, num_perm, threshold), tables)
-    stays = firsts.join(decided, "doc_id", "left").where("coalesce(kept, true)").select("doc_id", F.lit(True).alias("kept"))
-    return sigs.select("doc_id").join(stays, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    rows = signed_rows(docs, tables, num_perm, ngram, seed, family, carry)
+    stays = kept_rows(rows, tables, num_perm, threshold, verify, by and f"_carried{docs.columns.index(by)}").withColumn("kept", F.lit(True))
+    own = [F.col(f"_carried{i}").alias(c) for i, c in enumerate(docs.columns)] if carry else [F.col("doc_id")]
+    return rows.join(stays, "row", "left").select(*own, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def unique_documents(docs: DataFrame, most: int = 0, **settings) -> DataFrame:
-    """The documents that stay, by doc_id; with ``most`` above 0, the first so many."""
-    kept = docs.join(dedup(docs, **settings).where("kept").select("doc_id"), "doc_id", "left_semi").orderBy("doc_id")
+    """The rows that stay (see ``dedup``), by doc_id, null last; with ``most`` above 0, the first so many."""
+    kept = dedup(docs, carry=True, **settings).where("kept").select(*docs.columns).orderBy(F.col("doc_id").asc_nulls_last())
     return kept.limit(most) if most else kept
 
 
+def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of two kinds: ``member`` (doc_id, other: its class's first doc_id, copies) for every row, ``pair`` (doc_id, other, 0 copies) for pairs (lo, hi) of classes.
+
+    Two rows are linked if their classes are the same or a pair. Where pairs have a similarity, a member's is 1.
+    """
+    more = ["similarity"] if "similarity" in pairs.columns else []
+    key = F.sha2("sig", 256).alias("key")
+    own = rows.select("doc_id", key).join(nodes.select(key, F.col("doc_id").alias("other"), "copies"), "key").select(F.lit("member").alias("kind"), "doc_id", "other", "copies", *(F.lit(1.0).alias(c) for c in more))
+    named = lambda c, name: nodes.select(F.col("node").alias(c), F.col("doc_id").alias(name))
+    met = pairs.join(named("lo", "doc_id"), "lo").join(named("hi", "other"), "hi")
+    return own.unionByName(met.select(F.lit("pair").alias("kind"), "doc_id", "other", F.lit(0).cast("long").alias("copies"), *more))
+
+
 def dedup_stats(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count("*").alias("total"), F.count_if(~F.col("kept")).alias("duplicates"), F.count_if("kept").alias("unique")).select("total", "duplicates", "unique", F.coalesce(F.try_divide("duplicates", "total"), F.lit(0.0)).alias("rate"))

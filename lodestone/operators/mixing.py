@@ -14,12 +14,16 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 
 def interleave(rows: DataFrame, source: str, order: str) -> DataFrame:
-    """Rows in turn, one of each source, until the smallest source is exhausted: ``turn`` and ``place`` (the source's rank by name)."""
+    """Rows in turn, one of each source, until the smallest source is exhausted: ``turn`` and ``place`` (the source's rank by name).
+
+    A null source is a source, the last one by name. Within a source a null ``order`` comes first.
+    """
     ranked = positions(rows, order, [source], "turn").withColumn("turn", F.col("turn") + 1)
-    counts = rows.groupBy(source).count()
-    names = counts.select(source, F.row_number().over(Window.orderBy(source)).alias("place"))  # one row a source
+    counts = rows.groupBy(F.col(source).alias("_named")).count()
+    names = counts.select("_named", F.row_number().over(Window.orderBy(F.col("_named").asc_nulls_last())).alias("place"))  # one row a source
     least = counts.agg(F.min("count").alias("least"))
-    return ranked.join(F.broadcast(names), source).crossJoin(F.broadcast(least)).where(F.col("turn") <= F.col("least")).drop("least")
+    placed = ranked.join(F.broadcast(names), F.col(source).eqNullSafe(F.col("_named"))).drop("_named")
+    return placed.crossJoin(F.broadcast(least)).where(F.col("turn") <= F.col("least")).drop("least")
 
 
 def ratio_mix(rows: DataFrame, source: str, order: str, shares: dict[str, float], seed: int = 42) -> DataFrame:

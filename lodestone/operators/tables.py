@@ -25,11 +25,15 @@ class Tables:
 
     def drop(self) -> None:
         """Removes the folder with all of its tables."""
+        self.remove("")
+
+    def remove(self, name: str) -> None:
+        """Removes a table that is no longer read."""
         jvm = self.spark.sparkContext._jvm
         if jvm is None:
             return
         try:
-            where = jvm.org.apache.hadoop.fs.Path(self.root)
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session may have ended; the folder's owner clears it
             return

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions import scoring as sc
 from ..functions import text as tx
-from ..operators import derivatives, memory, mixing, series
+from ..operators import derivatives, memory, mixing, series, vectors
 from ..operators.tables import Tables
 from ..sources import readers, sinks
 from .base import read, register
@@ -17,17 +17,21 @@ from .market import ORDER, _bars
 from .text import _KNOW, _knowledge, _memories
 
 
+#: The languages of the documents, each of which is a folder of the source.
+LANGUAGES = ["de", "en", "es", "fr"]
+
+
 @register("""
-    WITH r AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn, dense_rank() OVER (ORDER BY lang) AS place FROM documents WHERE lang IN ('de', 'en'))
-    SELECT doc_id, lang AS language, turn, place, md5(text) AS md5 FROM r WHERE turn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents WHERE lang IN ('de', 'en') GROUP BY lang))
+    WITH r AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn, dense_rank() OVER (ORDER BY lang) AS place FROM documents)
+    SELECT doc_id, lang AS language, turn, place, md5(text) AS md5 FROM r WHERE turn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))
 """)
 def source_code_corpus(spark, sf):
     """Folders by language, of which one is missing; the others take turns."""
     tables = Tables(spark, "code")
-    docs = read(spark, sf, "documents").where("lang in ('de', 'en')")
-    for lang in ("de", "en"):
+    docs = read(spark, sf, "documents")
+    for lang in LANGUAGES:
         docs.where(F.col("lang") == lang).select(F.col("text").alias("content"), "lang", F.col("doc_id").alias("size")).write.parquet(f"{tables.root}/data/{lang}")
-    found = readers.code_corpus(spark, tables.root, ["de", "en", "missing"], order="size")
+    found = readers.code_corpus(spark, tables.root, [*LANGUAGES, "missing"], order="size")
     return found.select(F.col("size").alias("doc_id"), "language", F.col("turn").cast("long"), F.col("place").cast("long"), F.md5("content").alias("md5"))
 
 
@@ -230,7 +234,7 @@ def chat_prompt_parts(spark, sf):
 
 @register(None)
 def vector_topk_approx(spark, sf):
-    """Cosine neighbours through a coarse index; tests measure its recall against all vectors."""
+    """Cosine neighbours through an index of quantised vectors; tests measure its recall against all vectors."""
     v = read(spark, sf, "embeddings")
-    found = memory.top_k_cells(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v, 10)
+    found = vectors.VectorIndex(v, 10).search(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.tables import Tables
+from ..sources import messages
 from ..streaming import streams
 from .base import read, register
+from .text import _GRAMS, _greedy_sql
 
 
 def _finished(spark, frame, sink: str):
@@ -95,12 +97,60 @@ def stream_features(spark, sf):
     return kept.groupBy("symbol").agg(F.round(F.avg("value"), 4).alias("mean")).join(found, "symbol")
 
 
-@register(None)
+def _fed(spark, tables, rows, by: str, count: int):
+    """Publishes ``rows`` one after another in ``count`` even steps of the whole number ``by``; gives the path to read each time."""
+    ends = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
+    lo, hi = ends.lo or 0, ends.hi or 0
+    number = F.coalesce(F.expr(f"cast({count} * cast(`{by}` - {lo}L as decimal(38,0)) div {hi - lo + 1}L as int)"), F.lit(0))
+    rows.withColumn("_batch", number).write.partitionBy("_batch").parquet(f"{tables.root}/cut")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(tables.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path(f"{tables.root}/feed"))
+    for i in range(count):
+        if store.rename(path(f"{tables.root}/cut/_batch={i}"), path(f"{tables.root}/feed/{i}")) or i == 0:
+            yield f"{tables.root}/feed/*"
+
+
+@register(f"WITH RECURSIVE {_GRAMS}, {_greedy_sql('v')} SELECT doc_id FROM decided WHERE kept")
 def stream_dedup(spark, sf):
+    """Documents come in three batches by doc_id, the stream being started anew for each; what stays is what one greedy pass keeps."""
     tables = Tables(spark, "stream-dedup")
-    docs = streams.read_stream(spark, f"{sf}/documents.parquet*", read(spark, sf, "documents").schema)
-    streams.dedup_stream(docs, f"{tables.root}/out", f"{tables.root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{tables.root}/out").select("doc_id")
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    for feed in _fed(spark, tables, docs, "doc_id", 3):
+        streams.dedup_stream(streams.read_stream(spark, feed, docs.schema), f"{tables.root}/out", f"{tables.root}/checkpoint", family="sha256")
+    return spark.read.schema(streams.KEPT).parquet(f"{tables.root}/out").select("doc_id")
+
+
+@register("""
+    WITH b AS (SELECT event_type AS symbol, value, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM events)
+    SELECT symbol, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS until, CAST(count(*) AS INT) AS n, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high FROM b WHERE back <= 100 GROUP BY symbol
+""")
+def stream_rolling(spark, sf):
+    """The ring of the last 100 values of each series as state of a stateful processor, over four batches by time with a restart before each."""
+    tables = Tables(spark, "rolling")
+    events = read(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), "value").withColumn("us", F.unix_micros("ts"))
+    for feed in _fed(spark, tables, events, "us", 4):
+        rolled = streams.rolling_last(streams.read_stream(spark, feed, events.schema), 100)
+        with streams.keyed_state(spark):
+            query = rolled.writeStream.format("parquet").option("path", f"{tables.root}/out").option("checkpointLocation", f"{tables.root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.schema(rolled.schema).parquet(f"{tables.root}/out").where("not closed")
+    last = out.groupBy("symbol").agg(F.max_by(F.struct("us", "n", "values"), "us").alias("r")).select("symbol", "r.*")
+    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.col("n")
+    return last.select("symbol", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss").alias("until"), "n", F.round(mean, 4).alias("mean"), F.array_min("values").alias("low"), F.array_max("values").alias("high"))
+
+
+@register("SELECT event_type AS symbol, event_id AS seq, CASE WHEN value > 100 THEN 'long' ELSE 'flat' END AS decision FROM events WHERE event_id % 10 <> 0")
+def stream_messages(spark, sf):
+    """Requests as JSON lines of a message log, in by the streaming source and out by its idempotent sink; malformed ones get no reply."""
+    messages.register(spark)
+    tables = Tables(spark, "messages")
+    said = F.when(F.col("event_id") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("event_type").alias("symbol"), F.array(F.col("event_id").cast("double"), "value").alias("data"))))
+    read(spark, sf, "events").select(said.alias("value")).write.text(f"{tables.root}/in")
+    answer = lambda r: r.select("symbol", F.col("data")[0].cast("long").alias("seq"), F.when(F.col("data")[1] > 100, "long").otherwise("flat").alias("decision"))
+    replied = streams.replies(spark.readStream.format("message_log").load(f"{tables.root}/in"), answer)
+    replied.writeStream.format("message_log").option("checkpointLocation", f"{tables.root}/checkpoint").trigger(availableNow=True).start(f"{tables.root}/out").awaitTermination()
+    return messages.written(spark, f"{tables.root}/out", "symbol string, seq long, decision string")
 
 
 @register(None)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import keywords, udtfs
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import ffd, memory, minhash, mixing
 from ..operators.tables import Tables
+from ..sources import versions
 from .base import read, register
 
 #: Words that the corpus holds; the default keywords of quant code do not occur in it.
@@ -70,6 +72,37 @@ def corpus_filter_ranked(spark, sf):
     return scored.orderBy(F.col("priority").desc(), "doc_id")
 
 
+def _default_sql(column: str) -> str:
+    edge = "[^\\p{L}\\p{N}_]"
+
+    def word(w: str) -> str:
+        escaped = "".join(c if c.isalnum() or c == "_" else "\\" + c for c in w)
+        begin = f"(^|{edge})" if w[0].isalnum() or w[0] == "_" else "[\\p{L}\\p{N}_]"
+        end = f"($|{edge})" if w[-1].isalnum() or w[-1] == "_" else "[\\p{L}\\p{N}_]"
+        return f"CAST(regexp_matches({column}, '(?i){begin}{escaped}{end}') AS INT)"
+
+    words = " + ".join(map(word, tx.KEYWORDS))
+    high = " + ".join(f"CAST(regexp_matches({column}, '(?i){p}') AS INT)" for p in tx.HIGH_VALUE)
+    return f"{words} AS words, {high} AS high"
+
+
+#: What stands behind a document's text in the query on the default lists, by doc_id: most words are tried, some only as parts of others.
+_QUANT = ["class MyStrategy(Base):\n  def next ( self", "gramian angular field, GASF", "import talib; TA_RSI(x) bt.Cerebro", "the sharpe_ratio and max drawdown", "self.observation_space; env.step (a)", "def compute_signal(x): def on_bar(", "class ABacktestStrategyTradingEnv", "signals indicators emaX"]
+_QUANT_SQL = "text || chr(10) || list_extract(['" + "', '".join(q.replace("\n", "' || chr(10) || '") for q in _QUANT) + "'], CAST(doc_id % 8 AS INT) + 1) || ' ' || list_extract(['" + "', '".join(tx.KEYWORDS) + "'], CAST(doc_id % 71 AS INT) + 1) || ' ' || source"
+
+
+@register(f"""
+    WITH q AS (SELECT doc_id, {_QUANT_SQL} AS t FROM documents), c AS (SELECT doc_id, t, {_default_sql("t")} FROM q)
+    SELECT doc_id, CAST(words AS INT) AS words, CAST(high AS INT) AS high, CAST(words + 2 * high AS INT) AS score, words + 2 * high >= 2 AS passes FROM c
+""")
+def corpus_keywords_default(spark, sf):
+    """The default lists, 71 words and 16 patterns, counted in one pass over texts of which some hold them."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    text = F.concat("text", F.lit("\n"), pick(_QUANT, 8), F.lit(" "), pick(tx.KEYWORDS, 71), F.lit(" "), "source")
+    found = keywords.scored(read(spark, sf, "documents").select("doc_id", text.alias("text")), tx.KEYWORDS, tx.HIGH_VALUE)
+    return found.select("doc_id", "words", "high", "score", (F.col("score") >= 2).alias("passes"))
+
+
 @register(f"WITH {_VERDICT} SELECT doc_id FROM v WHERE verdict = 'pass' ORDER BY doc_id LIMIT 100")
 def filtered_samples(spark, sf):
     """The first 100 documents that pass the filter: the cap counts what passes."""
@@ -180,21 +213,21 @@ def _linked_sql(pairs: str, own: str, similarity: str) -> str:
 
 def _linked(spark, sf, pairs):
     tables = Tables(spark, "lsh")
-    sigs = tables.write(minhash.signatures(read(spark, sf, "documents")), "sigs")
-    firsts = tables.write(minhash.distinct_signatures(sigs), "firsts")
-    return minhash.with_members(pairs(firsts, 128, 0.7), sigs, firsts)
+    rows = minhash.signed_rows(read(spark, sf, "documents"), tables, 128, 5, 42, "sha256")
+    nodes = minhash.classes(rows, tables)
+    return minhash.linked(rows, nodes, pairs(minhash.candidates(tables.write(minhash.buckets(nodes, 128, 0.7), "buckets")), nodes))
 
 
 @register(_linked_sql("p", "", ""))
 def lsh_candidates(spark, sf):
     """Every document with its signature class, and the pairs of class representatives that share a band."""
-    return _linked(spark, sf, minhash.candidates)
+    return _linked(spark, sf, lambda pairs, nodes: pairs)
 
 
 @register(_linked_sql("v", ", CAST(1 AS DOUBLE) AS similarity", ", CAST(similarity AS DOUBLE)"))
 def lsh_verified_pairs(spark, sf):
     """Every document with its signature class, and the pairs of class representatives that agree in 70 % of the positions."""
-    return _linked(spark, sf, minhash.similar_pairs)
+    return _linked(spark, sf, lambda pairs, nodes: minhash.similar(pairs, nodes, 128, 0.7))
 
 
 @register(f"""WITH {_GRAMS} SELECT a.doc_id, len(list_filter(range(1, 129), lambda i: a.sig[i] = z.sig[i])) / CAST(128 AS DOUBLE) AS similarity FROM s a JOIN s z ON z.doc_id = a.doc_id + 1""")
@@ -204,6 +237,13 @@ def minhash_pair_similarity(spark, sf):
     return minhash.pair_similarity(sigs, sigs.select((F.col("doc_id") - 1).alias("doc_id"), "sig"), 128, 128)
 
 
+@register(f"""WITH {_GRAMS} SELECT source, i, printf('%016x', min(h)) AS low FROM g JOIN h USING (g) JOIN documents USING (doc_id) GROUP BY source, i""")
+def minhash_source_signatures(spark, sf):
+    """One signature for all texts of a source, from partial signatures that merge by minimum."""
+    found = minhash.merged_signatures(read(spark, sf, "documents"), "source")
+    return found.select("source", F.col("i").cast("long").alias("i"), F.lower(F.hex("low")).alias("low"))
+
+
 @register(f"WITH RECURSIVE {_GRAMS}, {_greedy_sql('v')} SELECT doc_id, kept FROM decided")
 def dedup_greedy(spark, sf):
     """With the reference's hash family, so that the same documents stay."""
@@ -228,17 +268,18 @@ def corpus_pipeline(spark, sf):
 
     Documents that pass are the code source, all others the finance source. Both are deduplicated against one index, code
     before finance; 5000 generated samples are added as they are.
+
+    Rows are deduplicated by themselves, whatever their ids: see ``minhash.dedup``. Null texts count as empty.
     """
     tables = Tables(spark, "corpus")
-    judged = _judged(spark, sf).select("doc_id", "text", F.when(F.col("verdict") == "pass", "code").otherwise("cot").alias("source"))
-    span = F.broadcast(judged.agg((F.max("doc_id") - F.min("doc_id") + 1).alias("span")))
-    place = F.when(F.col("source") == "code", F.col("doc_id")).otherwise(F.col("doc_id") + F.col("span"))
-    placed = tables.write(judged.crossJoin(span).select("doc_id", "text", "source", place.alias("place")), "placed")
-    kept = minhash.dedup(placed.select(F.col("place").alias("doc_id"), "text"), family="mix").where("kept").select(F.col("doc_id").alias("place"))
+    passed = tx.verdict(F.col("text"), WORDS, PATTERNS) == "pass"
+    judged = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(passed, 0).otherwise(1).alias("place"))
+    kept = minhash.dedup(judged, family="mix", carry=True, by="place").where("kept")
+    rows = kept.select("doc_id", "text", F.when(F.col("place") == 0, "code").otherwise("cot").alias("source"))
     more = mixing.synthetic(spark, 5000).select(F.col("sample_id").alias("doc_id"), "text", F.lit("synthetic").alias("source"))
-    rows = placed.join(kept, "place").select("doc_id", "text", "source").unionByName(more)
+    written = tables.write(rows.unionByName(more), "rows")
     priority = F.round(tx.priority(F.col("text"), WORDS, PATTERNS), 6).alias("priority")
-    return mixing.shuffled(rows.select("doc_id", tx.phi_format(F.col("text"), F.col("source")).alias("text"), "source", priority), "doc_id")
+    return mixing.shuffled(written, "doc_id").select("doc_id", tx.phi_format(F.col("text"), F.col("source")).alias("text"), "source", priority)
 
 
 @register("""
@@ -315,6 +356,28 @@ def pack_buffered(spark, sf):
     return ffd.pack_shards(_samples(spark, sf, 8192), ["shard"], 8192, 5)
 
 
+@register(None)
+def pack_table_function(spark, sf):
+    """The buffers of ``pack_buffered``, packed by a table function in SQL text."""
+    udtfs.register(spark)
+    samples = _samples(spark, sf, 8192)
+    return spark.sql(
+        "SELECT * FROM first_fit(TABLE(SELECT shard, doc_id, tokens, 8192 AS target, 5 AS separator FROM {samples}) PARTITION BY shard ORDER BY (doc_id NULLS FIRST, tokens))", samples=samples
+    )
+
+
+@register("""
+    WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x1c-\\x1f]+', ' ', 'g')) AS t FROM documents),
+    g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(t) >= 5 THEN list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)) ELSE [t] END) AS gram FROM t)
+    SELECT gram, count(*) AS docs FROM g GROUP BY gram
+""")
+def gram_documents(spark, sf):
+    """In how many documents each character 5-gram stands: a table function makes the rows, SQL counts them."""
+    udtfs.register(spark)
+    docs = read(spark, sf, "documents")
+    return spark.sql("SELECT gram, count(*) AS docs FROM char_grams(TABLE(SELECT doc_id, text, 5 AS n FROM {docs})) GROUP BY gram", docs=docs)
+
+
 @register(None)
 def pack_ffd(spark, sf):
     """First fit decreasing per source, in shards of 100,000 documents by doc_id: one sequential job a shard."""
@@ -332,7 +395,7 @@ def pack_dynamic(spark, sf):
 
 def _rows(spark, sf):
     """Packed rows over byte ids of the texts (the tokenizer is pluggable; this one needs no file)."""
-    docs = read(spark, sf, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(50_000)).cast("int")).alias("ids"))
+    docs = read(spark, sf, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(50_000)).cast("int")).alias("ids"))
     cut = docs.select("doc_id", F.slice("ids", 1, 2048 - 2 - 10).alias("ids")).withColumn("tokens", F.size("ids").cast("long"))
     sharded = ffd.with_shard(cut.select("doc_id", "tokens"), "doc_id", 1000)
     placed = ffd.pack_shards(sharded, ["shard"], 2048, 2).join(cut.select("doc_id", "ids"), "doc_id")
@@ -506,21 +569,40 @@ def _knowledge(spark, sf):
     return o.groupBy("category", "key").agg(F.min_by("o_orderstatus", "o_orderkey").alias("value"), F.lit("{}").alias("metadata"), F.min("o_orderkey").alias("created_at"), F.min("o_orderkey").alias("updated_at"))
 
 
-@register(f"""
+_UPSERTED = f"""
     WITH {_KNOW}, r AS (SELECT category, key, -1 AS seq, 'add' AS op, value, t FROM old UNION ALL SELECT category, key, seq, op, value, t FROM ch),
     c AS (SELECT category, key, coalesce(max(CASE WHEN op = 'delete' THEN seq END), -2) AS cut, coalesce(max(CASE WHEN op = 'add' THEN seq END), -2) AS added, max(seq) AS top FROM r GROUP BY 1, 2)
     SELECT c.category, c.key, (SELECT value FROM r WHERE r.category = c.category AND r.key = c.key AND r.seq = c.top) AS value,
            (SELECT arg_min(t, seq) FROM r WHERE r.category = c.category AND r.key = c.key AND r.seq > c.cut AND r.seq >= c.added) AS created_at,
            (SELECT t FROM r WHERE r.category = c.category AND r.key = c.key AND r.seq = c.top) AS updated_at
     FROM c WHERE c.top > c.cut
-""")
-def knowledge_upsert(spark, sf):
+"""
+
+
+def _changes(spark, sf):
     i = F.col("event_id")
-    changes = read(spark, sf, "events").select(
+    return read(spark, sf, "events").select(
         F.lit("1-URGENT").alias("category"), F.concat(F.lit("k"), (i % 120).cast("string")).alias("key"), F.col("event_type").alias("value"), F.lit("{}").alias("metadata"),
         F.when(i % 13 == 0, "delete").when(i % 3 == 0, "add").otherwise("update").alias("op"), i.alias("at"), i.alias("seq"),
     )
-    return memory.upsert(_knowledge(spark, sf), changes).drop("metadata")
+
+
+@register(_UPSERTED)
+def knowledge_upsert(spark, sf):
+    return memory.upsert(_knowledge(spark, sf), _changes(spark, sf)).drop("metadata")
+
+
+@register(_UPSERTED)
+def knowledge_versions(spark, sf):
+    """The same changes as two versions of a merged table, then a compaction, and what a reader of the last version sees."""
+    table = versions.VersionedTable(spark, f"{Tables(spark, 'versions').root}/knowledge")
+    changes = _changes(spark, sf)
+    table.create(_knowledge(spark, sf))
+    middle = changes.agg(F.expr("max(seq) div 2")).first()[0] or 0
+    table.upsert(changes.where(F.col("seq") <= middle))
+    table.upsert(changes.where(F.col("seq") > middle))
+    table.compact()
+    return table.read().drop("metadata")
 
 
 @register(f"WITH {_KNOW} SELECT category, key, value FROM old WHERE contains(lower(key), 'k1') OR contains(lower(value), 'p')")

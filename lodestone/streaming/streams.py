@@ -1,16 +1,21 @@
-"""Structured Streaming forms of bars, dedup and packing.
+"""Structured Streaming forms of bars, dedup, packing and rolling series.
 
-Each keeps its state in a table that is written per batch under the batch's number, so that a batch that is replayed after a
-failure writes the same rows again: exactly once in effect.
+State is Spark's own (joins, windows, stateful processors), or a table that is written per batch under the batch's number, so
+that a batch that is replayed after a failure writes the same rows again: exactly once in effect.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import ffd, minhash, series
+from ..operators.ranking import positions
 from ..operators.tables import Tables
 
 
@@ -39,84 +44,196 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def made(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return path
+
+
+def sign_stream(docs: DataFrame, out: str, checkpoint: str, num_perm: int, family: str) -> StreamingQuery:
+    """Stores the rows of a stream (doc_id, text) with their signatures under ``out/came=<batch>``: row, doc_id, tie, sig, text."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        tables = Tables(batch.sparkSession, f"sign-{number}")
+        rows = minhash.signed_rows(batch.select("doc_id", "text"), tables, num_perm, 5, 42, family, carry=True)
+        rows.select(F.concat_ws("-", F.lit(number), "row").alias("row"), "doc_id", "tie", "sig", F.col("_carried1").cast("string").alias("text")).write.mode("overwrite").parquet(f"{out}/came={number}")
+        tables.drop()
+
+    return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Rows of the two tables that the dedup stream reads.
+SIGNED = "row string, doc_id long, tie long, sig binary, text string, came int"
+KEPT = "row string, doc_id long, sig binary, text string, batch int"
+
+
+def index_hits(signed: DataFrame, kept: DataFrame, num_perm: int, threshold: float) -> DataFrame:
+    """row, hit: each signed row of a stream once with hit 0, and once with hit 1 for every bucket it shares with a kept row it is similar to.
+
+    A stream-stream join by (band, key): the state store holds the kept rows by bucket, and a batch looks up the buckets of its own
+    rows. Signed rows leave the state as soon as no kept row from before them can still come.
+    """
+
+    def banded(rows: DataFrame, name: str, number: str) -> DataFrame:
+        # times begin at one second: a watermark of zero drops what is at zero
+        at = F.timestamp_seconds(F.col(number) + 1).alias(f"{name}_at")
+        keyed = minhash.bands(rows.select(F.col("row").alias("node"), "sig", F.col("sig").alias(f"{name}_sig"), at), num_perm, threshold, [f"{name}_sig", f"{name}_at"])
+        return keyed.withColumnRenamed("node", f"{name}_row").withWatermark(f"{name}_at", "0 seconds")
+
+    new, old = banded(signed, "new", "came"), banded(kept, "old", "batch").withColumnRenamed("band", "old_band").withColumnRenamed("key", "old_key")
+    met = new.join(old, F.expr("band = old_band and key = old_key and old_at < new_at"), "inner")
+    hits = met.where(minhash.agreement(F.col("new_sig"), F.col("old_sig"), num_perm) >= threshold).select(F.col("new_row").alias("row"), F.lit(1).alias("hit"))
+    return signed.select("row", F.lit(0).alias("hit"), "came").unionByName(hits.withColumn("came", F.lit(None).cast("int")))
+
+
 def dedup_stream(docs: DataFrame, out: str, checkpoint: str, num_perm: int = 128, threshold: float = 0.7, family: str = "mix", most: int = 0) -> StreamingQuery:
-    """First-wins dedup over batches: a document goes if it is similar to one kept before, or earlier in its batch.
+    """First-wins dedup of a stream (doc_id, text): a row goes if it is similar to one kept before, or to an earlier one of its batch.
+
+    Rows of a batch are walked as ``minhash.dedup`` walks them: repeated rows, rows of one doc_id, null ids and null texts have the
+    same defined results. Kept rows and their signatures are appended to ``out/batch=<number>``; ``most`` above 0 stops keeping
+    after so many. The query reads its own kept rows back as a second stream, into the state of a join by bucket: a batch
+    reads its own rows and what the batch before kept, and of the index only the buckets that its rows have.
 
-    Kept documents and their signatures are appended to ``out/batch=<number>``; ``most`` above 0 stops keeping after so many.
-    A batch reads the kept signatures and meets them by bands, so its cost follows its matches.
+    Runs until all that the stream holds is done, and returns the stopped query; a later run goes on from the checkpoint.
     """
+    spark = docs.sparkSession
+    sign_stream(docs, f"{checkpoint}/signed", f"{checkpoint}/sign", num_perm, family).awaitTermination()
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         tables = Tables(spark, f"dedup-{number}")
-        new = tables.write(batch.select("doc_id", "text"), "new")
-        sigs = tables.write(minhash.signatures(new, num_perm, family=family), "sigs")
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        had = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        old = spark.read.parquet(out).where(F.col("batch") < number).select("doc_id", "sig") if had else None
-        open_ = sigs
-        if old is not None:
-            known, mine = minhash.bands(old, num_perm, threshold), minhash.bands(sigs, num_perm, threshold)
-            near = mine.join(known.withColumnRenamed("doc_id", "before"), ["band", "key"]).select("doc_id", "before").distinct()
-            near = near.join(sigs.withColumnRenamed("sig", "a"), "doc_id").join(old.select(F.col("doc_id").alias("before"), F.col("sig").alias("b")), "before")
-            seen = near.where(minhash.agreement(F.col("a"), F.col("b"), num_perm) >= threshold).select("doc_id").distinct()
-            open_ = tables.write(sigs.join(seen, "doc_id", "left_anti"), "open")
-        firsts = tables.write(minhash.distinct_signatures(open_), "firsts")
-        decided = minhash.first_wins(minhash.similar_pairs(firsts, num_perm, threshold), tables)
-        kept = firsts.join(decided, "doc_id", "left").where("coalesce(kept, true)").select("doc_id", "sig")
+        counts = lambda n: f"{checkpoint}/counts/{n}"
+        had = spark.read.parquet(counts(number - 1)).first()["n"] if most and exists(spark, counts(number - 1)) else 0
+        count = lambda n: spark.range(1).select(F.lit(n).alias("n")).write.mode("overwrite").parquet(counts(number)) if most else None
+        got = tables.write(batch, "got")
+        came = [r.came for r in got.where("hit = 0").select("came").distinct().collect()]  # one number a signed batch
+        if not came:
+            return count(had)
+        new = spark.read.schema(SIGNED).parquet(f"{checkpoint}/signed").where(F.col("came").isin(came))
+        open_ = tables.write(new.join(got.where("hit = 1").select("row").distinct(), "row", "left_anti"), "open")
+        kept = minhash.kept_rows(open_, tables, num_perm, threshold, by="came")
+        rows = open_.join(kept, "row")
         if most:
-            room = max(0, most - (old.count() if old is not None else 0))
-            kept = kept.orderBy("doc_id").limit(room)
-        kept.join(new, "doc_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            rows = rows.orderBy("came", F.col("doc_id").asc_nulls_last(), "tie", "row").limit(max(0, most - had))
+        rows = tables.write(rows.select("row", "doc_id", "sig", "text", "came"), "kept")
+        # kept rows of a signed batch carry its number as their time; the folder has the micro-batch's own
+        for at in sorted(came):
+            own = rows.where(F.col("came") == at)
+            if not own.isEmpty():
+                own.drop("came").write.mode("overwrite").parquet(f"{out}/batch={at}")
+        count(had + rows.count() if most else 0)
+        tables.drop()
+
+    read = lambda schema, path: spark.readStream.schema(schema).parquet(made(spark, path))
+    hits = index_hits(read(SIGNED, f"{checkpoint}/signed"), read(KEPT, out), num_perm, threshold)
+    query = hits.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/dedup").trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return query
 
 
 def pack_stream(samples: DataFrame, out: str, checkpoint: str, target: int, separator: int, buffer: int = 1000) -> StreamingQuery:
     """First-fit packing of a stream (doc_id, tokens) in buffers in order of arrival; what does not fill a buffer waits for the next batch.
 
-    The waiting rows are written beside the packed ones (``rest=<number>``) and are fewer than a buffer; ``finish_packing``
-    packs them at the end.
+    Within a batch rows come by doc_id, null first. Ids are carried whole: of any size, negative, repeated or null. Null
+    tokens count as none. The waiting rows are written beside the packed ones (``rest=<number>``) and are fewer than a buffer;
+    ``finish_packing`` packs them at the end.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         tables = Tables(spark, f"pack-{number}")
-        rows = batch.select("doc_id", F.col("tokens").cast("long").alias("tokens"), F.lit(number).cast("long").alias("came"))
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/rest={number - 1}")
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            rows = rows.unionByName(spark.read.parquet(f"{out}/rest={number - 1}"))
-        rows = tables.write(rows, "rows")
-        ordered = ffd.with_shard(rows.withColumn("at", F.col("came") * (1 << 40) + F.col("doc_id")), "at", buffer)
+        new = batch.select("doc_id", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), F.lit(number).cast("long").alias("came"))
+        rows = tables.write(positions(new, "doc_id", name="at", ties=["tokens"]), "new")
+        before = f"{out}/rest={number - 1}"
+        if exists(spark, before):  # the rows that wait come first
+            rest = spark.read.schema(rows.schema).parquet(before)
+            rows = tables.write(rest.unionByName(rows.withColumn("at", F.col("at") + rest.count())), "rows")
         full = rows.count() // buffer
-        ordered = tables.write(ordered, "ordered")
-        packed = ffd.pack_shards(ordered.where(F.col("shard") < full), ["shard"], target, separator, order="at")
-        packed.select(F.col("at").bitwiseAND((1 << 40) - 1).alias("doc_id"), "shard", "sequence", "slot").write.mode("overwrite").parquet(f"{out}/packed/batch={number}")
-        ordered.where(F.col("shard") >= full).select("doc_id", "tokens", "came").write.mode("overwrite").parquet(f"{out}/rest={number}")
+        ordered = rows.withColumn("shard", F.expr(f"at div {buffer}"))
+        packed = ffd.pack_shards(ordered.where(F.col("shard") < full), ["shard"], target, separator, order="at", keep=["doc_id"])
+        packed.select("doc_id", "shard", "sequence", "slot").write.mode("overwrite").parquet(f"{out}/packed/batch={number}")
+        waits = ordered.where(F.col("shard") >= full).withColumn("at", F.col("at") - full * buffer)
+        waits.select(*rows.columns).write.mode("overwrite").parquet(f"{out}/rest={number}")
+        tables.drop()
 
     return samples.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def finish_packing(spark: SparkSession, out: str, last: int, target: int, separator: int) -> DataFrame:
-    rest = spark.read.parquet(f"{out}/rest={last}").withColumn("shard", F.lit(0).cast("long")).withColumn("at", F.col("came") * (1 << 40) + F.col("doc_id"))
-    return ffd.pack_shards(rest, ["shard"], target, separator, order="at").select(F.col("at").bitwiseAND((1 << 40) - 1).alias("doc_id"), "sequence", "slot")
+    rest = spark.read.parquet(f"{out}/rest={last}").withColumn("shard", F.lit(0).cast("long"))
+    return ffd.pack_shards(rest, ["shard"], target, separator, order="at", keep=["doc_id"]).select("doc_id", "sequence", "slot")
 
 
-def rolling_last(ticks: DataFrame, n: int, by: str = "symbol") -> DataFrame:
-    """The last ``n`` values of each series after every batch, as state of the stream: ``by``, ``values``."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class Ring(StatefulProcessor):
+    """The last ``n`` values of a series, by (ts, tie), with a timer that closes the series when it has been idle too long.
 
-    kind = ticks.schema[by].dataType.simpleString()
-
-    def step(key, parts, state: GroupState):
-        held = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(parts)).sort_values(["ts", "tie"])
-        held = (held + new["value"].tolist())[-n:]
-        state.update((held,))
-        yield pd.DataFrame({by: [key[0]], "values": [held]})
+    State is the ring (at most ``n`` rows) and the timer's time. Rows that come late take their place in the ring by time.
+    """
 
-    return ticks.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, values array<double>", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, n: int, idle_ms: int):
+        self.n, self.idle = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getListState("ring", "us long, tie long, value double")
+        self.due = handle.getValueState("due", "ms long")
+
+    def row(self, key, held: list, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"symbol": [key[0]], "us": [held[-1][0]], "n": [len(held)], "values": [[v for *_, v in held]], "closed": [closed]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.ring.get())
+        for part in rows:
+            held += list(zip(part["us"].tolist(), part["tie"].tolist(), part["value"].tolist()))
+            held = sorted(map(tuple, held))[-self.n :]
+        self.ring.put(held)
+        due = held[-1][0] // 1000 + self.idle
+        if self.due.exists() and self.due.get()[0] != due:
+            self.handle.deleteTimer(self.due.get()[0])
+        self.due.update((due,))
+        self.handle.registerTimer(due)
+        yield self.row(key, held, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = sorted(map(tuple, self.ring.get()))
+        self.ring.clear()
+        self.due.clear()
+        if held:
+            yield self.row(key, held, True)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """A stream started inside keeps its state in RocksDB, which stateful processors need; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def rolling_last(ticks: DataFrame, n: int, idle_seconds: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """The last ``n`` values of each series of a stream (symbol, ts, tie, value) after every batch: symbol, us, n, values, closed.
+
+    A series without a tick for ``idle_seconds`` of event time gives a last row with ``closed`` and is forgotten; null ticks are
+    left out, and ticks later than the watermark are dropped. Start it within ``keyed_state``, in append mode.
+    """
+    own = ticks.where("symbol is not null and ts is not null and value is not null").withWatermark("ts", late)
+    rows = own.select("symbol", "ts", F.unix_micros("ts").alias("us"), F.col("tie").cast("long").alias("tie"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy("symbol").transformWithStateInPandas(Ring(n, idle_seconds * 1000), f"symbol {ticks.schema['symbol'].dataType.simpleString()}, us long, n int, values array<double>, closed boolean", "Append", "eventTime")
 
 
 def replies(requests: DataFrame, answer) -> DataFrame:

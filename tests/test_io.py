@@ -87,18 +87,6 @@ def test_predictions(spark, sf):
     assert len(rows) == 5 and all(r.n_features == 768 and 0.25 <= r.regime_confidence <= 1 and 1 / 3 <= r.direction_confidence <= 1 for r in rows)
 
 
-def test_index_finds_nearly_all(spark):
-    """Recall of the coarse index against all vectors is at least 0.9; every vector is indexed."""
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    near, every = ({(r.query_id, r.vec_id) for r in f(q, v, 10, **more).collect()} for f, more in ((memory.top_k_cells, {}), (memory.top_k, {"cosine": True})))
-    assert len(near & every) >= 0.9 * len(every)
-    some = v.limit(50)
-    full = memory.top_k_cells(q, some, 50, cells=4, probes=4)
-    assert full.count() == 50 * q.count()
-    assert memory.top_k_cells(q, v.limit(0), 10).count() == 0
-
-
 def test_models(spark):
     df = spark.createDataFrame([(1, "def f(): return 'long'"), (2, "def ("), (3, None)], "id int, code string")
     assert [r.ok for r in df.orderBy("id").select(models.valid_syntax(F.col("code")).alias("ok")).collect()] == [True, False, True]
@@ -151,16 +139,3 @@ def test_stream_pack_carries_rest(spark, tmp_path):
     rest = streams.finish_packing(spark, f"{tmp_path}/out", 2, 100, 5)
     assert packed.count() == 200 and rest.count() == 10
     assert packed.select("doc_id").union(rest.select("doc_id")).distinct().count() == 210
-
-
-def test_rolling_state(spark, tmp_path):
-    rows = [("a", i, i, float(i)) for i in range(10)]
-    spark.createDataFrame(rows, "symbol string, ts long, tie long, value double").write.parquet(f"{tmp_path}/in")
-    src = streams.read_stream(spark, f"{tmp_path}/in", "symbol string, ts long, tie long, value double")
-    q = streams.rolling_last(src, 4).writeStream.format("memory").queryName("rolling").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("rolling").first()["values"] == [6.0, 7.0, 8.0, 9.0]
-
-
-def test_shard_order_within_ties(spark):
-    assert ffd.with_shard(spark.createDataFrame([], "doc_id long, tokens long"), "doc_id", 10).count() == 0

@@ -78,8 +78,8 @@ def test_signatures_and_bands(spark):
 
 def test_first_wins_is_not_components(spark):
     def kept(pairs):
-        df = spark.createDataFrame(pairs, "lo long, hi long")
-        return {r.doc_id for r in minhash.first_wins(df, Tables(spark, "t")).where("kept").collect()}
+        held = spark.createDataFrame([(n, b, p[0]) for b, p in enumerate(pairs) for n in p], "node long, band int, first long")
+        return {r.node for r in minhash.first_wins(held, lambda met: met, Tables(spark, "t")).where("kept").collect()}
 
     assert kept([(1, 2), (2, 3)]) == {1, 3}
     assert kept([(1, 2), (1, 3)]) == {1}
