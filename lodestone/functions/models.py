@@ -9,9 +9,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import resident
+
 from ..operators.series import resize
 
 
@@ -184,6 +187,23 @@ def run_strategy(bars: DataFrame, name: str, by: str, order: str) -> DataFrame:
     return bars.groupBy(by).applyInPandas(one, f"{by} {kind}, decision string")
 
 
+def token_ids(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids of a ``tokenizers`` file without special tokens; ``path`` must be readable on every executor. A null text has none.
+
+    A worker keeps the tokenizer from task to task.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        from tokenizers import Tokenizer
+
+        own = resident("tokenizer", path, lambda: Tokenizer.from_file(path))
+        for part in parts:
+            found = [e.ids for e in own.encode_batch([t or "" for t in part.column(1).to_pylist()], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+
+
 def tokenised(docs: DataFrame, encode: Callable[[str], list[int]], most: int, pad: int) -> DataFrame:
     """doc_id, input_ids, attention_mask, cut at and padded to ``most``; ``encode`` is pluggable."""
 

@@ -150,17 +150,26 @@ def pattern_performance(trades: DataFrame, pattern: str, pnl: str) -> DataFrame:
     return trades.groupBy(pattern).agg(F.count("*").alias("count"), F.avg((F.col(pnl) > 0).cast("int")).alias("win_rate"), F.avg(pnl).alias("avg_pnl"))
 
 
-def refine(records: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Every record with the feedback on its (symbol, decision), joined in order of arrival, and a quality score.
+def folded(feedback: DataFrame) -> DataFrame:
+    """symbol, decision, feedback (all texts in order of arrival, then by text), bad: one row a key, before any record is met.
 
-    Feedback (ts, symbol, decision, feedback) is aggregated before the join, so a record meets one row at most.
+    Null texts are left out of the text; a null symbol or decision meets no record.
     """
     bad = F.lower("feedback").contains("incorrect") | F.lower("feedback").contains("wrong")
-    said = feedback.groupBy("symbol", "decision").agg(F.array_sort(F.collect_list(F.struct("ts", "feedback"))).alias("f"), F.max(bad).alias("bad"))
-    joined = records.join(said, ["symbol", "decision"], "left")
-    bonus = F.when(F.col("f").isNotNull(), 0.1).otherwise(0.0) - F.when(F.coalesce("bad", F.lit(False)), 0.2).otherwise(0.0)
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence") + bonus))
-    return joined.withColumn("quality_score", score).withColumn("feedback", F.coalesce(F.array_join("f.feedback", "; "), F.lit(""))).drop("f", "bad")
+    said = F.array_sort(F.collect_list(F.struct("ts", "feedback")))
+    return feedback.groupBy("symbol", "decision").agg(said.alias("f"), F.max(F.coalesce(bad, F.lit(False))).alias("bad")).select("symbol", "decision", F.array_join("f.feedback", "; ").alias("feedback"), "bad")
+
+
+def rated(records: DataFrame, folded_: DataFrame) -> DataFrame:
+    """Every record with the folded feedback on its (symbol, decision), null if there is none, and ``quality_score``."""
+    joined = records.join(folded_.withColumn("_said", F.lit(True)), ["symbol", "decision"], "left")
+    bonus = F.when(F.col("_said"), 0.1).otherwise(0.0) - F.when(F.coalesce("bad", F.lit(False)), 0.2).otherwise(0.0)
+    return joined.withColumn("quality_score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence") + bonus))).drop("_said", "bad")
+
+
+def refine(records: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Every record with the feedback (ts, symbol, decision, feedback) on its (symbol, decision), joined in order of arrival, and a quality score."""
+    return rated(records, folded(feedback)).withColumn("feedback", F.coalesce("feedback", F.lit("")))
 
 
 def trading_records(results: DataFrame) -> DataFrame:

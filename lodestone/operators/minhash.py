@@ -36,6 +36,31 @@ def band_shape(num_perm: int, threshold: float) -> tuple[int, int]:
     return min(shapes, key=lambda s: (abs(1 - (1 - threshold ** s[1]) ** s[0] - 0.5), s[0]))
 
 
+def areas(threshold: float, bands: int, rows: int, steps: int = 1000) -> tuple[float, float]:
+    """The areas of false positives (below the threshold) and false negatives (above it) of the chance that a pair shares a band."""
+    part = lambda low, high, f: float(np.mean(f(low + (np.arange(steps) + 0.5) / steps * (high - low)))) * (high - low)
+    shared = lambda s: 1 - (1 - s**rows) ** bands
+    return part(0.0, threshold, shared), part(threshold, 1.0, lambda s: 1 - shared(s))
+
+
+def balanced_shape(num_perm: int, threshold: float, false_positives: float = 0.5) -> tuple[int, int]:
+    """(bands, rows) with the least weighted sum of both areas; positions that no band needs are left over. The first of equals by bands, then rows."""
+    shapes = [(b, r) for b in range(1, num_perm + 1) for r in range(1, num_perm // b + 1)]
+    weighed = [(false_positives * fp + (1 - false_positives) * fn) for fp, fn in (areas(threshold, b, r) for b, r in shapes)]
+    return shapes[int(np.argmin(weighed))]
+
+
+#: A Mersenne prime, and the largest hash of the 32-bit family.
+PRIME, MAX_HASH = (1 << 61) - 1, (1 << 32) - 1
+
+
+def permutations(num_perm: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of the family ``mersenne``, drawn in turn from a seeded generator."""
+    drawn = np.random.RandomState(seed)
+    pairs = [(drawn.randint(1, PRIME, dtype=np.uint64), drawn.randint(0, PRIME, dtype=np.uint64)) for _ in range(num_perm)]
+    return tuple(np.array(x, np.uint64) for x in zip(*pairs))
+
+
 def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -49,7 +74,8 @@ def grams(text: str, n: int) -> set[str]:
 
 
 class Hasher:
-    """Rows of ``num_perm`` hashes by n-gram. ``sha256``: first 64 bits of the digest of (n-gram, seed + i as 32 bits); ``mix``: a fast family.
+    """Rows of ``num_perm`` hashes by n-gram. ``sha256``: first 64 bits of the digest of (n-gram, seed + i as 32 bits); ``mix``: a fast family;
+    ``mersenne``: (a h + b) modulo 2 ** 64, then a Mersenne prime, of which 32 bits count; h is the first 32 bits of the SHA-1.
 
     The table holds ``most`` n-grams; when it is full the half that was used most stays.
     """
@@ -57,6 +83,7 @@ class Hasher:
     def __init__(self, num_perm: int, seed: int, family: str, most: int = 150_000):
         self.seeds = [struct.pack("<I", seed + i) for i in range(num_perm)]
         self.odd = (np.random.default_rng(seed).integers(0, 1 << 63, num_perm, np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.pairs = permutations(num_perm, seed) if family == "mersenne" else None
         self.family, self.most, self.rows, self.table, self.used = family, most, {}, np.zeros((1024, num_perm), np.uint64), np.zeros(1024, np.int64)
 
     def row(self, gram: str) -> np.ndarray:
@@ -64,6 +91,9 @@ class Hasher:
         if self.family == "sha256":
             sha = hashlib.sha256
             return np.frombuffer(b"".join([sha(data + s).digest()[:8] for s in self.seeds]), ">u8").astype(np.uint64)
+        if self.family == "mersenne":
+            a, b = self.pairs
+            return (a * np.uint64(int.from_bytes(hashlib.sha1(data).digest()[:4], "little")) + b) % np.uint64(PRIME) & np.uint64(MAX_HASH)
         base = np.uint64(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big"))
         x = base * self.odd
         return (x ^ (x >> np.uint64(29))) * self.odd[::-1]
@@ -198,17 +228,17 @@ def pair_similarity(left: DataFrame, right: DataFrame, left_perm: int, right_per
     return both.select("doc_id", agreement(F.col("a"), F.col("b"), left_perm).alias("similarity"))
 
 
-def bands(nodes: DataFrame, num_perm: int, threshold: float, keep: list[str] | None = None) -> DataFrame:
+def bands(nodes: DataFrame, num_perm: int, threshold: float, keep: list[str] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """node, band, key (and the columns ``keep``) of every band; the key is the band's part of the signature itself, so it cannot collide."""
-    count, rows = band_shape(num_perm, threshold)
+    count, rows = shape or band_shape(num_perm, threshold)
     each = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda b: F.struct(b.alias("band"), F.substring("sig", b * (8 * rows) + 1, F.lit(8 * rows)).alias("key")))
     keep = keep or []
     return nodes.select("node", *keep, F.explode(each).alias("b")).select("node", "b.band", "b.key", *keep)
 
 
-def buckets(nodes: DataFrame, num_perm: int, threshold: float) -> DataFrame:
+def buckets(nodes: DataFrame, num_perm: int, threshold: float, shape: tuple[int, int] | None = None) -> DataFrame:
     """node, band, first: a bucket of two nodes or more is known by its band and its first node."""
-    keyed = bands(nodes, num_perm, threshold)
+    keyed = bands(nodes, num_perm, threshold, shape=shape)
     shared = keyed.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return keyed.join(shared, ["band", "key"]).select("node", "band", "first")
 
@@ -289,25 +319,25 @@ def first_wins(held: DataFrame, alike, tables: Tables, leaders: int = 1, most: i
     return out
 
 
-def kept_rows(rows: DataFrame, tables: Tables, num_perm: int, threshold: float, verify: bool = True, by: str | None = None) -> DataFrame:
+def kept_rows(rows: DataFrame, tables: Tables, num_perm: int, threshold: float, verify: bool = True, by: str | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """row of the signed rows that stay, walked by ``by`` first if it is given."""
     nodes = classes(rows, tables, by)
     alike = (lambda pairs: similar(pairs, nodes, num_perm, threshold)) if verify else (lambda pairs: pairs)
-    decided = first_wins(buckets(nodes, num_perm, threshold), alike, tables, finish=lambda held: walked(held, nodes, num_perm, threshold, verify))
+    decided = first_wins(buckets(nodes, num_perm, threshold, shape), alike, tables, finish=lambda held: walked(held, nodes, num_perm, threshold, verify))
     return nodes.select("node", "row").join(decided.where("not kept"), "node", "left_anti").select("row")
 
 
-def dedup(docs: DataFrame, num_perm: int = 128, threshold: float = 0.7, ngram: int = 5, seed: int = 42, family: str = "sha256", verify: bool = True, carry: bool = False, by: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, num_perm: int = 128, threshold: float = 0.7, ngram: int = 5, seed: int = 42, family: str = "sha256", verify: bool = True, carry: bool = False, by: str | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, kept of every row (with ``carry`` all columns and kept): a row goes if it is similar to an earlier one that stays.
 
     Rows are walked by doc_id (null last), then by hash of the text, with ``carry`` first by the column that ``by`` names; each is judged by itself: of repeated rows one stays, rows
     that share a doc_id with different texts are told apart, rows without a doc_id take part as the last ones. Null texts count
-    as empty, and empty texts are equal. ``ngram`` 0 compares words; without ``verify`` a common band is enough. Texts count
-    whole; an empty table gives an empty result.
+    as empty, and empty texts are equal. ``ngram`` 0 compares words; without ``verify`` a common band is enough; ``shape`` is
+    (bands, rows) where it is not that of ``band_shape``. Texts count whole; an empty table gives an empty result.
     """
     tables = Tables(docs.sparkSession, "minhash")
     rows = signed_rows(docs, tables, num_perm, ngram, seed, family, carry)
-    stays = kept_rows(rows, tables, num_perm, threshold, verify, by and f"_carried{docs.columns.index(by)}").withColumn("kept", F.lit(True))
+    stays = kept_rows(rows, tables, num_perm, threshold, verify, by and f"_carried{docs.columns.index(by)}", shape).withColumn("kept", F.lit(True))
     own = [F.col(f"_carried{i}").alias(c) for i, c in enumerate(docs.columns)] if carry else [F.col("doc_id")]
     return rows.join(stays, "row", "left").select(*own, F.coalesce("kept", F.lit(False)).alias("kept"))
 

@@ -30,6 +30,20 @@ def latest(rows: DataFrame, by: str, order: list[str], columns: list[str]) -> Da
     return rows.groupBy(by).agg(last).select(by, *(F.col(f"r.{c}").alias(c) for c in columns))
 
 
+def quote(ticks: DataFrame, symbol: str = "symbol", ts: str = "ts", price: str = "price", tie: str = "tie") -> DataFrame:
+    """symbol, price, open, high, low, volume (ticks), change, change_pct: the last day of each series against the close of the day before it that has ticks.
+
+    Days are those of the session's time zone. Without an earlier day the change is null; so is the percentage if that close is 0.
+    """
+    days = ohlcv(ticks.where(F.col(price).isNotNull()), "1 day", symbol, ts, price, tie)
+    both = F.array_sort(F.collect_list(F.struct("bar_start", "open", "high", "low", "close", "volume")))
+    last, before = F.element_at("d", -1), F.when(F.size("d") > 1, F.element_at("d", -2)["close"])
+    back = Window.partitionBy("symbol").orderBy(F.col("bar_start").desc())
+    two = days.withColumn("_back", F.row_number().over(back)).where("_back <= 2").groupBy("symbol").agg(both.alias("d"))
+    change = last["close"] - before
+    return two.select("symbol", last["close"].alias("price"), last["open"].alias("open"), last["high"].alias("high"), last["low"].alias("low"), last["volume"].alias("volume"), change.alias("change"), F.try_divide(100 * change, before).alias("change_pct"))
+
+
 def last_n(bars: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
     """The last ``n`` rows of each series with ``pos`` from 1 (oldest kept) and ``len``, the number kept."""
     backward = Window.partitionBy(by).orderBy(*(F.col(c).desc() for c in order))

@@ -59,6 +59,19 @@ def latest_quote(spark, sf):
     return series.latest(read(spark, sf, "events"), "user_id", ORDER, ["event_id", "event_type", "value"])
 
 
+@register("""
+    WITH d AS (
+        SELECT event_type AS symbol, date_trunc('day', ts) AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume
+        FROM events WHERE value IS NOT NULL GROUP BY 1, 2
+    ), b AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS before, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS back FROM d)
+    SELECT symbol, close AS price, open, high, low, volume, round(close - before, 6) AS change, round(100 * (close - before) / before, 6) AS change_pct FROM b WHERE back = 1
+""")
+def market_quote(spark, sf):
+    """All eight fields of a quote from the last two days of ticks."""
+    found = series.quote(_bars(spark, sf), price="value", tie="event_id")
+    return found.withColumn("change", F.round("change", 6)).withColumn("change_pct", F.round("change_pct", 6))
+
+
 _BLOCK = "avg(CASE WHEN {c} THEN x END) * avg(CASE WHEN {c} THEN x END) - avg(CASE WHEN {c} THEN s END) * avg(CASE WHEN {c} THEN s END)"
 _FEATURES = {
     "diagonal_mean": "avg(2 * x * x - 1)", "diagonal_std": "stddev_pop(2 * x * x - 1)",

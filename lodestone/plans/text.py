@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keywords, udtfs
+from ..functions import keywords, models, udtfs
 from ..functions import scoring as sc
 from ..functions import text as tx
 from ..operators import ffd, memory, minhash, mixing
@@ -256,6 +256,22 @@ def dedup_stats(spark, sf):
     return minhash.dedup_stats(minhash.dedup(read(spark, sf, "documents")))
 
 
+def _mersenne_sql(num_perm: int, seed: int, shape: tuple[int, int]) -> str:
+    """The tables of ``_signature_sql`` for word sets, with the other family and shape."""
+    a, b = minhash.permutations(num_perm, seed)
+    draws = ", ".join(f"({i}, CAST({x} AS HUGEINT), CAST({y} AS HUGEINT))" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())))
+    first = "substr(sha1(encode(g)), 7, 2) || substr(sha1(encode(g)), 5, 2) || substr(sha1(encode(g)), 3, 2) || substr(sha1(encode(g)), 1, 2)"
+    hashed = f"h AS (SELECT g, i, CAST((a * x + b) % 18446744073709551616 % {minhash.PRIME} % {minhash.MAX_HASH + 1} AS UBIGINT) AS h FROM (SELECT g, CAST(CAST('0x' || {first} AS UBIGINT) AS HUGEINT) AS x FROM (SELECT DISTINCT g FROM g)), (VALUES {draws}) d(i, a, b)),"
+    lines = [hashed if line.strip().startswith("h AS") else line.replace("b * 8 + 1, b * 8 + 8", f"b * {shape[1]} + 1, b * {shape[1]} + {shape[1]}").replace("range(16)", f"range({shape[0]})") for line in _WORD_SETS.split("\n")]
+    return "\n".join(lines)
+
+
+@register(f"WITH RECURSIVE {_mersenne_sql(128, 1, minhash.balanced_shape(128, 0.7))}, {_greedy_sql('p')} SELECT doc_id, kept FROM decided")
+def dedup_words_balanced(spark, sf):
+    """The light variant with its own hash family, permutations modulo a Mersenne prime, and bands that balance both areas of error."""
+    return minhash.dedup(read(spark, sf, "documents"), ngram=0, seed=1, family="mersenne", verify=False, shape=minhash.balanced_shape(128, 0.7))
+
+
 @register(f"WITH RECURSIVE {_WORD_SETS}, {_greedy_sql('p')} SELECT doc_id, kept FROM decided")
 def dedup_words(spark, sf):
     """The light variant: words instead of n-grams, and any common band drops."""
@@ -394,7 +410,7 @@ def pack_dynamic(spark, sf):
 
 
 def _rows(spark, sf):
-    """Packed rows over byte ids of the texts (the tokenizer is pluggable; this one needs no file)."""
+    """Packed rows over stand-in ids of the words between blanks, CRC-32 modulo 50,000; ``packed_token_rows`` has a tokenizer's own."""
     docs = read(spark, sf, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(50_000)).cast("int")).alias("ids"))
     cut = docs.select("doc_id", F.slice("ids", 1, 2048 - 2 - 10).alias("ids")).withColumn("tokens", F.size("ids").cast("long"))
     sharded = ffd.with_shard(cut.select("doc_id", "tokens"), "doc_id", 1000)
@@ -402,6 +418,20 @@ def _rows(spark, sf):
     return ffd.packed_rows(placed, ["shard"], 2048, [50_001, 50_002], 0)
 
 
+@register(None)
+def packed_token_rows(spark, sf, path: str | None = None):
+    """Rows of 2048 ids of a public tokenizer, its end of text between samples; texts are cut to a row, as this packing does."""
+    if path is None:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = models.token_ids(read(spark, sf, "documents").select("doc_id", "text"), path)
+    cut = Tables(spark, "tokens").write(ids.select("doc_id", F.slice("ids", 1, 2048 - 1 - 10).alias("ids")).withColumn("tokens", F.size("ids").cast("long")).withColumn("row", F.monotonically_increasing_id()), "ids")
+    sharded = ffd.with_shard(cut.select("row", "doc_id", "tokens"), "doc_id", 1000)
+    placed = ffd.pack_shards(sharded, ["shard"], 2048, 1, keep=["row"]).join(cut.select("row", "ids"), "row")
+    return ffd.packed_rows(placed, ["shard"], 2048, [50_256], 50_256)
+
+
 @register(None)
 def packed_rows(spark, sf):
     return _rows(spark, sf)
@@ -630,4 +660,6 @@ def flywheel_refine(spark, sf):
     records = read(spark, sf, "orders").select(o.alias("id"), F.concat(F.lit("S"), (F.col("o_custkey") % 50).cast("string")).alias("symbol"), F.when(o % 3 == 0, "long").when(o % 3 == 1, "short").otherwise("flat").alias("decision"), ((o % 101).cast("double") / 100).alias("confidence"))
     e = F.col("event_id")
     said = read(spark, sf, "events").select(e.alias("ts"), F.concat(F.lit("S"), (F.col("user_id") % 60).cast("string")).alias("symbol"), F.when(e % 2 == 0, "long").otherwise("short").alias("decision"), F.when(e % 9 == 0, "WRONG call").when(e % 9 == 1, "incorrect").otherwise(F.col("event_type")).alias("feedback"))
-    return memory.refine(records, said).select("id", "symbol", "decision", F.md5("feedback").alias("feedback_md5"), F.round("quality_score", 6).alias("quality_score"))
+    folded = memory.folded(said).withColumn("feedback", F.md5("feedback"))  # what goes to every record is short
+    found = memory.rated(records, folded)
+    return found.select("id", "symbol", "decision", F.coalesce("feedback", F.md5(F.lit(""))).alias("feedback_md5"), F.round("quality_score", 6).alias("quality_score"))
