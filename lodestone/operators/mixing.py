@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import positions
+from .twister import draws as sequence
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -26,24 +27,27 @@ def interleave(rows: DataFrame, source: str, order: str) -> DataFrame:
     return placed.crossJoin(F.broadcast(least)).where(F.col("turn") <= F.col("least")).drop("least")
 
 
-def ratio_mix(rows: DataFrame, source: str, order: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+def ratio_mix(rows: DataFrame, source: str, order: str, shares: dict[str, float], seed: int = 42, twister: bool = False) -> DataFrame:
     """Rows of the sources drawn by share until the drawn source is exhausted: ``draw`` numbers the draws.
 
     Draws are numbers of a range, so they are made in parallel; a draw's rank among those of its source picks the row. Shares
-    of 0 are left out; without a share above 0 the result is empty.
+    of 0 are left out; without a share above 0 the result is empty. With ``twister`` the draws are those of Python's generator
+    with that seed, one ``random()`` a draw, and shares are taken in the order in which they are given.
     """
     shares = {k: v for k, v in shares.items() if v > 0}
     counts = {r[source]: r["count"] for r in rows.where(F.col(source).isin([*shares])).groupBy(source).count().collect()}
     total, low, bounds = sum(shares.values()), 0.0, []
-    for name, share in sorted(shares.items()):
+    for name, share in shares.items() if twister else sorted(shares.items()):
         bounds.append((name, low / total, (low + share) / total))
         low += share
     spark = rows.sparkSession
-    u = uniform(seed, F.col("draw"))
+    u = F.col("u") if twister else uniform(seed, F.col("draw"))
     picked = F.lit(bounds[-1][0]) if bounds else F.lit(None).cast("string")
     for name, _, high in reversed(bounds[:-1]):
         picked = F.when(u < high, name).otherwise(picked)
-    draws = spark.range(sum(counts.values()) + 1).withColumnRenamed("id", "draw").withColumn(source, picked)
+    many = sum(counts.values()) + 1
+    drawn = sequence(spark, many, seed) if twister else spark.range(many).withColumnRenamed("id", "draw")
+    draws = drawn.withColumn(source, picked).drop("u")
     ranked = positions(draws, "draw", [source]).withColumn("_rank", F.col("_rank") + 1)
     over = F.lit(False)
     for name in shares:

@@ -313,6 +313,13 @@ def ratio_mix(spark, sf):
     return mixing.ratio_mix(rows, "origin", "doc_id", {"code": 0.5, "finance": 0.4})
 
 
+@register(None)
+def ratio_mix_twister(spark, sf):
+    """The same mix by the draws of Python's generator: code where ``random()`` is under 0.5 / 0.9, else finance."""
+    rows = read(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", "code").otherwise("finance").alias("origin"))
+    return mixing.ratio_mix(rows, "origin", "doc_id", {"code": 0.5, "finance": 0.4}, twister=True)
+
+
 @register(None)
 def synthetic_mix(spark, sf):
     return mixing.synthetic(spark, 5000).select("sample_id", "kind", "text")
