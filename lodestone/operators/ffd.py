@@ -1,12 +1,16 @@
 """First-fit-decreasing packing in shards, and packed training rows.
 
-First fit looks at every open sequence for every sample, so it is sequential by nature; it runs per shard of a fixed number
-of samples, as many shards at a time as there are cores. The row itself (ids, mask, labels, boundaries) is put together by
-array functions.
+First fit looks at every open sequence for every sample, so it is sequential by nature; in buffers it runs per shard of a fixed
+number of samples, as many shards at a time as there are cores. A whole group of any size is packed from the histogram of its
+lengths: samples of one length fill runs of alike sequences, so what one task handles is bounded by the number of lengths, and
+every sample finds its place by its rank among those of its length. The row itself (ids, mask, labels, boundaries) is put
+together by array functions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -70,6 +74,76 @@ def first_fit(lengths: list[int], target: int, separator: int, full: float = 0.9
     return held
 
 
+def fit_runs(counts: list[tuple[int, int]], target: int, separator: int, full: float = 0.9) -> list[tuple[int, int, int, int, int]]:
+    """First fit decreasing from (length, samples) alone, as ``first_fit`` would place them: (length, rank, sequence, per, slot).
+
+    Samples of a length, from that rank on, go ``per`` each to consecutive sequences from ``sequence`` on, at ``slot`` and behind,
+    until the next entry of that length. Sequences are given out in the order in which they are opened. Adjacent sequences that
+    hold the same make up a run: [first sequence, how many, used, samples each].
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    runs: list[list[int]] = []
+    opened = 0
+    for length, count in sorted(counts, reverse=True):
+        cost, rank, head = length + separator, 0, True  # head: all sequences before have been given out
+
+        def fill(first: int, many: int, used: int, slot: int) -> list[list[int]]:
+            """Places samples in a run; the runs that it becomes."""
+            nonlocal rank, count
+            room = max((target - used) // cost, 0)
+            enough = max(1, -int(-(full * target - used) // cost)) if head else room  # the oldest goes out as soon as it is full
+            per = min(room, enough)
+            if not per or not count:
+                return [[first, many, used, slot]]
+            whole = min(many, count // per)
+            parts = []
+            if whole:
+                out.append((length, rank, first, per, slot))
+                rank, count = rank + whole * per, count - whole * per
+                parts.append([first, whole, used + per * cost, slot + per])
+            if whole < many and count:
+                out.append((length, rank, first + whole, count, slot))
+                parts.append([first + whole, 1, used + count * cost, slot + count])
+                rank, count, whole = rank + count, 0, whole + 1
+            if whole < many:
+                parts.append([first + whole, many - whole, used, slot])
+            return parts
+
+        kept: list[list[int]] = []
+        for at, run in enumerate(runs):
+            if not count and not head:
+                kept += runs[at:]
+                break
+            if head and run[2] >= full * target:  # it was full behind the oldest, which has gone
+                continue
+            for part in fill(*run):
+                if head and part[2] >= full * target:
+                    continue
+                head = False
+                kept.append(part)
+        runs = kept
+        if count:
+            # a new sequence takes a sample whether it fits or not; while none is open before it, it goes out as soon as it is full
+            head = not runs
+            room = max(1, target // cost)
+            per = min(room, max(1, -int(-(full * target) // cost))) if head else room
+            whole, rest = divmod(count, per)
+            new = []
+            if whole:
+                out.append((length, rank, opened, per, 0))
+                new.append([opened, whole, per * cost, per])
+            if rest:
+                out.append((length, rank + whole * per, opened + whole, rest, 0))
+                new.append([opened + whole, 1, rest * cost, rest])
+            opened += whole + bool(rest)
+            for part in new:
+                if head and part[2] >= full * target:
+                    continue
+                head = False
+                runs.append(part)
+    return out
+
+
 def with_shard(samples: DataFrame, order: str, size: int, partition: list[str] | None = None) -> DataFrame:
     """``shard``: position by ``order`` (null first) in steps of ``size``, without sorting the table in one task. Null partitions count."""
     return positions(samples, order, partition).withColumn("shard", F.floor(F.col("_rank") / size)).drop("_rank")
@@ -97,6 +171,34 @@ def pack_shards(samples: DataFrame, groups: list[str], target: Column | int, sep
     return own.groupBy(*groups).applyInArrow(pack, f"{kinds}, sequence long, slot long")
 
 
+def pack_groups(samples: DataFrame, groups: list[str], target: int, separator: int, order: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """groups, order, keep, sequence, slot of samples (groups, order, tokens): one first fit over each whole group, of any size.
+
+    Samples of one length come by ``order`` (null first). A group's task gets one row a length; places within a length are ranked
+    without sorting it in one task, and each sample meets the one row of its length. Null groups are groups, null tokens count as none.
+    """
+    kept = [*groups, order, *(keep or [])]
+    rows = samples.select(*kept, F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"))
+    kinds = "".join(f"_g{i} {samples.schema[g].dataType.simpleString()}, " for i, g in enumerate(groups))
+    names = [f"_g{i}" for i in range(len(groups))]
+    counts = rows.groupBy(*(F.col(g).alias(n) for g, n in zip(groups, names)), F.col("tokens").alias("_tokens")).count()
+
+    def place(part: pa.Table) -> pa.Table:
+        found: dict[int, list] = {}
+        for length, *entry in fit_runs(list(zip(part.column("_tokens").to_pylist(), part.column("count").to_pylist())), target, separator):
+            found.setdefault(length, []).append(dict(zip(("rank", "sequence", "per", "slot"), entry)))
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("rank", "sequence", "per", "slot")]))
+        own = {n: [part.column(n)[0].as_py()] * len(found) for n in names}
+        return pa.table({n: pa.array(v, part.schema.field(n).type) for n, v in own.items()} | {"_tokens": pa.array([*found], pa.int64()), "_at": pa.array([*found.values()], kind)})
+
+    laid = counts.groupBy(*names).applyInArrow(place, f"{kinds}_tokens long, _at array<struct<rank:long,sequence:long,per:long,slot:long>>")
+    ranked = positions(rows, order, [*groups, "tokens"], "_rank")
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names)] + [F.col("tokens") == F.col("_tokens")]
+    met = ranked.join(laid, reduce(lambda a, b: a & b, same)).withColumn("_own", F.element_at(F.filter("_at", lambda x: x["rank"] <= F.col("_rank")), -1))
+    past = F.col("_rank") - F.col("_own.rank")
+    return met.select(*kept, (F.col("_own.sequence") + F.expr("(_rank - _own.rank) div _own.per")).alias("sequence"), (F.col("_own.slot") + past % F.col("_own.per")).alias("slot"))
+
+
 def clipped(tokens: Column, most: int, separator: int) -> Column:
     """Length after truncation to a sequence with separator and ten tokens to spare."""
     return F.least(tokens, F.lit(most - separator - 10))

@@ -403,9 +403,9 @@ def gram_documents(spark, sf):
 
 @register(None)
 def pack_ffd(spark, sf):
-    """First fit decreasing per source, in shards of 100,000 documents by doc_id: one sequential job a shard."""
+    """First fit decreasing over each whole source, from the histogram of its lengths."""
     docs = read(spark, sf, "documents").select("source", "doc_id", ffd.clipped(ffd.token_estimate(F.col("text")), 8192, 5).cast("long").alias("tokens"))
-    return ffd.pack_shards(ffd.with_shard(docs, "doc_id", 100_000, ["source"]), ["source", "shard"], 8192, 5)
+    return ffd.pack_groups(docs, ["source"], 8192, 5)
 
 
 @register(None)

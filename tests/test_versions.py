@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import models
-from lodestone.operators import memory, minhash, series
+from lodestone.operators import ffd, memory, minhash, series
 from lodestone.plans import text as plans
 from lodestone.sources import sinks, versions
 
@@ -136,6 +136,27 @@ def test_packing_queries_equal_python(spark, sf):
     assert not got
 
 
+@pytest.mark.parametrize("target", [50, 100])
+def test_histogram_packing_equals_first_fit(spark, target):
+    """Runs of alike sequences give the places of a sample-by-sample first fit; lengths over the target and ties included."""
+    rng = random.Random(target)
+    for _ in range(400):
+        lengths, separator = [rng.randint(1, rng.choice([5, 30, 130])) for _ in range(rng.randrange(90))], rng.choice([0, 1, 5])
+        entries, seen, got = {}, {}, {}
+        for length, *entry in ffd.fit_runs([(n, lengths.count(n)) for n in set(lengths)], target, separator):
+            entries.setdefault(length, []).append(entry)
+        for i, n in enumerate(lengths):
+            rank, seen[n] = seen.get(n, 0), seen.get(n, 0) + 1
+            first, sequence, per, slot = max(e for e in entries[n] if e[0] <= rank)
+            got[i] = (sequence + (rank - first) // per, slot + (rank - first) % per)
+        assert got == {i: (s, k) for s, held in enumerate(ffd.first_fit(lengths, target, separator)) for k, i in enumerate(held)}
+    rows = [(rng.choice(["a", None, "b"]), i * 3 - 50, rng.choice([None, rng.randrange(60)])) for i in range(700)] + [("a", None, 7)]
+    found = {(r.source, r.doc_id): (r.sequence, r.slot) for r in ffd.pack_groups(spark.createDataFrame(rows, "source string, doc_id long, tokens long"), ["source"], target, 5).collect()}
+    for source in ("a", None, "b"):
+        own = sorted(((i, n or 0) for s, i, n in rows if s == source), key=lambda x: (x[0] is not None, x[0] or 0))
+        assert all(found[source, own[i][0]] == (s, k) for s, held in enumerate(ffd.first_fit([n for _, n in own], target, 5)) for k, i in enumerate(held))
+
+
 def test_packed_rows_equal_python(spark, sf):
     """Ids, masks, labels and boundaries of every row, and the sums of ``pack_stats``; once with stand-in ids, once with a tokenizer's."""
     import zlib
