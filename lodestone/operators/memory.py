@@ -105,8 +105,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False,
 
 
 def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
-    """Rows as they are; a vector of another dimension fails the query."""
-    return vectors.where(F.assert_true(F.size("embedding") == dimension).isNull())
+    """Rows as they are, null vectors too; a vector of another dimension fails the query."""
+    return vectors.where(F.assert_true(F.col("embedding").isNull() | (F.size("embedding") == dimension)).isNull())
 
 
 def upsert(stored: DataFrame, changes: DataFrame) -> DataFrame:

@@ -130,8 +130,8 @@ def sink_csv(spark, sf):
     """Records written as CSV, their nested features as JSON text, and read back."""
     path, o = f"{Tables(spark, 'csv').root}/out", F.col("o_orderkey")
     rows = read(spark, sf, "orders").select(o, F.col("o_orderpriority").alias("symbol"), ((o % 100).cast("double") / 100).alias("confidence"), F.struct(F.col("o_orderstatus").alias("status")).alias("features"))
-    sinks.write_csv(rows, path)
-    return spark.read.schema("o_orderkey long, symbol string, confidence double, features string").option("header", True).csv(path)
+    kind = "o_orderkey long, symbol string, confidence double, features string"
+    return spark.read.schema(kind).option("header", True).csv(path) if sinks.write_csv(rows, path) else spark.createDataFrame([], kind)
 
 
 @register("SELECT label, CAST(2 * count(*) AS BIGINT) AS vectors, CAST(64 AS BIGINT) AS least, CAST(64 AS BIGINT) AS most FROM embeddings GROUP BY label")

@@ -87,7 +87,9 @@ class PayloadReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Request(u) for u in self.urls]
 
-    def read(self, partition: _Request) -> Iterator[tuple[str, str]]:
+    def read(self, partition: _Request | None) -> Iterator[tuple[str, str]]:
+        if partition is None:  # there are no requests
+            return
         try:
             if self.fetch:
                 body = self.fetch(partition.url, self.timeout)
