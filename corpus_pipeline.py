@@ -73,8 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written before the next reads it."""
-    scratch, docs = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each one's result written before the next reads it, and dropped when that is written."""
+    scratch, docs, before = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            scratch.drop(before)
+        before = name.replace(" ", "-")
     return STAGES[-1][1](spark, docs, sf_dir)
