@@ -80,8 +80,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False,
     """query_id, vec_id, score, rank: the best ``k`` of all vectors for each query (query_id, query); ties by vec_id.
 
     Blocks of queries meet blocks of vectors, one matrix product each, and only a block's best go on; neither side has to fit
-    anywhere as a whole.
+    anywhere as a whole. Null vectors, those with null entries, and those of another dimension than the first query's, are no
+    neighbours of any and have none; repeated rows count each.
     """
+    whole = lambda df, c: df.where(F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()) & (F.size(c) > 0))
+    asked = whole(queries, "query").select(F.size("query").alias("d")).first()
+    dimension = asked.d if asked else 0
+    queries, vectors = whole(queries, "query").where(F.size("query") == dimension), whole(vectors, "embedding").where(F.size("embedding") == dimension)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def unit(x: np.ndarray) -> np.ndarray:

@@ -127,6 +127,13 @@ def test_index_edges(spark):
     assert vectors.VectorIndex(v.limit(0)).search(asked).count() == 0
 
 
+def test_exact_neighbours_of_odd_rows(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (9, [1.0])], "query_id long, query array<float>")
+    assert sorted((r.vec_id for r in memory.top_k(q, v, 5, cosine=True).collect()), key=str) == [1, 1, None]
+    assert memory.top_k(q.limit(0), v, 5).count() == memory.top_k(q, v.limit(0), 5).count() == 0
+
+
 def ticks(spark, path, parts):
     for k, rows in enumerate(parts):
         spark.createDataFrame(rows, "symbol string, ts timestamp, tie long, value double").coalesce(1).write.parquet(f"{path}/in/{k}")
