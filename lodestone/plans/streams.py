@@ -140,6 +140,14 @@ def stream_rolling(spark, sf):
     return last.select("symbol", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss").alias("until"), "n", F.round(mean, 4).alias("mean"), F.array_min("values").alias("low"), F.array_max("values").alias("high"))
 
 
+@register("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT event_id, ts, event_type, value FROM events) GROUP BY event_type")
+def stream_unique(spark, sf):
+    """Events that come twice, as from a source that delivers at least once, counted once: exact repeats go within the watermark."""
+    events = _events(spark, sf).select("event_id", "ts", "event_type", "value")
+    out = _finished(spark, streams.unique_events(events.unionByName(events), ["event_id"]), "unique")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @register("SELECT event_type AS symbol, event_id AS seq, CASE WHEN value > 100 THEN 'long' ELSE 'flat' END AS decision FROM events WHERE event_id % 10 <> 0")
 def stream_messages(spark, sf):
     """Requests as JSON lines of a message log, in by the streaming source and out by its idempotent sink; malformed ones get no reply."""

@@ -44,6 +44,15 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def unique_events(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """The first row of each key of a stream with ``ts``; a key is remembered until the watermark has passed its time, so state stays bounded.
+
+    Repeats may differ in their times by no more than ``late``. Null keys are a key; rows without a time stay as they come.
+    """
+    timed = events.where(F.col("ts").isNotNull()).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return timed.unionByName(events.where(F.col("ts").isNull()))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
