@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from .ranking import positions
 
 
-def add_memories(stored: DataFrame, new: DataFrame) -> DataFrame:
+def add_memories(stored: DataFrame, new: DataFrame, ties: list[str] | None = None) -> DataFrame:
     """``stored`` (id, user_id, session_id, content, metadata, created_at) and the new rows with ids that go on from the largest.
 
-    A map or struct as content becomes JSON text. New rows are numbered by time, then content.
+    A map or struct as content becomes JSON text. New rows are numbered by time, then by the columns ``ties`` (which may be
+    more than those of ``stored``), then content.
     """
     kind = new.schema["content"].dataType.typeName()
     content = F.to_json("content") if kind in ("map", "struct", "array") else F.col("content")
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     timed = new.withColumn("content", content).withColumn("_at", F.unix_micros("created_at"))
-    numbered = positions(timed, "_at", name="_n", ties=["content"]).crossJoin(F.broadcast(top))
+    numbered = positions(timed, "_at", name="_n", ties=[*(ties or []), "content"]).crossJoin(F.broadcast(top))
     return stored.unionByName(numbered.withColumn("id", F.col("_top") + F.col("_n") + 1).select(*stored.columns))
 
 

@@ -210,8 +210,8 @@ def knowledge_typed(spark, sf):
 """)
 def memory_add(spark, sf):
     """Structured memories added behind the stored ones, as JSON with ids that go on."""
-    e = read(spark, sf, "events").select(F.lit("user").alias("user_id"), F.lit("s").alias("session_id"), F.struct(F.col("event_type").alias("type")).alias("content"), F.lit("{}").alias("metadata"), F.col("ts").cast("timestamp").alias("created_at"))
-    return memory.add_memories(_memories(spark, sf), e).select("id", F.md5("content").alias("content_md5"))
+    e = read(spark, sf, "events").select("event_id", F.lit("user").alias("user_id"), F.lit("s").alias("session_id"), F.struct(F.col("event_type").alias("type")).alias("content"), F.lit("{}").alias("metadata"), F.col("ts").cast("timestamp").alias("created_at"))
+    return memory.add_memories(_memories(spark, sf), e, ["event_id"]).select("id", F.md5("content").alias("content_md5"))
 
 
 @register("SELECT conv_id * 1000 + turn AS id FROM conversations WHERE conv_id * 1000 + turn <> 3001 AND role <> 'assistant'")
