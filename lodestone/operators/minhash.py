@@ -1,7 +1,8 @@
 """Near-duplicate removal by MinHash and banded LSH, first wins.
 
-Signatures are made in Arrow batches: each distinct n-gram of a task is hashed once, a document's signature is the minimum
-over its n-grams' rows. Every row has a number of its own, so rows that share a doc_id, or have none, stay apart. Rows with
+Signatures are made in Arrow batches: a document's signature is the minimum over its n-grams' rows of hashes. A worker holds
+the rows of the n-grams that it met first; of the slow family, the n-grams that its table has no room for go to one place
+each, are hashed there once in the whole job, and only hashes that can still be a minimum come back. Every row has a number of its own, so rows that share a doc_id, or have none, stay apart. Rows with
 equal signatures are one node, named by its first row (doc_id, null last, then hash of the text, then row number), and nodes
 are numbered in that order.
 
@@ -77,7 +78,7 @@ class Hasher:
     """Rows of ``num_perm`` hashes by n-gram. ``sha256``: first 64 bits of the digest of (n-gram, seed + i as 32 bits); ``mix``: a fast family;
     ``mersenne``: (a h + b) modulo 2 ** 64, then a Mersenne prime, of which 32 bits count; h is the first 32 bits of the SHA-1.
 
-    The table holds ``most`` n-grams; when it is full the half that was used most stays.
+    The table holds ``most`` n-grams; when it is full the half that was used most stays. ``mersenne`` needs none.
     """
 
     def __init__(self, num_perm: int, seed: int, family: str, most: int = 150_000):
@@ -106,7 +107,44 @@ class Hasher:
         self.table[: len(keep)], self.used[: len(keep)] = self.table[keep], self.used[keep] // 2
         self.rows = {g: int(place[i]) for g, i in self.rows.items() if place[i] >= 0}
 
+    def add(self, gram: str) -> int:
+        """Hashes an n-gram into the table; gives its place."""
+        i = self.rows[gram] = len(self.rows)
+        if i >= len(self.table):
+            more = min(len(self.table), max(1, self.most - len(self.table)))
+            self.table, self.used = np.concatenate([self.table, np.zeros_like(self.table[:more])]), np.concatenate([self.used, np.zeros_like(self.used[:more])])
+        self.table[i], self.used[i] = self.row(gram), 0
+        return i
+
+    def permuted(self, found: set[str]) -> np.ndarray:
+        """The signature of the family ``mersenne``, whose rows cost less than a table of them."""
+        a, b = self.pairs
+        first = np.array([int.from_bytes(hashlib.sha1(g.encode("utf-8", "replace")).digest()[:4], "little") for g in found], np.uint64)
+        low = np.full(len(a), MAX_HASH, np.uint64)
+        for k in range(0, len(first), 1024):
+            x = first[k : k + 1024, None] * a + b
+            x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))  # modulo the prime, but for what is at or above it
+            x = np.where(x >= PRIME, x - np.uint64(PRIME), x) & np.uint64(MAX_HASH)
+            low = np.minimum(low, x.min(0))
+        return low
+
+    def partial(self, found: set[str]) -> tuple[np.ndarray, list[str]]:
+        """The signature of the n-grams that the table holds or has room for, and the other n-grams."""
+        places = list(map(self.rows.get, found))
+        missed = []
+        if None in places:
+            for k, g in enumerate(found):
+                if places[k] is None:
+                    if len(self.rows) < self.most:
+                        places[k] = self.add(g)
+                    else:
+                        missed.append(g)
+            places = [i for i in places if i is not None]
+        return (self.table[places].min(0) if places else np.full(self.table.shape[1], ~np.uint64(0))), missed
+
     def signature(self, found: set[str]) -> np.ndarray:
+        if self.family == "mersenne":
+            return self.permuted(found)
         if len(self.rows) + len(found) > self.most:
             self.shrink()
         low = None
@@ -118,10 +156,7 @@ class Hasher:
                     r = self.row(g)
                     low = r if low is None else np.minimum(low, r)
                     continue
-                i = self.rows[g] = len(self.rows)
-                if i >= len(self.table):
-                    self.table, self.used = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.used, np.zeros_like(self.used)])
-                self.table[i], self.used[i] = self.row(g), 0
+                i = self.add(g)
             at.append(i)
         if at:
             self.used[at] += 1
@@ -139,38 +174,96 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if bytes_ >= 2 * cores * a_partition else docs.repartition(4 * cores)
 
 
-def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int = 42, family: str = "sha256") -> DataFrame:
-    """doc_id and sig, the signature as ``num_perm`` big-endian 64-bit numbers in one binary. A null text counts as empty.
+#: N-grams of one task's set that ``gram_rows`` holds before it gives them out.
+HELD = 200_000
 
-    A worker keeps the rows of its most used n-grams from task to task.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary())])
 
-    def run(parts: Iterator[pa.RecordBatch]):
-        hasher = resident("hasher", (num_perm, seed, family), lambda: Hasher(num_perm, seed, family))
+def lowered(rows: DataFrame, tables: Tables, num_perm: int, seed: int, family: str) -> DataFrame:
+    """``rows`` (row, sig, missed and others) without ``missed``, the signatures lowered by the hashes of the n-grams missed.
+
+    The n-grams meet by name, so each is hashed in one task whatever the number of rows that have it. Of its hashes a row gets
+    those that are no larger than the largest of its signature, which is all that can lower it.
+    """
+    plain = rows.drop("missed")
+    if rows.where(F.size("missed") > 0).isEmpty():
+        return plain
+    entry, schema = np.dtype([("i", "<u2"), ("h", "<u8")]), pa.schema([("row", pa.int64()), ("lows", pa.binary())])
+
+    def hashed(parts: Iterator[pa.RecordBatch]):
+        hasher = Hasher(num_perm, seed, family)
+        last, own = None, None
         for part in parts:
-            sigs = [hasher.signature(grams(t or "", ngram)).astype(">u8").tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary())], schema=schema)
+            for k in range(0, part.num_rows, 4096):
+                some = part.slice(k, 4096)
+                found, place, table = some.column(2).to_pylist(), [], []
+                for g in found:
+                    if g != last or own is None:
+                        last, own = g, hasher.row(g)
+                        table.append(own)
+                    elif not table:  # goes on from the slice before
+                        table.append(own)
+                    place.append(len(table) - 1)
+                bound = np.frombuffer(b"".join(some.column(1).to_pylist()), ">u8").astype(np.uint64)
+                hashes = np.stack(table)[place]
+                at, i = np.nonzero(hashes <= bound[:, None])
+                lows = np.empty(len(at), entry)
+                lows["i"], lows["h"] = i, hashes[at, i]
+                counts = np.bincount(at, minlength=len(found))
+                ends = np.concatenate([[0], np.cumsum(counts) * entry.itemsize]).astype(np.int32)
+                flat = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(lows.tobytes())])
+                yield pa.RecordBatch.from_arrays([some.column(0), flat], schema=schema).filter(pa.array(counts > 0))
+
+    def merged(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            sigs = []
+            for sig, lows in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                own = np.frombuffer(sig, ">u8").astype(np.uint64)
+                new = np.frombuffer(b"".join(lows), entry)
+                np.minimum.at(own, new["i"], new["h"])
+                sigs.append(own.astype(">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary())], names=["row", "sig"])
+
+    highest = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda i: F.substring("sig", i * 8 + 1, F.lit(8))))
+    left = rows.where(F.size("missed") > 0).select("row", highest.alias("bound"), "missed").select("row", "bound", F.explode("missed").alias("gram"))
+    found = left.repartition("gram").sortWithinPartitions("gram").mapInArrow(hashed, "row long, lows binary")
+    new = tables.write(found.groupBy("row").agg(F.collect_list("lows").alias("lows")).join(rows.select("row", "sig"), "row").select("row", "sig", "lows").mapInArrow(merged, "row long, sig binary"), "lowered")
+    both = plain.join(new.select("row", F.col("sig").alias("_new")), "row", "left")
+    return tables.write(both.select(*(F.coalesce("_new", "sig").alias("sig") if c == "sig" else c for c in plain.columns)), "signed")
+
+
+def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int = 42, family: str = "sha256") -> DataFrame:
+    """doc_id and sig, the signature as ``num_perm`` big-endian 64-bit numbers in one binary. A null text counts as empty."""
+    return signed_rows(docs.select("doc_id", "text"), Tables(docs.sparkSession, "signatures"), num_perm, ngram, seed, family).select("doc_id", "sig")
 
-    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, sig binary")
 
+def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed: int, family: str, carry: bool = False, most: int = 150_000) -> DataFrame:
+    """row (a number of its own), doc_id, tie (hash of the text), sig of every row, written; with ``carry`` its columns as ``_carried0``, ..
 
-def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed: int, family: str, carry: bool = False) -> DataFrame:
-    """row (a number of its own), doc_id, tie (hash of the text), sig of every row, written; with ``carry`` its columns as ``_carried0``, .."""
+    A worker keeps the rows of ``most`` n-grams from task to task; what the slow family misses in them, ``lowered`` hashes.
+    """
     more = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(docs.columns)] if carry else []
     kinds = "".join(f", _carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)) if carry else ""
-    names = ["row", "doc_id", "tie", "sig", *(f"_carried{i}" for i in range(len(more)))]
+    slow = family == "sha256"
+    names = ["row", "doc_id", "tie", "sig", *(["missed"] if slow else []), *(f"_carried{i}" for i in range(len(more)))]
 
     def run(parts: Iterator[pa.RecordBatch]):
-        hasher = resident("hasher", (num_perm, seed, family), lambda: Hasher(num_perm, seed, family))
+        hasher = resident("hasher", (num_perm, seed, family, most), lambda: Hasher(num_perm, seed, family, most))
         row = TaskContext.get().partitionId() << 33
-        for part in parts:
-            sigs = [hasher.signature(grams(t or "", ngram)).astype(">u8").tobytes() for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sigs))), *part.columns[:2], pa.array(sigs, pa.binary()), *part.columns[3:]], names=names)
-            row += len(sigs)
+        for whole in parts:
+            for k in range(0, whole.num_rows, 1000):
+                part = whole.slice(k, 1000)
+                texts = part.column(2).to_pylist()
+                if slow:
+                    sigs, missed = zip(*(hasher.partial(grams(t or "", ngram)) for t in texts))
+                else:
+                    sigs, missed = [hasher.signature(grams(t or "", ngram)) for t in texts], None
+                own = [pa.array([s.astype(">u8").tobytes() for s in sigs], pa.binary()), *([pa.array(missed, pa.list_(pa.string()))] if slow else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sigs))), *part.columns[:2], *own, *part.columns[3:]], names=names)
+                row += len(sigs)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"), *more)
-    return tables.write(spread(plain).mapInArrow(run, "row long, doc_id long, tie long, sig binary" + kinds), "rows")
+    rows = tables.write(spread(plain).mapInArrow(run, "row long, doc_id long, tie long, sig binary" + (", missed array<string>" if slow else "") + kinds), "rows")
+    return lowered(rows, tables, num_perm, seed, family) if slow else rows
 
 
 def classes(rows: DataFrame, tables: Tables, by: str | None = None) -> DataFrame:
@@ -188,28 +281,53 @@ def classes(rows: DataFrame, tables: Tables, by: str | None = None) -> DataFrame
 def merged_signatures(docs: DataFrame, by: str, num_perm: int = 128, ngram: int = 5, seed: int = 42, family: str = "sha256", groups: int = 1000) -> DataFrame:
     """``by``, i, low: the signature of all n-grams of each group's texts, position by position as eight bytes, big-endian.
 
-    A mergeable aggregate: a task keeps one partial signature a group (at most ``groups`` at a time, then it gives them out)
-    and partials merge by their minimum, so a hot group costs one row a task and position. A null group is a group, a null
-    text counts as empty.
+    Distinct n-grams of a group meet by name, so each is hashed once in the whole job; a task keeps one partial signature a
+    group (at most ``groups`` at a time, then it gives them out) and partials merge by their minimum, so a hot group costs one
+    row a task and position. A null group is a group, a null text counts as empty.
     """
     kind = docs.schema[by].dataType.simpleString()
     names = [by, "sig"]
 
-    def run(parts: Iterator[pa.RecordBatch]):
-        hasher = resident("hasher", (num_perm, seed, family), lambda: Hasher(num_perm, seed, family))
+    def cut(parts: Iterator[pa.RecordBatch]):
         held: dict = {}
+        own, size = None, 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([k for k, s in held.items() for _ in s], own), pa.array([g.encode("utf-8", "replace").decode() for s in held.values() for g in s], pa.string())], names=[by, "gram"])
         for part in parts:
+            own = part.schema.field(0).type
             for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                sig = hasher.signature(grams(t or "", ngram))
-                held[k] = np.minimum(held[k], sig) if k in held else sig
-            if len(held) >= groups:
-                yield pa.RecordBatch.from_arrays([pa.array([*held], part.schema.field(0).type), pa.array([s.astype(">u8").tobytes() for s in held.values()], pa.binary())], names=names)
-                held = {}
+                into = held.setdefault(k, set())
+                size -= len(into)
+                into |= grams(t or "", ngram)
+                size += len(into)
+                if size >= HELD:
+                    yield out()
+                    held, size = {}, 0
+        if held:
+            yield out()
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        hasher = Hasher(num_perm, seed, family)
+        held: dict = {}
+        last, row, own = None, None, None
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([*held], own), pa.array([s.astype(">u8").tobytes() for s in held.values()], pa.binary())], names=names)
+        for part in parts:
             own = part.schema.field(0).type
+            for k, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if g != last or row is None:
+                    last, row = g, hasher.row(g)
+                if k in held:
+                    np.minimum(held[k], row, out=held[k])
+                else:
+                    if len(held) >= groups:
+                        yield give()
+                        held = {}
+                    held[k] = row.copy()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([*held], own), pa.array([s.astype(">u8").tobytes() for s in held.values()], pa.binary())], names=names)
+            yield give()
 
-    partial = spread(docs.select(by, F.col("text").cast("string").alias("text"))).mapInArrow(run, f"`{by}` {kind}, sig binary")
+    found = spread(docs.select(by, F.col("text").cast("string").alias("text"))).mapInArrow(cut, f"`{by}` {kind}, gram string")
+    # the second shuffle is the first one's: the n-gram alone decides the place
+    partial = found.repartition("gram").dropDuplicates([by, "gram"]).sortWithinPartitions("gram").mapInArrow(run, f"`{by}` {kind}, sig binary")
     places = F.transform(F.sequence(F.lit(0), F.lit(num_perm - 1)), lambda i: F.struct(i.alias("i"), F.substring("sig", i * 8 + 1, F.lit(8)).alias("low")))
     return partial.select(by, F.explode(places).alias("p")).groupBy(by, F.col("p.i").alias("i")).agg(F.min("p.low").alias("low"))
 
