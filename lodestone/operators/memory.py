@@ -96,13 +96,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False,
 
     def run(parts: Iterator[pa.RecordBatch]):
         for part in parts:
-            for qi, qm, vi, vm in zip(*(part.column(i).to_pylist() for i in range(4))):
-                q, v = np.frombuffer(qm, "<f8").reshape(len(qi), -1), np.frombuffer(vm, "<f8").reshape(len(vi), -1)
-                scores = np.round(unit(q) @ unit(v).T if cosine else q @ v.T, 9)
-                ids = np.array(vi)
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                many = best.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, many)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], schema=schema)
+            for at in range(part.num_rows):
+                asked, ids = part.column(0)[at].as_py(), np.array(part.column(2)[at].as_py())  # ids may be null
+                q, v = (np.frombuffer(part.column(i)[at].as_buffer(), "<f8").reshape(len(x), -1) for i, x in ((1, asked), (3, ids)))
+                if cosine:
+                    q, v = unit(q), unit(v)
+                for first in range(0, len(asked), 128):
+                    scores = np.round(q[first : first + 128] @ v.T, 9)
+                    best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                    many = best.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[first : first + 128], many), pa.int64()), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], schema=schema)
 
     left = chunked(queries, "query_id", "query", rows // 4).select(F.col("ids").alias("qi"), F.col("matrix").alias("qm"))
     met = left.crossJoin(chunked(vectors, "vec_id", "embedding", rows)).mapInArrow(run, "query_id long, vec_id long, score double")

@@ -159,13 +159,16 @@ class VectorIndex:
 
         def scan(parts: Iterator[pa.RecordBatch]):
             for part in parts:
-                for own, asks, vecs, ids, codes in zip(*(part.column(i).to_pylist() for i in range(5))):
-                    left = unit(np.array(vecs, float))
-                    right = q.decode(own, np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1))
-                    near, ids = left @ right.T, np.array(ids)
+                for at in range(part.num_rows):
+                    own, asks = part.column(0)[at].as_py(), part.column(1)[at].values.to_numpy(zero_copy_only=False)
+                    ids = part.column(3)[at].values.to_numpy(zero_copy_only=False)
+                    left = unit(matrix(part.column(2)[at].values, d))
+                    right = q.decode(own, np.frombuffer(b"".join(part.column(4)[at].as_py()), np.uint8).reshape(len(ids), -1))
                     many = min(q.depth, len(ids))
-                    best = np.argpartition(-near, many - 1, axis=1)[:, :many]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks, many)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["ask", "row", "near"])
+                    for a in range(0, len(asks), 128):
+                        near = left[a : a + 128] @ right.T
+                        best = np.argpartition(-near, many - 1, axis=1)[:, :many]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks[a : a + 128], many)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["ask", "row", "near"])
 
         asks = self.blocks(asked.select("ask", "query").mapInArrow(spread, "list int, ask long, query array<float>"), ["ask", "query"], rows // 4)
         met = asks.join(self.blocks(self.codes, ["row", "code"], rows), "list").select("list", "ask", "query", "row", "code").mapInArrow(scan, "ask long, row long, near double")
