@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,31 @@ class CharGrams:
             yield pa.table({"doc_id": pa.array([i] * len(found), pa.int64()), "gram": pa.array(found, pa.string())})
 
 
+@F.arrow_udtf(returnType="gram string, docs long")
+class CharGramCounts:
+    """In how many of a partition's rows (text, n) each n-gram of ``CharGrams`` stands; given out, perhaps in parts, when ``most`` are held."""
+
+    most = 300_000
+
+    def __init__(self):
+        self.held: Counter = Counter()
+
+    def given(self) -> pa.Table:
+        out = pa.table({"gram": pa.array([*self.held], pa.string()), "docs": pa.array([*self.held.values()], pa.int64())})
+        self.held.clear()
+        return out
+
+    def eval(self, table: pa.RecordBatch) -> Iterator[pa.Table]:
+        for t, n in zip(*(table.column(k).to_pylist() for k in range(2))):
+            self.held.update(minhash.grams(t or "", n))
+            if len(self.held) >= self.most:
+                yield self.given()
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.held:
+            yield self.given()
+
+
 @F.arrow_udtf(returnType="shard long, doc_id long, sequence long, slot long")
 class FirstFit:
     """First-fit-decreasing places of a partition's rows (shard, doc_id, tokens, target, separator), in the order they come; null tokens count as none."""
@@ -48,4 +74,5 @@ class FirstFit:
 
 def register(spark: SparkSession) -> None:
     spark.udtf.register("char_grams", CharGrams)
+    spark.udtf.register("char_gram_counts", CharGramCounts)
     spark.udtf.register("first_fit", FirstFit)

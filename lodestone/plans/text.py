@@ -395,10 +395,10 @@ def pack_table_function(spark, sf):
     SELECT gram, count(*) AS docs FROM g GROUP BY gram
 """)
 def gram_documents(spark, sf):
-    """In how many documents each character 5-gram stands: a table function makes the rows, SQL counts them."""
+    """In how many documents each character 5-gram stands: a table function counts those of a partition, SQL adds them up."""
     udtfs.register(spark)
-    docs = read(spark, sf, "documents")
-    return spark.sql("SELECT gram, count(*) AS docs FROM char_grams(TABLE(SELECT doc_id, text, 5 AS n FROM {docs})) GROUP BY gram", docs=docs)
+    docs = minhash.spread(read(spark, sf, "documents").select("text"))
+    return spark.sql("SELECT gram, sum(docs) AS docs FROM char_gram_counts(TABLE(SELECT text, 5 AS n FROM {docs})) GROUP BY gram", docs=docs)
 
 
 @register(None)
