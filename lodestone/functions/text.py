@@ -35,6 +35,9 @@ HIGH_VALUE = [
 IMPORTS = ["talib", "backtrader", "zipline", "pandas_ta", "vectorbt", "pyts", "yfinance", "ccxt", "stable_baselines", "gymnasium", "gym"]
 GENERATED = ["auto-generated", "autogenerated", "do not edit", "generated by", "this file was generated"]
 
+# The characters that a line without content consists of.
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+
 
 def words_pattern(word: str) -> str:
     """The word, case aside, between word boundaries."""
@@ -58,14 +61,14 @@ def keyword_score(text: Column, keywords: list[str], high_value: list[str]) -> C
 def good_quality(text: Column) -> Column:
     """A null text counts as empty. Enough lines that are not comments, no mark of a generated file in the first ten lines, no very long lines."""
     text = F.coalesce(text, F.lit(""))
-    strip = lambda x: F.regexp_replace(x, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    filled = F.filter(lines(text), lambda x: strip(x) != "")
-    code = F.size(F.filter(filled, lambda x: ~strip(x).startswith("#")))
-    head = F.lower(F.array_join(F.slice(lines(text), 1, 10), "\n"))
+    bare = lambda x: F.ltrim(x, F.lit(SPACES))
+    head = F.lower(F.substring_index(text, "\n", 10))
     marked = reduce(lambda a, b: a | b, [head.contains(m) for m in GENERATED])
-    total = F.aggregate(filled, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    n = F.size(filled)
-    return (n > 0) & ~(code < 0.3 * n) & ~marked & ~(F.try_divide(total, n) > 200)
+    # one pass over the lines: how many are filled, how many of these are no comments, and their characters
+    sums = lambda n, code, total: F.struct(n.cast("bigint").alias("n"), code.cast("bigint").alias("code"), total.cast("bigint").alias("total"))
+    added = lambda a, x: F.when(bare(x) == "", a).otherwise(sums(a["n"] + 1, a["code"] + (~bare(x).startswith("#")).cast("bigint"), a["total"] + F.length(x)))
+    good = lambda s: (s["n"] > 0) & ~(s["code"] < 0.3 * s["n"]) & ~(F.try_divide(s["total"], s["n"]) > 200)
+    return ~marked & F.aggregate(lines(text), sums(F.lit(0), F.lit(0), F.lit(0)), added, good)
 
 
 def verdict(text: Column, keywords: list[str], high_value: list[str], least_lines: int = 10, most_lines: int = 2000, least_score: int = 2, score: Column | None = None) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +74,72 @@ def grams(text: str, n: int) -> set[str]:
     return {t[i : i + n] for i in range(len(t) - n + 1)} if len(t) >= n else {t}
 
 
+def bases(found: Iterable[str]) -> np.ndarray:
+    """The base hashes of n-grams, from which the family ``mix`` makes its rows: 64 bits of BLAKE2."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(g.encode("utf-8", "replace"), digest_size=8).digest() for g in found]), ">u8").astype(np.uint64)
+
+
+#: Characters of the texts whose n-grams are numbered together.
+SLICE = 2_000_000
+
+
+def sliced(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in turn, in slices of ``SLICE`` characters at most; a longer text stands alone."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > SLICE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def gram_bases(texts: list[str], n: int) -> list[np.ndarray]:
+    """The base hashes of each normalised text's distinct n-grams, as of ``grams``; every n-gram of the texts is hashed once.
+
+    The texts' characters are numbered from 1, so an n-gram is one number of ``n`` digits and a shorter text ends in zeros. Texts of more
+    characters than a digit has values are taken by halves, and one such text by its strings.
+    """
+    bits = 63 // n
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    held = np.zeros(0x110000, bool)
+    held[codes] = True
+    alphabet = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(held)])
+    if len(alphabet) > 1 << bits:
+        half = len(texts) // 2
+        return gram_bases(texts[:half], n) + gram_bases(texts[half:], n) if half else [bases(grams(texts[0], n))]
+    number = np.zeros(0x110000, np.uint64)
+    number[alphabet[1:]] = np.arange(1, len(alphabet), dtype=np.uint64)
+    digits = np.concatenate([number[codes], np.zeros(n, np.uint64)])
+    keys = np.zeros(len(codes) + 1, np.uint64)
+    for k in range(n):
+        keys = (keys << np.uint64(bits)) | digits[k : k + len(keys)]
+    own, at = [], 0
+    for t in texts:
+        if len(t) >= n:
+            own.append(np.unique(keys[at : at + len(t) - n + 1]))
+        else:  # the digits of the next text are not its own
+            spare = np.uint64(bits * (n - len(t)))
+            own.append(keys[at : at + 1] >> spare << spare)
+        at += len(t)
+    ends = np.cumsum([len(k) for k in own])
+    every = np.concatenate(own)
+    distinct = np.unique(every)
+    places = [(distinct >> np.uint64(bits * (n - 1 - k))) & np.uint64((1 << bits) - 1) for k in range(n)]
+    spelled = np.stack([alphabet[p] for p in places], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    used = np.count_nonzero(np.stack(places), axis=0).tolist()
+    base = bases(spelled[i * n : i * n + u] for i, u in enumerate(used))
+    return np.split(base[np.searchsorted(distinct, every)], ends[:-1])
+
+
 class Hasher:
     """Rows of ``num_perm`` hashes by n-gram. ``sha256``: first 64 bits of the digest of (n-gram, seed + i as 32 bits); ``mix``: a fast family;
     ``mersenne``: (a h + b) modulo 2 ** 64, then a Mersenne prime, of which 32 bits count; h is the first 32 bits of the SHA-1.
 
-    The table holds ``most`` n-grams; when it is full the half that was used most stays. ``mersenne`` needs none.
+    The table holds ``most`` n-grams; when it is full the half that was used most stays. ``mersenne`` and ``mix`` need none.
     """
 
     def __init__(self, num_perm: int, seed: int, family: str, most: int = 150_000):
@@ -95,9 +156,7 @@ class Hasher:
         if self.family == "mersenne":
             a, b = self.pairs
             return (a * np.uint64(int.from_bytes(hashlib.sha1(data).digest()[:4], "little")) + b) % np.uint64(PRIME) & np.uint64(MAX_HASH)
-        base = np.uint64(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big"))
-        x = base * self.odd
-        return (x ^ (x >> np.uint64(29))) * self.odd[::-1]
+        return self.mixed(bases([gram]))
 
     def shrink(self) -> None:
         n = len(self.rows)
@@ -128,6 +187,22 @@ class Hasher:
             low = np.minimum(low, x.min(0))
         return low
 
+    def mixed(self, base: np.ndarray) -> np.ndarray:
+        """The signature of the family ``mix`` from the n-grams' base hashes: a row costs less than its way through a table."""
+        low = np.full(len(self.odd), ~np.uint64(0))
+        for k in range(0, len(base), 1024):
+            x = base[k : k + 1024, None] * self.odd
+            x ^= x >> np.uint64(29)
+            x *= self.odd[::-1]
+            low = np.minimum(low, x.min(0))
+        return low
+
+    def signatures(self, texts: list[str], ngram: int) -> list[np.ndarray]:
+        """The signatures of texts. Of the family ``mix`` each n-gram that a slice of the texts has is hashed once."""
+        if self.family != "mix" or not ngram:
+            return [self.signature(grams(t, ngram)) for t in texts]
+        return [self.mixed(base) for part in sliced([normalised(t) for t in texts]) for base in gram_bases(part, ngram)]
+
     def partial(self, found: set[str]) -> tuple[np.ndarray, list[str]]:
         """The signature of the n-grams that the table holds or has room for, and the other n-grams."""
         places = list(map(self.rows.get, found))
@@ -145,6 +220,8 @@ class Hasher:
     def signature(self, found: set[str]) -> np.ndarray:
         if self.family == "mersenne":
             return self.permuted(found)
+        if self.family == "mix":
+            return self.mixed(bases(found))
         if len(self.rows) + len(found) > self.most:
             self.shrink()
         low = None
@@ -256,7 +333,7 @@ def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed
                 if slow:
                     sigs, missed = zip(*(hasher.partial(grams(t or "", ngram)) for t in texts))
                 else:
-                    sigs, missed = [hasher.signature(grams(t or "", ngram)) for t in texts], None
+                    sigs, missed = hasher.signatures([t or "" for t in texts], ngram), None
                 own = [pa.array([s.astype(">u8").tobytes() for s in sigs], pa.binary()), *([pa.array(missed, pa.list_(pa.string()))] if slow else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(sigs))), *part.columns[:2], *own, *part.columns[3:]], names=names)
                 row += len(sigs)
