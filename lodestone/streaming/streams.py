@@ -9,7 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -222,6 +225,39 @@ class Ring(StatefulProcessor):
         pass
 
 
+#: Rows that a task gathers before it cuts them to the last of each series, and that it holds at most after that.
+GATHERED = 50_000
+
+
+def latest_rows(rows: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
+    """Rows of a stream or table that can be among the last ``n`` of their series: of each task those (null first), so few rows are shuffled.
+
+    A task holds rows of many series for a bounded while only; then it gives them out and starts anew.
+    """
+
+    def last(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [(c, "ascending") for c in (by, *order)], null_placement="at_start"))
+        named = table.column(by).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        ends = np.append(np.flatnonzero(named[1:] != named[:-1]) + 1, len(named))
+        back = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(named))
+        return table.take(pa.array(np.flatnonzero(back <= n)))
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        held, new = [], 0
+        for part in parts:
+            held.append(part)
+            new += part.num_rows
+            if new >= GATHERED:
+                held, new = last(pa.Table.from_batches(held)).combine_chunks().to_batches(), 0
+                if sum(p.num_rows for p in held) > GATHERED:
+                    yield from held
+                    held = []
+        if any(p.num_rows for p in held):
+            yield from last(pa.Table.from_batches(held)).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 @contextmanager
 def keyed_state(spark: SparkSession):
     """A stream started inside keeps its state in RocksDB, which stateful processors need; the session's own setting comes back."""
@@ -238,10 +274,12 @@ def rolling_last(ticks: DataFrame, n: int, idle_seconds: int = 86_400, late: str
     """The last ``n`` values of each series of a stream (symbol, ts, tie, value) after every batch: symbol, us, n, values, closed.
 
     A series without a tick for ``idle_seconds`` of event time gives a last row with ``closed`` and is forgotten; null ticks are
-    left out, and ticks later than the watermark are dropped. Start it within ``keyed_state``, in append mode.
+    left out, and ticks later than the watermark are dropped. Start it within ``keyed_state``, in append mode. Tasks cut their
+    part of a batch to the last ``n`` of each series first; the watermark sees the latest tick all the same.
     """
-    own = ticks.where("symbol is not null and ts is not null and value is not null").withWatermark("ts", late)
+    own = ticks.where("symbol is not null and ts is not null and value is not null")
     rows = own.select("symbol", "ts", F.unix_micros("ts").alias("us"), F.col("tie").cast("long").alias("tie"), F.col("value").cast("double").alias("value"))
+    rows = latest_rows(rows, n, "symbol", ["us", "tie", "value"]).withWatermark("ts", late)
     return rows.groupBy("symbol").transformWithStateInPandas(Ring(n, idle_seconds * 1000), f"symbol {ticks.schema['symbol'].dataType.simpleString()}, us long, n int, values array<double>, closed boolean", "Append", "eventTime")
 
 
