@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.models import slices
 from .tables import Tables, resident
 
 #: Rows (node, bucket) that one task walks at the end: their signatures take no more than a kilobyte each.
@@ -251,6 +252,9 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if bytes_ >= 2 * cores * a_partition else docs.repartition(4 * cores)
 
 
+#: Bytes of texts that a worker takes out of an Arrow batch at a time to sign them.
+TAKEN = 4_000_000
+
 #: N-grams of one task's set that ``gram_rows`` holds before it gives them out.
 HELD = 200_000
 
@@ -316,7 +320,8 @@ def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int =
 def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed: int, family: str, carry: bool = False, most: int = 150_000) -> DataFrame:
     """row (a number of its own), doc_id, tie (hash of the text), sig of every row, written; with ``carry`` its columns as ``_carried0``, ..
 
-    A worker keeps the rows of ``most`` n-grams from task to task; what the slow family misses in them, ``lowered`` hashes.
+    A worker keeps the rows of ``most`` n-grams from task to task; what the slow family misses in them, ``lowered`` hashes. Besides
+    these it holds an Arrow batch, at most ``TAKEN`` bytes of its texts (or one longer text) as strings, and the n-grams of the text at hand.
     """
     more = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(docs.columns)] if carry else []
     kinds = "".join(f", _carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)) if carry else ""
@@ -327,8 +332,7 @@ def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed
         hasher = resident("hasher", (num_perm, seed, family, most), lambda: Hasher(num_perm, seed, family, most))
         row = TaskContext.get().partitionId() << 33
         for whole in parts:
-            for k in range(0, whole.num_rows, 1000):
-                part = whole.slice(k, 1000)
+            for part in (p for k in range(0, whole.num_rows, 1000) for p in slices(whole.slice(k, 1000), 2, TAKEN)):
                 texts = part.column(2).to_pylist()
                 if slow:
                     sigs, missed = zip(*(hasher.partial(grams(t or "", ngram)) for t in texts))
