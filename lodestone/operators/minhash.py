@@ -309,7 +309,10 @@ def lowered(rows: DataFrame, tables: Tables, num_perm: int, seed: int, family: s
     found = left.repartition("gram").sortWithinPartitions("gram").mapInArrow(hashed, "row long, lows binary")
     new = tables.write(found.groupBy("row").agg(F.collect_list("lows").alias("lows")).join(rows.select("row", "sig"), "row").select("row", "sig", "lows").mapInArrow(merged, "row long, sig binary"), "lowered")
     both = plain.join(new.select("row", F.col("sig").alias("_new")), "row", "left")
-    return tables.write(both.select(*(F.coalesce("_new", "sig").alias("sig") if c == "sig" else c for c in plain.columns)), "signed")
+    signed = tables.write(both.select(*(F.coalesce("_new", "sig").alias("sig") if c == "sig" else c for c in plain.columns)), "signed")
+    for name in ("rows", "lowered"):
+        tables.remove(name)
+    return signed
 
 
 def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int = 42, family: str = "sha256") -> DataFrame:
@@ -317,14 +320,15 @@ def signatures(docs: DataFrame, num_perm: int = 128, ngram: int = 5, seed: int =
     return signed_rows(docs.select("doc_id", "text"), Tables(docs.sparkSession, "signatures"), num_perm, ngram, seed, family).select("doc_id", "sig")
 
 
-def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed: int, family: str, carry: bool = False, most: int = 150_000) -> DataFrame:
-    """row (a number of its own), doc_id, tie (hash of the text), sig of every row, written; with ``carry`` its columns as ``_carried0``, ..
+def signed_rows(docs: DataFrame, tables: Tables, num_perm: int, ngram: int, seed: int, family: str, carry: bool | list[str] = False, most: int = 150_000) -> DataFrame:
+    """row (a number of its own), doc_id, tie (hash of the text), sig of every row, written; with ``carry`` its columns, or those named, as ``_carried0``, ..
 
     A worker keeps the rows of ``most`` n-grams from task to task; what the slow family misses in them, ``lowered`` hashes. Besides
     these it holds an Arrow batch, at most ``TAKEN`` bytes of its texts (or one longer text) as strings, and the n-grams of the text at hand.
     """
-    more = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(docs.columns)] if carry else []
-    kinds = "".join(f", _carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns)) if carry else ""
+    carried = docs.columns if carry is True else carry or []
+    more = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(carried)]
+    kinds = "".join(f", _carried{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
     slow = family == "sha256"
     names = ["row", "doc_id", "tie", "sig", *(["missed"] if slow else []), *(f"_carried{i}" for i in range(len(more)))]
 
@@ -447,19 +451,26 @@ def candidates(held: DataFrame) -> DataFrame:
     return held.withColumnRenamed("node", "lo").join(held.withColumnRenamed("node", "hi"), ["band", "first"]).where("lo < hi").select("lo", "hi").distinct()
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, num_perm: int, threshold: float) -> DataFrame:
-    """lo, hi, similarity of the pairs whose signatures agree in at least ``threshold`` of the positions."""
+def similar(pairs: DataFrame, nodes: DataFrame, num_perm: int, threshold: float, lows: DataFrame | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """lo, hi, similarity of the pairs whose signatures agree in at least ``threshold`` of the positions.
+
+    ``lows`` has the nodes of lo if they are others; ``shape`` (bands, rows) leaves out pairs that have no band in common.
+    """
     names = ["lo", "hi", "similarity"]
 
     def run(parts: Iterator[pa.RecordBatch]):
         for part in parts:
             a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint64).reshape(-1, num_perm) for i in (2, 3))
-            share = (a == b).sum(1) / num_perm
-            at = pa.array(np.flatnonzero(share >= threshold))
+            same = a == b
+            share = same.sum(1) / num_perm
+            met = same[:, : shape[0] * shape[1]].reshape(-1, *shape).all(2).any(1) if shape else True
+            at = pa.array(np.flatnonzero((share >= threshold) & met))
             yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(share).take(at)], names=names)
 
-    own = lambda c, name: nodes.select(F.col("node").alias(c), F.col("sig").alias(name))
-    return pairs.join(own("hi", "b"), "hi").join(own("lo", "a"), "lo").select("lo", "hi", "a", "b").mapInArrow(run, "lo long, hi long, similarity double")
+    own = lambda rows, c, name: rows.select(F.col("node").alias(c), F.col("sig").alias(name))
+    kind = pairs.schema["lo"].dataType.simpleString()
+    both = pairs.join(own(nodes, "hi", "b"), "hi").join(own(nodes if lows is None else lows, "lo", "a"), "lo")
+    return both.select("lo", "hi", "a", "b").mapInArrow(run, f"lo {kind}, hi {kind}, similarity double")
 
 
 def walked(held: DataFrame, nodes: DataFrame, num_perm: int, threshold: float, verify: bool) -> DataFrame:

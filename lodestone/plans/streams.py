@@ -102,7 +102,7 @@ def _fed(spark, tables, rows, by: str, count: int):
     ends = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()
     lo, hi = ends.lo or 0, ends.hi or 0
     number = F.coalesce(F.expr(f"cast({count} * cast(`{by}` - {lo}L as decimal(38,0)) div {hi - lo + 1}L as int)"), F.lit(0))
-    rows.withColumn("_batch", number).write.partitionBy("_batch").parquet(f"{tables.root}/cut")
+    rows.withColumn("_batch", number).write.partitionBy("_batch").parquet(f"{tables.root}/cut", compression="zstd")
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(tables.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(path(f"{tables.root}/feed"))

@@ -61,6 +61,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def clear(spark: SparkSession, pattern: str) -> None:
+    """Removes the folders that the pattern names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(at) or []:
+        store.delete(found.getPath(), True)
+
+
 def made(spark: SparkSession, path: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
@@ -68,39 +76,45 @@ def made(spark: SparkSession, path: str) -> str:
 
 
 def sign_stream(docs: DataFrame, out: str, checkpoint: str, num_perm: int, family: str) -> StreamingQuery:
-    """Stores the rows of a stream (doc_id, text) with their signatures under ``out/came=<batch>``: row, doc_id, tie, sig, text."""
+    """Stores the rows of a stream (doc_id, text) once under ``out/texts/came=<batch>`` (row, doc_id, text), and under ``out/signed/came=<batch>`` row, doc_id, tie, sig."""
 
     def step(batch: DataFrame, number: int) -> None:
-        tables = Tables(batch.sparkSession, f"sign-{number}")
-        rows = minhash.signed_rows(batch.select("doc_id", "text"), tables, num_perm, 5, 42, family, carry=True)
-        rows.select(F.concat_ws("-", F.lit(number), "row").alias("row"), "doc_id", "tie", "sig", F.col("_carried1").cast("string").alias("text")).write.mode("overwrite").parquet(f"{out}/came={number}")
+        spark, at = batch.sparkSession, f"{out}/texts/came={number}"
+        tables = Tables(spark, f"sign-{number}")
+        numbered = batch.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        numbered.write.mode("overwrite").parquet(at, compression="zstd")
+        rows = minhash.signed_rows(spark.read.schema(TEXTS).parquet(at), tables, num_perm, 5, 42, family, carry=["row"])
+        rows.select(F.col("_carried0").alias("row"), "doc_id", "tie", "sig").write.mode("overwrite").parquet(f"{out}/signed/came={number}")
         tables.drop()
 
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Rows of the two tables that the dedup stream reads.
-SIGNED = "row string, doc_id long, tie long, sig binary, text string, came int"
-KEPT = "row string, doc_id long, sig binary, text string, batch int"
+#: Rows of the texts, and of the two tables that the dedup stream reads. A row's number is its own within its batch.
+TEXTS = "row long, doc_id long, text string"
+SIGNED = "row long, doc_id long, tie long, sig binary, came int"
+KEPT = "row long, doc_id long, sig binary, text string, batch int"
 
 
-def index_hits(signed: DataFrame, kept: DataFrame, num_perm: int, threshold: float) -> DataFrame:
-    """row, hit: each signed row of a stream once with hit 0, and once with hit 1 for every bucket it shares with a kept row it is similar to.
+def shared_buckets(signed: DataFrame, kept: DataFrame, num_perm: int, threshold: float) -> DataFrame:
+    """came, row, batch, old: each signed row of a stream once with its ``came`` alone, and once for every bucket it shares with a row kept before it.
 
-    A stream-stream join by (band, key): the state store holds the kept rows by bucket, and a batch looks up the buckets of its own
-    rows. Signed rows leave the state as soon as no kept row from before them can still come.
+    A stream-stream join by a hash of (band, key): the state store holds the numbers of the kept rows by bucket, not their signatures
+    (which would lie there once a band), and a batch looks up the buckets of its own rows. Signed rows leave the state as soon as
+    no kept row from before them can still come.
     """
 
     def banded(rows: DataFrame, name: str, number: str) -> DataFrame:
         # times begin at one second: a watermark of zero drops what is at zero
         at = F.timestamp_seconds(F.col(number) + 1).alias(f"{name}_at")
-        keyed = minhash.bands(rows.select(F.col("row").alias("node"), "sig", F.col("sig").alias(f"{name}_sig"), at), num_perm, threshold, [f"{name}_sig", f"{name}_at"])
-        return keyed.withColumnRenamed("node", f"{name}_row").withWatermark(f"{name}_at", "0 seconds")
+        keyed = minhash.bands(rows.select(F.col("row").alias("node"), "sig", at), num_perm, threshold, [f"{name}_at"])
+        return keyed.select(F.xxhash64("band", "key").alias(f"{name}_bucket"), F.col("node").alias(f"{name}_row"), f"{name}_at").withWatermark(f"{name}_at", "0 seconds")
 
-    new, old = banded(signed, "new", "came"), banded(kept, "old", "batch").withColumnRenamed("band", "old_band").withColumnRenamed("key", "old_key")
-    met = new.join(old, F.expr("band = old_band and key = old_key and old_at < new_at"), "inner")
-    hits = met.where(minhash.agreement(F.col("new_sig"), F.col("old_sig"), num_perm) >= threshold).select(F.col("new_row").alias("row"), F.lit(1).alias("hit"))
-    return signed.select("row", F.lit(0).alias("hit"), "came").unionByName(hits.withColumn("came", F.lit(None).cast("int")))
+    new, old = banded(signed, "new", "came"), banded(kept, "old", "batch")
+    number = lambda c: (F.unix_seconds(c) - 1).cast("int")
+    met = new.join(old, F.expr("new_bucket = old_bucket and old_at < new_at"), "inner")
+    hits = met.select(number("new_at").alias("came"), F.col("new_row").alias("row"), number("old_at").alias("batch"), F.col("old_row").alias("old"))
+    return signed.select("came", *(F.lit(None).cast(kind).alias(c) for c, kind in (("row", "long"), ("batch", "int"), ("old", "long")))).unionByName(hits)
 
 
 def dedup_stream(docs: DataFrame, out: str, checkpoint: str, num_perm: int = 128, threshold: float = 0.7, family: str = "mix", most: int = 0) -> StreamingQuery:
@@ -109,12 +123,14 @@ def dedup_stream(docs: DataFrame, out: str, checkpoint: str, num_perm: int = 128
     Rows of a batch are walked as ``minhash.dedup`` walks them: repeated rows, rows of one doc_id, null ids and null texts have the
     same defined results. Kept rows and their signatures are appended to ``out/batch=<number>``; ``most`` above 0 stops keeping
     after so many. The query reads its own kept rows back as a second stream, into the state of a join by bucket: a batch
-    reads its own rows and what the batch before kept, and of the index only the buckets that its rows have.
+    reads its own rows and what the batch before kept, and of the index only the buckets that its rows have. Rows that share a bucket
+    with a kept one are compared by whole signatures, which are read from ``out`` then; a batch without such rows reads none.
 
-    Runs until all that the stream holds is done, and returns the stopped query; a later run goes on from the checkpoint.
+    On disk lie the kept rows and, as state, a hash and two numbers for each bucket of theirs; texts and signatures of a batch go when it
+    is done, shuffle files when the query that made them ends. Runs until all that the stream holds is done, and returns the stopped query; a later run goes on from the checkpoint.
     """
     spark = docs.sparkSession
-    sign_stream(docs, f"{checkpoint}/signed", f"{checkpoint}/sign", num_perm, family).awaitTermination()
+    signed = f"{checkpoint}/signed"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -123,31 +139,43 @@ def dedup_stream(docs: DataFrame, out: str, checkpoint: str, num_perm: int = 128
         had = spark.read.parquet(counts(number - 1)).first()["n"] if most and exists(spark, counts(number - 1)) else 0
         count = lambda n: spark.range(1).select(F.lit(n).alias("n")).write.mode("overwrite").parquet(counts(number)) if most else None
         got = tables.write(batch, "got")
-        came = [r.came for r in got.where("hit = 0").select("came").distinct().collect()]  # one number a signed batch
+        came = [r.came for r in got.where("row is null").select("came").distinct().collect()]  # one number a signed batch
         if not came:
+            tables.drop()
             return count(had)
-        new = spark.read.schema(SIGNED).parquet(f"{checkpoint}/signed").where(F.col("came").isin(came))
-        open_ = tables.write(new.join(got.where("hit = 1").select("row").distinct(), "row", "left_anti"), "open")
-        kept = minhash.kept_rows(open_, tables, num_perm, threshold, by="came")
-        rows = open_.join(kept, "row")
+        node = lambda number, row: F.concat_ws("-", number, row)
+        new = spark.read.schema(SIGNED).parquet(signed).where(F.col("came").isin(came)).withColumn("node", node("came", "row"))
+        pairs = tables.write(got.where("row is not null").select(node("batch", "old").alias("lo"), node("came", "row").alias("hi")).distinct(), "pairs")
+        open_ = new
+        if not pairs.isEmpty():
+            index = spark.read.schema(KEPT).parquet(out).select(node("batch", "row").alias("node"), "sig")
+            near = minhash.similar(pairs, new, num_perm, threshold, index, minhash.band_shape(num_perm, threshold))
+            open_ = tables.write(new.join(near.select(F.col("hi").alias("node")).distinct(), "node", "left_anti"), "open")
+        stays = tables.write(minhash.kept_rows(open_.drop("row").withColumnRenamed("node", "row"), tables, num_perm, threshold, by="came").withColumnRenamed("row", "node"), "stays")
+        tables.remove("classes")
         if most:
-            rows = rows.orderBy("came", F.col("doc_id").asc_nulls_last(), "tie", "row").limit(max(0, most - had))
-        rows = tables.write(rows.select("row", "doc_id", "sig", "text", "came"), "kept")
+            stays = tables.write(open_.join(stays, "node").orderBy("came", F.col("doc_id").asc_nulls_last(), "tie", "row").limit(max(0, most - had)).select("node"), "chosen")
         # kept rows of a signed batch carry its number as their time; the folder has the micro-batch's own
         for at in sorted(came):
-            own = rows.where(F.col("came") == at)
+            own = stays.where(F.col("node").startswith(f"{at}-"))
             if not own.isEmpty():
-                own.drop("came").write.mode("overwrite").parquet(f"{out}/batch={at}")
-        count(had + rows.count() if most else 0)
+                rows = open_.where(F.col("came") == at).join(own, "node").select("row", "doc_id", "sig")
+                texts = spark.read.schema(TEXTS).parquet(f"{checkpoint}/texts/came={at}").select("row", "text")
+                rows.join(texts, "row").select("row", "doc_id", "sig", "text").write.mode("overwrite").parquet(f"{out}/batch={at}", compression="zstd")
+        count(had + stays.count() if most else 0)
         tables.drop()
 
     read = lambda schema, path: spark.readStream.schema(schema).parquet(made(spark, path))
-    hits = index_hits(read(SIGNED, f"{checkpoint}/signed"), read(KEPT, out), num_perm, threshold)
-    query = hits.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/dedup").trigger(processingTime="0 seconds").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
+    with small_disk(spark):
+        sign_stream(docs, checkpoint, f"{checkpoint}/sign", num_perm, family).awaitTermination()
+        met = shared_buckets(read(SIGNED, signed), read(KEPT, out), num_perm, threshold)
+        query = met.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/dedup").trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    for name in ("signed", "texts"):  # all of it is done
+        clear(spark, f"{checkpoint}/{name}/came=*")
     return query
 
 
@@ -259,15 +287,26 @@ def latest_rows(rows: DataFrame, n: int, by: str, order: list[str]) -> DataFrame
 
 
 @contextmanager
-def keyed_state(spark: SparkSession):
-    """A stream started inside keeps its state in RocksDB, which stateful processors need; the session's own setting comes back."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings for what is started inside; the session's own come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def keyed_state(spark: SparkSession):
+    """A stream started inside keeps its state in RocksDB, which stateful processors need; the session's own setting comes back."""
+    return settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+
+
+def small_disk(spark: SparkSession):
+    """A stream started inside packs its state, and shuffle files go when the query that made them ends, not when the driver collects garbage."""
+    return settings(spark, {"spark.sql.streaming.stateStore.compression.codec": "zstd", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def rolling_last(ticks: DataFrame, n: int, idle_seconds: int = 86_400, late: str = "10 minutes") -> DataFrame:
